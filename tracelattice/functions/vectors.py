@@ -54,3 +54,8 @@ def vector_mean(vector: Column) -> Column:
 def vector_max(vector: Column) -> Column:
     """Aggregate: element-wise maximum."""
     return vector_to_array(Summarizer.max(array_to_vector(vector)))
+
+
+def concat_array_columns(names: Sequence[str]) -> Column:
+    """Number columns as one vector."""
+    return F.array(*[F.col(n).cast("double") for n in names])

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from tracelattice.functions.scalars import finite_or
 from tracelattice.operators.graphs import GROUP
+from tracelattice.session import cut_lineage
 
 # Weights of the confidence and the score of a reversed time order.
 FREQUENCY_WEIGHT, PRECEDENCE_WEIGHT, IMPORTANCE_WEIGHT = 0.55, 0.25, 0.20
 REVERSED_ORDER = 0.05
 
+SMALL_TOP_K = 32
+"""Up to this many nodes per sub-graph, its edges travel as one array."""
+
 
 class RootCauses(NamedTuple):
     nodes: DataFrame
@@ -84,7 +88,9 @@ def causal_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         FREQUENCY_WEIGHT * F.col("frequency_share") + PRECEDENCE_WEIGHT * order + IMPORTANCE_WEIGHT * F.col("importance")
     )
     confidence = F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
-    return joined.select(GROUP, "src", "dst", confidence.alias("confidence"), "frequency")
+    return joined.select(
+        GROUP, "src", "dst", confidence.alias("confidence"), "frequency", F.col("importance").alias("target_importance")
+    )
 
 
 def rank_edges(cedges: DataFrame) -> DataFrame:
@@ -102,11 +108,13 @@ def extend_paths(paths: DataFrame, hops: DataFrame) -> DataFrame:
         F.concat("path", F.array("dst")).alias("path"),
         F.col("dst").alias("tail"),
         (F.col("confidence") * F.col("hop_confidence")).alias("confidence"),
+        F.col("hop_importance").alias("target_importance"),
     )
 
 
 def simple_paths(cedges: DataFrame, max_hops: int = 4) -> DataFrame:
-    """All simple paths of at most ``max_hops`` edges with the product of their confidences."""
+    """All simple paths of at most ``max_hops`` edges with the product of their confidences and the
+    importance of their last node. One join per hop, for sub-graphs of any size."""
     if max_hops < 1:
         raise ValueError("max_hops must be at least one")
     paths = cedges.where("src <> dst").select(
@@ -115,8 +123,15 @@ def simple_paths(cedges: DataFrame, max_hops: int = 4) -> DataFrame:
         F.array("src", "dst").alias("path"),
         F.col("dst").alias("tail"),
         "confidence",
+        "target_importance",
+    )
+    hops = cedges.select(
+        GROUP,
+        F.col("src").alias("tail"),
+        "dst",
+        F.col("confidence").alias("hop_confidence"),
+        F.col("target_importance").alias("hop_importance"),
     )
-    hops = cedges.select(GROUP, F.col("src").alias("tail"), "dst", F.col("confidence").alias("hop_confidence"))
     found = paths
     for _ in range(max_hops - 1):
         paths = extend_paths(paths, hops)
@@ -124,17 +139,51 @@ def simple_paths(cedges: DataFrame, max_hops: int = 4) -> DataFrame:
     return found
 
 
-def _weighted_paths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    importance = max_normalised(nodes, "importance", "importance")
-    targets = importance.where("importance > 0").select(GROUP, F.col("node").alias("tail"), "importance")
-    return paths.join(targets, [GROUP, "tail"]).withColumn("reach", F.col("confidence") * F.col("importance"))
+def bounded_paths(cedges: DataFrame, max_hops: int = 4) -> DataFrame:
+    """As :func:`simple_paths` for sub-graphs of at most ``SMALL_TOP_K`` nodes: a group's edges fit into
+    one array of at most ``SMALL_TOP_K ** 2`` entries, and every hop is an explode without a shuffle."""
+    if max_hops < 1:
+        raise ValueError("max_hops must be at least one")
+    edge = F.struct("src", "dst", "confidence", "target_importance")
+    packed = cedges.where("src <> dst").groupBy(GROUP).agg(F.collect_list(edge).alias("hops"))
+    paths = packed.select(GROUP, "hops", F.explode("hops").alias("hop")).select(
+        GROUP,
+        "hops",
+        F.struct(
+            F.col("hop.src").alias("root"),
+            F.array("hop.src", "hop.dst").alias("path"),
+            F.col("hop.dst").alias("tail"),
+            F.col("hop.confidence").alias("confidence"),
+            F.col("hop.target_importance").alias("target_importance"),
+        ).alias("at"),
+    )
+    at = F.col("at")
+    for length in range(2, max_hops + 1):
+        usable = F.filter(
+            "hops",
+            lambda hop: (hop["src"] == at["tail"]) & ~F.array_contains(at["path"], hop["dst"]),
+        )
+        longer = F.transform(
+            usable,
+            lambda hop: F.struct(
+                at["root"].alias("root"),
+                F.concat(at["path"], F.array(hop["dst"])).alias("path"),
+                hop["dst"].alias("tail"),
+                (at["confidence"] * hop["confidence"]).alias("confidence"),
+                hop["target_importance"].alias("target_importance"),
+            ),
+        )
+        grown = F.when(F.size(at["path"]) == length, F.concat(F.array(at), longer)).otherwise(F.array(at))
+        paths = paths.select(GROUP, "hops", F.explode(grown).alias("at"))
+    return paths.select(GROUP, "at.*")
 
 
 def root_ranking(nodes: DataFrame, cedges: DataFrame, paths: DataFrame) -> DataFrame:
     """Root score of every node: own importance plus what its paths reach, divided by 1 + in-degree,
     scaled to a maximum of 1."""
     own = max_normalised(nodes, "importance", "importance")
-    reached = _weighted_paths(nodes, paths).groupBy(GROUP, F.col("root").alias("node")).agg(F.sum("reach").alias("reach"))
+    reach = F.sum(F.col("confidence") * F.col("target_importance"))
+    reached = paths.groupBy(GROUP, F.col("root").alias("node")).agg(reach.alias("reach"))
     indegree = cedges.groupBy(GROUP, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("indegree"))
     raw = (F.col("importance") + F.coalesce("reach", F.lit(0.0))) / (1 + F.coalesce("indegree", F.lit(0)))
     scored = (
@@ -146,13 +195,13 @@ def root_ranking(nodes: DataFrame, cedges: DataFrame, paths: DataFrame) -> DataF
     return max_normalised(scored, "raw_score", "score").select(GROUP, "node", "score").withColumn("rank", rank)
 
 
-def causal_chains(nodes: DataFrame, roots: DataFrame, paths: DataFrame, limit: int = 5) -> DataFrame:
+def causal_chains(roots: DataFrame, paths: DataFrame, limit: int = 5) -> DataFrame:
     """The ``limit`` strongest chains per group: root score times what the path reaches."""
     scores = roots.select(GROUP, F.col("node").alias("root"), "score")
+    strength = F.col("score") * F.col("confidence") * F.col("target_importance")
     chains = (
-        _weighted_paths(nodes, paths)
-        .join(scores, [GROUP, "root"])
-        .select(GROUP, "path", (F.col("score") * F.col("reach")).alias("confidence"))
+        paths.join(scores, [GROUP, "root"])
+        .select(GROUP, "path", strength.alias("confidence"))
         .where("confidence > 0")
     )
     order = Window.partitionBy(GROUP).orderBy(F.desc("confidence"), F.array_join(F.col("path").cast("array<string>"), ">"))
@@ -162,9 +211,14 @@ def causal_chains(nodes: DataFrame, roots: DataFrame, paths: DataFrame, limit: i
 def root_causes(
     nodes: DataFrame, edges: DataFrame, top_k: int = 10, max_hops: int = 4, chain_limit: int = 5
 ) -> RootCauses:
-    """Sub-graph, edge confidences, ranked roots and best chains of every group."""
+    """Sub-graph, edge confidences, ranked roots and best chains of every group.
+
+    The sub-graphs are small against the log they come from and are used several times, so they are
+    written to the checkpoint folder once.
+    """
     kept, among = influential_subgraph(nodes, edges, top_k)
-    cedges = causal_edges(kept, among)
-    paths = simple_paths(cedges, max_hops)
+    kept = cut_lineage(kept)
+    cedges = cut_lineage(causal_edges(kept, among))
+    paths = bounded_paths(cedges, max_hops) if top_k <= SMALL_TOP_K else simple_paths(cedges, max_hops)
     roots = root_ranking(kept, cedges, paths)
-    return RootCauses(kept, rank_edges(cedges), roots, causal_chains(kept, roots, paths, chain_limit))
+    return RootCauses(kept, rank_edges(cedges), roots, causal_chains(roots, paths, chain_limit))
