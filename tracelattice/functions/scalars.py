@@ -44,7 +44,9 @@ def checked_binary(value: Column) -> Column:
 
 
 def epoch_seconds(ts: Column) -> Column:
-    return F.unix_micros(ts) / F.lit(1e6)
+    """Seconds since 1970 of the time as written, whatever the session's time zone."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", start, ts.cast("timestamp_ntz")) / F.lit(1e6)
 
 
 def parse_time(text: Column, pattern: str = TIME_PATTERN) -> Column:

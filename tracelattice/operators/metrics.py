@@ -176,7 +176,7 @@ def seed_summary(results: DataFrame, metrics: Sequence[str], by: Sequence[str] =
 def best_config(results: DataFrame, by: Sequence[str] = ("seed",), metric: str = "val_roc") -> DataFrame:
     """Per seed the configuration with the highest validation metric; ties go to the first name."""
     rest = [c for c in results.columns if c not in by]
-    best = results.groupBy(*by).agg(
+    best = results.where(F.col(metric).isNotNull()).groupBy(*by).agg(
         F.min_by(F.struct(*rest), F.struct(-F.col(metric), F.col("config"))).alias("best")
     )
     return best.select(*by, "best.*")
