@@ -15,6 +15,7 @@ from tracelattice.functions.vectors import (
     concat_array_columns, constant, l2, plus, scaled, vector_max, vector_mean, vector_sum,
 )
 from tracelattice.operators.graphs import GROUP
+from tracelattice.session import cut_lineage
 
 POOLS = {"mean": vector_mean, "sum": vector_sum, "max": vector_max}
 
@@ -163,7 +164,8 @@ def encode_inception(adj1: DataFrame, adj2: DataFrame, x: DataFrame, blocks: lis
         for adj, name in ((adj1, "W1"), (adj2, "W2")):
             parts.append(propagate(adj, x).select(GROUP, "node_id", dense(block[name])(F.col("x")).alias("x")))
         union = parts[0].unionByName(parts[1]).unionByName(parts[2])
-        x = union.groupBy(GROUP, "node_id").agg(vector_sum(F.col("x")).alias("x"))
+        # A block reads its input three times, so it is stored once.
+        x = cut_lineage(union.groupBy(GROUP, "node_id").agg(vector_sum(F.col("x")).alias("x")))
     return x
 
 

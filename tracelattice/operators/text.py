@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,37 +59,42 @@ def tfidf(
     return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def svd_embedding(weights: DataFrame, texts: DataFrame, key: str, k: int) -> DataFrame:
-    """Unit vectors ``vec`` of length k from the leading right singular vectors, without centring.
-    A text without terms gets zeros. The sign of a dimension is free.
+def leading_directions(weights: DataFrame, key: str, k: int, rounds: int = 6, oversample: int = 10, seed: int = 42):
+    """Leading right singular vectors of the (key, i, weight) matrix by randomised subspace iteration.
 
-    A text's terms are at most the vocabulary, which also bounds the k columns kept on the driver.
+    Each round multiplies the matrix and its transpose with a block of k + ``oversample`` columns as two
+    joins with weighted vector sums. Only that block, vocabulary by k + ``oversample`` numbers, is on the
+    driver, where it is orthonormalised.
     """
-    terms = weights.select("term").distinct().orderBy("term").collect()
-    index = weights.sparkSession.createDataFrame([(r["term"], i) for i, r in enumerate(terms)], "term string, i int")
-    width = len(terms)
-
-    @F.udf(VectorUDT())
-    def sparse(entries):
-        return Vectors.sparse(width, sorted((e["i"], e["weight"]) for e in entries))
-
-    rows = (
-        weights.join(F.broadcast(index), "term")
-        .groupBy(key)
-        .agg(F.collect_list(F.struct("i", "weight")).alias("entries"))
-        .select(key, sparse("entries").alias("v"))
-    )
-    rows = cut_lineage(rows)
-    matrix = RowMatrix(rows.select("v").rdd.map(lambda row: OldVectors.fromML(row["v"])))
-    basis = matrix.computeSVD(k).V.toArray()
-    index_rows = weights.join(F.broadcast(index), "term")
-    basis_rows = index_rows.sparkSession.createDataFrame(
-        [(i, [float(x) for x in basis[i]]) for i in range(width)], "i int, basis array<double>"
-    )
+    spark = weights.sparkSession
+    width = weights.agg(F.max("i")).first()[0] + 1
+    columns = min(width, k + oversample)
+    block, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, columns)))
+    for _ in range(rounds):
+        right = spark.createDataFrame(pa.table({"i": np.arange(width), "q": list(block)}))
+        rows = weights.join(F.broadcast(right), "i").groupBy(key).agg(vector_sum(F.col("q"), F.col("weight")).alias("z"))
+        back = weights.join(rows, key).groupBy("i").agg(vector_sum(F.col("z"), F.col("weight")).alias("y")).toArrow()
+        product = np.zeros((width, columns))
+        product[back["i"].to_numpy()] = np.array(back["y"].to_pylist())
+        gram = block.T @ product
+        spread, turn = np.linalg.eigh((gram + gram.T) / 2)
+        leading = block @ turn[:, ::-1]
+        block, _ = np.linalg.qr(product)
+    return leading[:, :k], np.sqrt(np.maximum(spread[::-1][:k], 0.0))
+
+
+def svd_embedding(weights: DataFrame, texts: DataFrame, key: str, k: int, rounds: int = 6) -> DataFrame:
+    """Unit vectors ``vec`` of length k: texts projected on the leading singular directions, without
+    centring. A text without terms gets zeros. The sign of a dimension is free."""
+    terms = weights.select("term").distinct().orderBy("term").toArrow()["term"]
+    spark = weights.sparkSession
+    index = spark.createDataFrame(pa.table({"term": terms, "i": np.arange(len(terms))}))
+    # The vocabulary, and so each table of one row per term, is bounded by its size parameter.
+    indexed = cut_lineage(weights.join(F.broadcast(index), "term").select(key, "i", "weight"))
+    basis, _ = leading_directions(indexed, key, k, rounds)
+    rows = spark.createDataFrame(pa.table({"i": np.arange(len(terms)), "basis": list(basis)}))
     projected = (
-        index_rows.join(F.broadcast(basis_rows), "i")
-        .groupBy(key)
-        .agg(vector_sum(F.col("basis"), F.col("weight")).alias("vec"))
+        indexed.join(F.broadcast(rows), "i").groupBy(key).agg(vector_sum(F.col("basis"), F.col("weight")).alias("vec"))
     )
     zero = F.array(*[F.lit(0.0)] * basis.shape[1])
     return texts.select(key).join(projected, key, "left").select(

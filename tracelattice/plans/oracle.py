@@ -179,7 +179,7 @@ ORACLE["parsed_times"] = "SELECT event_id, round(epoch_us(ts) / 1e6, 6) AS ts_s
 # --- fields and node features
 SEVERITIES = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL", "UNKNOWN")
 BIN = "CAST(CAST(('0x' || substr(md5({c}), 1, 15)) AS BIGINT) % 32 AS INTEGER)"
-NUMBERS = "list_transform(regexp_extract_all(props, '[0-9]+'), x -> CAST(x AS DOUBLE))"
+NUMBERS = "list_transform(regexp_extract_all(props, '[0-9]+'), lambda x: CAST(x AS DOUBLE))"
 PAIR_COMPONENT = "event_type || '::' || CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END"
 ORACLE["parsed_fields"] = f"""SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS severity,
   CASE WHEN event_type = 'error' THEN '0000100' ELSE '0010000' END AS onehot, event_type AS component,
@@ -215,14 +215,14 @@ tail AS (
   FROM positions JOIN params USING (group_id, event)),
 stats AS (
   SELECT group_id, event, list_concat(
-    list_transform({list(SEVERITIES)}, s -> CASE WHEN s = CASE WHEN event = 'error' THEN 'ERROR' ELSE 'INFO' END THEN 1.0::DOUBLE ELSE 0.0 END),
-    list_transform(range(32), i -> CASE WHEN i = {BIN.format(c='event')} THEN 1.0::DOUBLE ELSE 0.0 END),
+    list_transform({list(SEVERITIES)}, lambda s: CASE WHEN s = CASE WHEN event = 'error' THEN 'ERROR' ELSE 'INFO' END THEN 1.0::DOUBLE ELSE 0.0 END),
+    list_transform(range(32), lambda i: CASE WHEN i = {BIN.format(c='event')} THEN 1.0::DOUBLE ELSE 0.0 END),
     tail) AS x
   FROM tail)"""
 
 
 def micro(column: str, alias: str) -> str:
-    return f"array_to_string(list_transform({column}, v -> CAST(CAST(round(v * 1e6, 0) AS BIGINT) AS VARCHAR)), ' ') AS {alias}"
+    return f"array_to_string(list_transform({column}, lambda v: CAST(CAST(round(v * 1e6, 0) AS BIGINT) AS VARCHAR)), ' ') AS {alias}"
 
 
 def standardised(source: str) -> str:
@@ -287,11 +287,11 @@ def normalised(source: str, name: str) -> str:
 UNDIRECTED = f"""both_ways AS (
   SELECT DISTINCT group_id, src, dst, 1.0::DOUBLE AS w FROM (SELECT group_id, src, dst FROM w UNION ALL SELECT group_id, dst, src FROM w)),
 {looped('both_ways', 'und')}, {normalised('und', 'adj')}"""
-RANKED = f"""{row_stochastic('w', 'p')}, sizes AS (SELECT group_id, count(*) AS n FROM nodes GROUP BY group_id),
+RANKED = f"""{row_stochastic('w', 'p')}, sizes AS (SELECT group_id, count(*) AS size FROM nodes GROUP BY group_id),
 rounds AS (
-  SELECT group_id, node_id, 1.0::DOUBLE / n AS pi, 0 AS k FROM nodes JOIN sizes USING (group_id)
+  SELECT group_id, node_id, 1.0::DOUBLE / size AS pi, 0 AS k FROM nodes JOIN sizes USING (group_id)
   UNION ALL
-  SELECT p.group_id, p.dst, 0.9::DOUBLE * sum(p.p * r.pi) + 0.1::DOUBLE / any_value(s.n), r.k + 1
+  SELECT p.group_id, p.dst, 0.9::DOUBLE * sum(p.p * r.pi) + 0.1::DOUBLE / any_value(s.size), r.k + 1
   FROM rounds r JOIN p ON p.group_id = r.group_id AND p.src = r.node_id JOIN sizes s ON s.group_id = p.group_id
   WHERE r.k < 100 GROUP BY p.group_id, p.dst, r.k),
 pi AS (SELECT group_id, node_id, pi FROM rounds WHERE k = 100)"""
@@ -315,9 +315,9 @@ ORACLE["node_degrees"] = f"{with_(WEIGHTED)} SELECT group_id, src AS node_id, su
 ORACLE["symmetric_edges"] = f"""{with_(WEIGHTED)} SELECT group_id, src, dst, sum(w) / 2 AS w FROM (
   SELECT group_id, src, dst, w FROM w UNION ALL SELECT group_id, dst, src, w FROM w) GROUP BY group_id, src, dst"""
 ORACLE["pagerank"] = f"{RECURSIVE}{WEIGHTED}, {RANKED} SELECT group_id, node_id, round(pi, 6) AS pi FROM pi"
-ORACLE["adj_ppr"] = f"{RECURSIVE}{WEIGHTED}, {RANKED}, {balanced('p', 'adj')} SELECT {ADJ_COLUMNS}, 1 AS ord FROM adj".replace(", 1 AS ord", "")
+ORACLE["adj_ppr"] = f"{RECURSIVE}{WEIGHTED}, {RANKED}, {balanced('p', 'adj')} SELECT {ADJ_COLUMNS} FROM adj"
 ORACLE["adj_pr"] = f"""{RECURSIVE}{WEIGHTED}, {RANKED},
-dense AS (SELECT a.group_id, a.node_id AS src, b.node_id AS dst, 0.9::DOUBLE * coalesce(p.p, 0) + 0.1::DOUBLE / n AS p
+dense AS (SELECT a.group_id, a.node_id AS src, b.node_id AS dst, 0.9::DOUBLE * coalesce(p.p, 0) + 0.1::DOUBLE / size AS p
   FROM nodes a JOIN nodes b ON a.group_id = b.group_id JOIN sizes ON sizes.group_id = a.group_id
   LEFT JOIN p ON p.group_id = a.group_id AND p.src = a.node_id AND p.dst = b.node_id),
 {balanced('dense', 'adj')} SELECT {ADJ_COLUMNS} FROM adj"""
@@ -355,8 +355,8 @@ SELECT group_id, round(sqrt(sq), 6) AS score FROM dist ORDER BY score DESC, grou
 ORACLE["node_importance"] = f"""{with_(NODE_X)}, zd AS (SELECT group_id, d, avg(v) AS m FROM xd GROUP BY group_id, d)
 SELECT group_id, node_id, round(sqrt(sum((v - m) * (v - m))), 6) AS importance FROM xd JOIN zd USING (group_id, d) GROUP BY group_id, node_id"""
 ORACLE["unit_vectors"] = f"""WITH n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, a -> a * a))) AS norm FROM n),
-u AS (SELECT vec_id, list_transform(v, a -> a / norm) AS u FROM s) SELECT vec_id, {micro('u', 'u')} FROM u"""
+s AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda a: a * a))) AS norm FROM n),
+u AS (SELECT vec_id, list_transform(v, lambda a: a / norm) AS u FROM s) SELECT vec_id, {micro('u', 'u')} FROM u"""
 
 
 def weights(rows: int, cols: int, name: str) -> str:

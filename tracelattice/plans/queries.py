@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -357,8 +358,6 @@ def distinct_messages(spark, folder):
 
 @query
 def encoded_messages(spark, folder):
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def letters(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [float(len(t)), float(sum(c.isdigit() for c in t))])
@@ -378,7 +377,8 @@ def svd_embedding(spark, folder):
     docs = tables.table(spark, folder, "documents").select("doc_id", "text")
     weights = text.tfidf(docs, "doc_id", size=VOCABULARY, stop=STOP_WORDS)
     vectors = text.svd_embedding(weights, docs, "doc_id", 8)
-    return vectors.select("doc_id", F.size("vec").alias("dims"))
+    length = F.aggregate("vec", F.lit(0.0), lambda total, v: total + v * v)
+    return vectors.select("doc_id", F.size("vec").alias("dims"), F.round(length, 6).alias("length"))
 
 
 # --- adjacency ------------------------------------------------------------------------------------
@@ -533,7 +533,7 @@ def encode_inception(spark, folder):
     built = day_graphs(spark, folder)
     edges = built.edges.select("group_id", "src", "dst", F.col("n").cast("double").alias("w"))
     first = adjacency.cut_lineage(adjacency.norm_ppr(edges, built.nodes))
-    second = adjacency.norm_second_order(first, built.nodes)
+    second = adjacency.cut_lineage(adjacency.norm_second_order(first, built.nodes))
     x = features.with_vectors(built.nodes, tables.event_vectors(spark, folder))
     widths = [(DIMS, HIDDEN), (HIDDEN, HIDDEN), (HIDDEN, HIDDEN)]
     blocks = [{name: formula_weights(*shape) for name in ("W0", "W1", "W2")} for shape in widths]
