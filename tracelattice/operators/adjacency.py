@@ -56,7 +56,8 @@ def symmetrise(edges: DataFrame) -> DataFrame:
 
 
 def degree_normalised(edges: DataFrame) -> DataFrame:
-    """``D^-1/2 A D^-1/2``; a node of degree 0 gives 0."""
+    """``D^-1/2 A D^-1/2``; a node of degree 0 gives 0. The input is stored, as it is read three times."""
+    edges = cut_lineage(edges)
     deg = degree(edges).select(GROUP, F.col("src").alias("node_id"), "deg")
     root = F.sqrt(F.col("deg_src") * F.col("deg_dst"))
     return (

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tracelattice.functions import scalars
 from tracelattice.functions.vectors import concat_array_columns
-from tracelattice.operators.checks import fail_if_any
 from tracelattice.operators.graphs import GROUP, Steps
 
 SEVERITY_SLOTS = len(scalars.SEVERITIES)
@@ -102,19 +101,17 @@ def node_statistics(step: Steps, bins: int = scalars.COMPONENT_BINS) -> DataFram
 
 
 def with_vectors(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Nodes with their event's vector ``vec``; an event without one is an error."""
-    fail_if_any(nodes.select("event").distinct().join(vectors, "event", "left_anti"), "events without a vector")
-    return nodes.join(vectors.select("event", "vec"), "event")
+    """Nodes with their event's vector ``vec``; the job fails on an event without one."""
+    missing = F.raise_error(F.concat(F.lit("no vector for event "), F.col("event"))).cast("array<double>")
+    return nodes.join(vectors.select("event", "vec"), "event", "left").withColumn("vec", F.coalesce("vec", missing))
 
 
 def standardise_within(nodes: DataFrame, vector: str = "x") -> DataFrame:
     """Each dimension standardised over the nodes of its graph. A graph of one node is left alone, a
     dimension whose spread is only rounding becomes zero."""
-    dense = array_to_vector(F.col(vector))
-    stats = nodes.groupBy(GROUP).agg(
-        F.count(F.lit(1)).alias("__n"),
-        vector_to_array(Summarizer.mean(dense)).alias("__mean"),
-        vector_to_array(Summarizer.variance(dense)).alias("__var"),
+    moments = Summarizer.metrics("mean", "variance").summary(array_to_vector(F.col(vector)))
+    stats = nodes.groupBy(GROUP).agg(F.count(F.lit(1)).alias("__n"), moments.alias("__m")).select(
+        GROUP, "__n", vector_to_array("__m.mean").alias("__mean"), vector_to_array("__m.variance").alias("__var")
     )
     n = F.col("__n")
 

@@ -171,13 +171,18 @@ def build_graphs(
     singletons: str = "skip",
     min_edges: int = 0,
     hot_rows: int | None = None,
+    store: bool = False,
 ) -> GraphSet:
     """Directed transition graphs of all groups. ``event`` picks the node identity, for instance a
-    template or the raw message; graphs with fewer than ``min_edges`` distinct edges are dropped."""
+    template or the raw message; graphs with fewer than ``min_edges`` distinct edges are dropped.
+
+    ``store`` writes the transitions to the checkpoint folder: worth it when more than one of the
+    tables is used, since the log is then read once.
+    """
     step = steps(log, order, event, ts, hot_rows=hot_rows)
     trans = transitions(step)
     hot = step.sequence.is_hot
-    if hot:
+    if hot or store:
         trans = cut_lineage(trans)
     graphs = graph_stats(trans, singletons)
     if min_edges > 0:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelattice.functions.scalars import clean_text
@@ -50,11 +50,16 @@ def tfidf(
 ) -> DataFrame:
     """``key, term, weight`` with rows of unit length. The vocabulary has at most ``size`` terms."""
     n_docs = texts.count()
-    counts = term_counts(tokens(texts, key, text, stop), key)
+    # Counted once and stored: tokenising the texts again for the vocabulary would cost more.
+    counts = cut_lineage(term_counts(tokens(texts, key, text, stop), key))
     words = vocabulary(counts, n_docs, size)
     # At most ``size`` short rows: broadcasting is bounded by the vocabulary parameter.
     small = F.broadcast(words) if size <= 100_000 else words
     weighted = counts.join(small, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    if size <= 100_000:
+        # A text has at most ``size`` rows here, so its norm fits a window.
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+        return weighted.select(key, "term", (F.col("w") / norm).alias("weight"))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 

@@ -385,7 +385,7 @@ def svd_embedding(spark, folder):
 
 
 def weighted_graphs(spark, folder) -> tuple[DataFrame, DataFrame]:
-    built = day_graphs(spark, folder)
+    built = day_graphs(spark, folder, store=True)
     edges = built.edges.select("group_id", "src", "dst", F.col("n").cast("double").alias("w"))
     return edges, built.nodes.select("group_id", "node_id")
 
@@ -448,7 +448,7 @@ def adj_second_order(spark, folder):
 
 def vector_graphs(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Undirected adjacency and node vectors of the user-day graphs."""
-    built = day_graphs(spark, folder)
+    built = day_graphs(spark, folder, store=True)
     edges = built.edges.select("group_id", "src", "dst", F.col("n").cast("double").alias("w"))
     adj = adjacency.norm_undirected(edges, built.nodes)
     x = features.with_vectors(built.nodes, tables.event_vectors(spark, folder))
@@ -530,7 +530,7 @@ def encode_one_layer(spark, folder):
 
 @query
 def encode_inception(spark, folder):
-    built = day_graphs(spark, folder)
+    built = day_graphs(spark, folder, store=True)
     edges = built.edges.select("group_id", "src", "dst", F.col("n").cast("double").alias("w"))
     first = adjacency.cut_lineage(adjacency.norm_ppr(edges, built.nodes))
     second = adjacency.cut_lineage(adjacency.norm_second_order(first, built.nodes))
@@ -543,7 +543,7 @@ def encode_inception(spark, folder):
 
 def encoder_inputs(spark, folder):
     """Stored encoder rows of the PageRank-normalised graphs with their labels and timing."""
-    built = day_graphs(spark, folder)
+    built = day_graphs(spark, folder, store=True)
     edges = built.edges.select("group_id", "src", "dst", F.col("n").cast("double").alias("w"))
     adj = adjacency.cut_lineage(adjacency.norm_ppr(edges, built.nodes))
     x = features.with_vectors(built.nodes, tables.event_vectors(spark, folder))
@@ -666,7 +666,7 @@ def best_config(spark, folder):
 
 def anomalous_graphs(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the anomalous user-day graphs; importance is the event count."""
-    built = day_graphs(spark, folder)
+    built = day_graphs(spark, folder, store=True)
     labels = day_labels(spark, folder).where("label = 1")
     nodes = graphs.only_groups(built.nodes, labels).select(
         "group_id", F.col("event").alias("node"), F.col("n").cast("double").alias("importance"), F.col("first_pos").alias("ts")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,22 @@ def build_session(master: str | None = None, partitions: int | None = None, **co
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may run where it is not installed."""
+    root = Path(__file__).resolve().parent
+    name = "tracelattice.zip"
+    if any(path.endswith(f"/{name}") for path in spark.sparkContext.listFiles):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tracelattice-package-")) / name
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
