@@ -19,7 +19,10 @@ ALPHA = 0.1
 ITERATIONS = 100
 
 SMALL_EDGES = 2048
-"""Graphs up to this many entries of P are iterated inside a task; larger ones by joins."""
+"""Graphs up to this size are worked on inside a task, many at a time; larger ones by joins."""
+
+GRAPHS_PER_STEP = 512
+"""Graphs that one vectorised step holds at a time."""
 
 CHECKPOINT_EVERY = 10
 
@@ -67,27 +70,75 @@ def degree_normalised(edges: DataFrame) -> DataFrame:
     )
 
 
+def _flat(n_nodes: pd.Series, *lists: pd.Series) -> tuple[np.ndarray, ...]:
+    """Graphs laid side by side: first node of each graph, shifted sources and targets, weights."""
+    src, dst, weight = lists
+    starts = np.concatenate(([0], np.cumsum(n_nodes.to_numpy(dtype=np.int64))))
+    shift = np.repeat(starts[:-1], [len(a) for a in src])
+    rows, cols = (np.concatenate(part.to_list()).astype(np.int64) + shift for part in (src, dst))
+    return starts, rows, cols, np.concatenate(weight.to_list())
+
+
+def _power_rounds(starts: np.ndarray, rows, cols, p, alpha: float, iterations: int) -> np.ndarray:
+    n = np.diff(starts)
+    base = np.repeat(1.0 / n, n)
+    pi = base
+    for _ in range(iterations):
+        pi = (1 - alpha) * np.bincount(cols, p * pi[rows], minlength=len(pi)) + alpha * base
+    return pi
+
+
+def _summed(rows: np.ndarray, cols: np.ndarray, w: np.ndarray, total: int) -> tuple[np.ndarray, ...]:
+    """Entries of a sparse matrix sorted by row and column, repeated ones added up."""
+    keys, place = np.unique(rows * total + cols, return_inverse=True)
+    return keys // total, keys % total, np.bincount(place, w, minlength=len(keys))
+
+
+def _slices(length: int) -> list[slice]:
+    return [slice(at, at + GRAPHS_PER_STEP) for at in range(0, length, GRAPHS_PER_STEP)]
+
+
 def _power_iterations(alpha: float, iterations: int):
-    """Power iteration over a batch of packed graphs, laid side by side in one flat vector."""
+    """Column function: stationary distributions of a batch of packed transition matrices."""
 
     @F.pandas_udf("array<double>")
     def stationary(n_nodes: pd.Series, src: pd.Series, dst: pd.Series, p: pd.Series) -> pd.Series:
-        if len(n_nodes) == 0:
-            return pd.Series([], dtype=object)
-        n = n_nodes.to_numpy(dtype=np.int64)
-        starts = np.concatenate(([0], np.cumsum(n)))
-        shift = np.repeat(starts[:-1], [len(a) for a in src])
-        rows, cols = np.concatenate(src.to_list()) + shift, np.concatenate(dst.to_list()) + shift
-        weight = np.concatenate(p.to_list())
-        base = np.repeat(1.0 / n, n)
-        pi = base
-        for _ in range(iterations):
-            pi = (1 - alpha) * np.bincount(cols, weight * pi[rows], minlength=len(pi)) + alpha * base
-        return pd.Series(np.split(pi, starts[1:-1]))
+        out: list[np.ndarray] = []
+        for part in _slices(len(n_nodes)):
+            starts, rows, cols, weight = _flat(n_nodes[part], src[part], dst[part], p[part])
+            out += np.split(_power_rounds(starts, rows, cols, weight, alpha, iterations), starts[1:-1])
+        return pd.Series(out, dtype=object)
 
     return stationary
 
 
+def _ppr_weights(alpha: float, iterations: int):
+    """Column function: normalised adjacencies of a batch of packed graphs, as three parallel arrays."""
+
+    @F.pandas_udf("src array<int>, dst array<int>, w array<double>")
+    def weights(n_nodes: pd.Series, src: pd.Series, dst: pd.Series, w: pd.Series) -> pd.DataFrame:
+        out: dict[str, list[np.ndarray]] = {"src": [], "dst": [], "w": []}
+        for part in _slices(len(n_nodes)):
+            starts, rows, cols, weight = _flat(n_nodes[part], src[part], dst[part], w[part])
+            total, loops = starts[-1], np.arange(starts[-1])
+            rows, cols, weight = _summed(
+                np.append(rows, loops), np.append(cols, loops), np.append(weight, np.ones(total)), total
+            )
+            p = weight / np.bincount(rows, weight, minlength=total)[rows]
+            pi = _power_rounds(starts, rows, cols, p, alpha, iterations)
+            half = np.sqrt(pi[rows] / pi[cols]) * p / 2
+            rows, cols, weight = _summed(np.append(rows, cols), np.append(cols, rows), np.append(half, half), total)
+            degree = np.bincount(rows, weight, minlength=total)
+            weight = weight / np.sqrt(degree[rows] * degree[cols])
+            graph = np.searchsorted(starts, rows, side="right") - 1
+            ends = np.searchsorted(graph, np.arange(1, len(starts) - 1))
+            for name, values in (("src", rows - starts[graph]), ("dst", cols - starts[graph]), ("w", weight)):
+                out[name] += np.split(values, ends)
+        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in out.items()})
+
+    return weights
+
+
 def matrix_nodes(p: DataFrame) -> DataFrame:
     """The nodes of a transition matrix: each has a self-loop."""
     return p.where("src = dst").select(GROUP, F.col("src").alias("node_id"))
@@ -166,12 +217,41 @@ def norm_undirected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return degree_normalised(collapse(add_self_loops(both, nodes)))
 
 
+def _ppr_in_tasks(edges: DataFrame, nodes: DataFrame, alpha: float, iterations: int) -> DataFrame:
+    packed = edges.groupBy(GROUP).agg(F.collect_list(F.struct("src", "dst", "w")).alias("entries"))
+    sizes = nodes.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n_nodes"))
+    empty = F.array().cast(packed.schema["entries"].dataType)
+    entries = sizes.join(packed, GROUP, "left").withColumn("entries", F.coalesce("entries", empty))
+    run = _ppr_weights(alpha, iterations)
+    arrays = run(F.col("n_nodes"), F.col("entries.src"), F.col("entries.dst"), F.col("entries.w"))
+    rows = entries.select(GROUP, arrays.alias("a")).select(GROUP, F.explode(F.arrays_zip("a.src", "a.dst", "a.w")).alias("e"))
+    return rows.select(GROUP, "e.src", "e.dst", "e.w")
+
+
+def _ppr_by_joins(edges: DataFrame, nodes: DataFrame, alpha: float, iterations: int) -> DataFrame:
+    p = cut_lineage(transition_matrix(edges, nodes))
+    return _pagerank_symmetric(p, _pagerank_by_joins(p, alpha, iterations))
+
+
 def norm_ppr(
     edges: DataFrame, nodes: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS, small_edges: int = SMALL_EDGES
 ) -> DataFrame:
-    """Personalised-PageRank normalisation of directed graphs; as sparse as the graphs."""
-    p = cut_lineage(transition_matrix(edges, nodes))
-    return _pagerank_symmetric(p, pagerank(p, alpha, iterations, small_edges))
+    """Personalised-PageRank normalisation of directed graphs; as sparse as the graphs. Edges are unique.
+
+    A graph with at most ``small_edges`` nodes and edges travels as one row and is normalised in a
+    vectorised batch: one shuffle in all. Larger graphs take the same steps as joins, spread over the
+    cluster.
+    """
+    edges = edges.select(GROUP, "src", "dst", F.col("w").cast("double").alias("w"))
+    nodes = nodes.select(GROUP, "node_id")
+    parts = edges.select(GROUP).unionByName(nodes.select(GROUP))
+    large = parts.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small_edges).select(GROUP)
+    if large.isEmpty():
+        return _ppr_in_tasks(edges, nodes, alpha, iterations)
+    large = cut_lineage(large)
+    small = _ppr_in_tasks(edges.join(large, GROUP, "left_anti"), nodes.join(large, GROUP, "left_anti"), alpha, iterations)
+    big = _ppr_by_joins(edges.join(large, GROUP, "left_semi"), nodes.join(large, GROUP, "left_semi"), alpha, iterations)
+    return small.unionByName(big)
 
 
 def norm_pr(

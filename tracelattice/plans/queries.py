@@ -455,6 +455,12 @@ def vector_graphs(spark, folder) -> tuple[DataFrame, DataFrame]:
     return adj, x.select("group_id", "node_id", F.col("vec").alias("x"))
 
 
+def node_vectors(spark, folder) -> DataFrame:
+    """Node vectors of the user-day graphs."""
+    x = features.with_vectors(day_graphs(spark, folder).nodes, tables.event_vectors(spark, folder))
+    return x.select("group_id", "node_id", F.col("vec").alias("x"))
+
+
 def formula_weights(rows: int, cols: int) -> np.ndarray:
     """Weights that SQL can state too: ((7 i + 3 j) mod 11 - 5) / 10."""
     i, j = np.meshgrid(np.arange(rows), np.arange(cols), indexing="ij")
@@ -469,17 +475,17 @@ def propagate_once(spark, folder):
 
 @query
 def mean_pool(spark, folder):
-    return propagate.pool(vector_graphs(spark, folder)[1], "mean").select("group_id", micro("z", "z"))
+    return propagate.pool(node_vectors(spark, folder), "mean").select("group_id", micro("z", "z"))
 
 
 @query
 def sum_pool(spark, folder):
-    return propagate.pool(vector_graphs(spark, folder)[1], "sum").select("group_id", micro("z", "z"))
+    return propagate.pool(node_vectors(spark, folder), "sum").select("group_id", micro("z", "z"))
 
 
 @query
 def max_pool(spark, folder):
-    return propagate.pool(vector_graphs(spark, folder)[1], "max").select("group_id", micro("z", "z"))
+    return propagate.pool(node_vectors(spark, folder), "max").select("group_id", micro("z", "z"))
 
 
 @query
@@ -490,21 +496,21 @@ def edge_pool(spark, folder):
 
 @query
 def centre_distance(spark, folder):
-    z = with_labels(propagate.pool(vector_graphs(spark, folder)[1]), day_labels(spark, folder))
+    z = adjacency.cut_lineage(with_labels(propagate.pool(node_vectors(spark, folder)), day_labels(spark, folder)))
     scored = propagate.distances(z, propagate.centre(z, F.col("label") == 0))
     return scored.select("group_id", "label", r6("score"), r6("score_sq"))
 
 
 @query
 def most_anomalous(spark, folder):
-    z = with_labels(propagate.pool(vector_graphs(spark, folder)[1]), day_labels(spark, folder))
+    z = adjacency.cut_lineage(with_labels(propagate.pool(node_vectors(spark, folder)), day_labels(spark, folder)))
     scored = propagate.distances(z, propagate.centre(z, F.col("label") == 0))
     return metrics.most_anomalous(scored.select("group_id", r6("score")), 10)
 
 
 @query
 def node_importance(spark, folder):
-    return propagate.node_importance(vector_graphs(spark, folder)[1]).select("group_id", "node_id", r6("importance"))
+    return propagate.node_importance(node_vectors(spark, folder)).select("group_id", "node_id", r6("importance"))
 
 
 @query
