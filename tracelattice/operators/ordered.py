@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 4_000_000
+HOT_ROWS = 2_000_000
 """A group above this many rows is cut into chunks."""
 
 MAX_HOT = 4096
@@ -34,6 +34,7 @@ class Ordered:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     cuts: DataFrame | None
+    hot_rows: int = HOT_ROWS
 
     @property
     def is_hot(self) -> bool:
@@ -113,11 +114,10 @@ class Ordered:
         chunk = F.when(F.col(CUTS).isNotNull(), _cuts_not_above(F.col(CUTS), key))
         return self.df.join(F.broadcast(self.cuts), list(self.keys), "left").withColumn(CHUNK, chunk).drop(CUTS)
 
-    def only_hot(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.cuts.select(*self.keys)), list(self.keys), "left_semi")
-
-    def without_hot(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.cuts.select(*self.keys)), list(self.keys), "left_anti")
+    def large_keys(self) -> DataFrame:
+        """Keys of all groups above ``hot_rows``, of which the largest are cut. Not bounded: join it."""
+        sizes = self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n"))
+        return sizes.where(F.col("__n") > self.hot_rows).select(*self.keys)
 
 
 def ordered(
@@ -128,7 +128,8 @@ def ordered(
 ) -> Ordered:
     """Prepare ordered work. ``order`` must be a total order inside each group."""
     keys, order = tuple(keys), tuple(order)
-    return Ordered(df, keys, order, _find_cuts(df, keys, order, hot_rows or HOT_ROWS))
+    hot_rows = hot_rows or HOT_ROWS
+    return Ordered(df, keys, order, _find_cuts(df, keys, order, hot_rows), hot_rows)
 
 
 def plain(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Ordered:
