@@ -23,7 +23,7 @@ def test_entry(spark):
 
 def test_only_model_queries_lack_sql():
     assert set(queries()) - set(oracle_sql()) == {
-        "svd_embedding", "encode_inception", "one_class_scores", "temporal_fusion_scores", "timed_edge_scores",
+        "svd_embedding", "one_class_scores", "temporal_fusion_scores", "timed_edge_scores", "timed_edge_fit",
     }
     assert set(oracle_sql()) <= set(queries())
 

@@ -189,3 +189,57 @@ def test_tfidf_and_svd_match_numpy(spark):
     mask = (length > 1e-6).ravel()
     np.testing.assert_allclose(np.abs(vec[mask]), np.abs(want[mask]), atol=1e-5)
     assert list(vec[4]) == [0.0, 0.0]
+
+
+def test_timed_gradients_and_training(spark, adj, x):
+    from tracelattice.plans import timed
+
+    rng = np.random.default_rng(11)
+    stats = {(g, int(i), int(j)): rng.normal(size=2) for g, m in ADJ.items() for i, j in zip(*np.nonzero(m))}
+    known = {k: v for n, (k, v) in enumerate(stats.items()) if n % 3}
+    timing = spark.createDataFrame([(*k, [float(a) for a in v]) for k, v in known.items()], "group_id string, src int, dst int, t array<double>")
+    edges = adjacency.cut_lineage(propagate.with_edge_stats(adj, timing))
+    rows = adjacency.cut_lineage(propagate.encoder_rows(adj, x))
+    model = timed.new_timed_model(5, 6, 2, alpha=0.4)
+    model = replace(
+        model, weights={k: w + 0.1 * rng.normal(size=w.shape) for k, w in model.weights.items()}, centre=list(rng.normal(size=6))
+    )
+
+    def vectors(weights):
+        out = {}
+        for g, m in ADJ.items():
+            pre, total = m.T @ X[g] @ weights["W1"], np.zeros(6)
+            for i, j in zip(*np.nonzero(m)):
+                t = np.array([known.get((g, int(i), int(j)), np.zeros(2))])
+                pre[j] += weights["alpha1"][0] * branch(t, {k: weights[f"t{k}1"] for k in ("U", "gain", "shift", "V")})[0]
+                total += weights["alpha2"][0] * branch(t, {k: weights[f"t{k}2"] for k in ("U", "gain", "shift", "V")})[0]
+            out[g] = ((m.T @ relu(pre) @ weights["W2"]).sum(axis=0) + total) / SIZES[g]
+        return out
+
+    def loss(weights):
+        return sum(((z - np.array(model.centre)) ** 2).sum() for z in vectors(weights).values()) / len(SIZES)
+
+    got = by_group(timed.timed_vectors(rows, edges, model))
+    for g, z in vectors(model.weights).items():
+        np.testing.assert_allclose(got[g], z)
+    # The same encoder written as two timed message steps.
+    layers = [{"W": model.weights[f"W{k}"], **{n: model.weights[f"t{n}{k}"] for n in ("U", "gain", "shift", "V")}} for k in (1, 2)]
+    same_alpha = replace(model, weights={**model.weights, "alpha1": np.array([0.4]), "alpha2": np.array([0.4])})
+    steps, packed = by_group(propagate.encode_timed(adj, x, timing, layers, 0.4)), by_group(timed.timed_vectors(rows, edges, same_alpha))
+    for g in SIZES:
+        np.testing.assert_allclose(steps[g], packed[g])
+
+    value, grads = timed.timed_gradients(rows, edges, model, len(SIZES))
+    assert value == pytest.approx(loss(model.weights))
+    assert set(grads) == set(model.weights)
+    step = 1e-6
+    for name, w in model.weights.items():
+        for at in list(np.ndindex(w.shape))[::7]:
+            up, down = ({**model.weights, name: w.copy()} for _ in range(2))
+            up[name][at] += step
+            down[name][at] -= step
+            assert grads[name][at] == pytest.approx((loss(up) - loss(down)) / (2 * step), abs=1e-6), name
+
+    fitted, history = timed.fit_timed(rows, edges, timed.new_timed_model(5, 6, 2), O.staged(4, 2, 0.05, 0.01))
+    assert history[-1][1] < history[0][1]
+    assert timed.timed_score(rows, edges, fitted).count() == len(SIZES)

@@ -321,12 +321,13 @@ dense AS (SELECT a.group_id, a.node_id AS src, b.node_id AS dst, 0.9::DOUBLE * c
   FROM nodes a JOIN nodes b ON a.group_id = b.group_id JOIN sizes ON sizes.group_id = a.group_id
   LEFT JOIN p ON p.group_id = a.group_id AND p.src = a.node_id AND p.dst = b.node_id),
 {balanced('dense', 'adj')} SELECT {ADJ_COLUMNS} FROM adj"""
-ORACLE["adj_second_order"] = f"""{RECURSIVE}{WEIGHTED}, {RANKED}, {balanced('p', 'adj')}, {row_stochastic('adj', 'p2')},
+SECOND = f"""{row_stochastic('adj', 'p2')},
 l_in AS (SELECT a.group_id, a.dst AS i, b.dst AS j, sum(a.p * b.p) AS v FROM p2 a JOIN p2 b ON a.group_id = b.group_id AND a.src = b.src GROUP BY ALL),
 l_out AS (SELECT a.group_id, a.src AS i, b.src AS j, sum(a.p * b.p) AS v FROM p2 a JOIN p2 b ON a.group_id = b.group_id AND a.dst = b.dst GROUP BY ALL),
 second_raw AS (SELECT group_id, i AS src, j AS dst, (l_in.v + l_out.v) / 2 AS w FROM l_in JOIN l_out USING (group_id, i, j)
   WHERE l_in.v <> 0 AND l_out.v <> 0),
-{normalised('second_raw', 'second')}
+{normalised('second_raw', 'second')}"""
+ORACLE["adj_second_order"] = f"""{RECURSIVE}{WEIGHTED}, {RANKED}, {balanced('p', 'adj')}, {SECOND}
 SELECT {ADJ_COLUMNS}, 1 AS ord FROM adj UNION ALL SELECT {ADJ_COLUMNS}, 2 AS ord FROM second"""
 
 # --- message passing and scores
@@ -380,6 +381,28 @@ SELECT group_id, {micro('z', 'z')} FROM z"""
 ORACLE["encode_two_layers"] = encoder("o / n")
 ORACLE["encode_one_layer"] = encoder("1.0::DOUBLE / n")
 
+
+
+def inception(rounds: int) -> str:
+    """Blocks x -> (x + A1 x + A2 x) W, as all three weights of a block are the same formula."""
+    parts = []
+    for k in range(rounds):
+        source = f"y{k}"
+        parts.append(f"""t{k} AS (SELECT group_id, node_id, d, sum(v) AS v FROM (
+  SELECT group_id, node_id, d, v FROM {source}
+  UNION ALL SELECT a.group_id, a.dst, d, a.w * v FROM adj a JOIN {source} y ON y.group_id = a.group_id AND y.node_id = a.src
+  UNION ALL SELECT a.group_id, a.dst, d, a.w * v FROM second a JOIN {source} y ON y.group_id = a.group_id AND y.node_id = a.src)
+  GROUP BY group_id, node_id, d),
+y{k + 1} AS (SELECT group_id, node_id, h AS d, sum(v * wt) AS v FROM t{k} JOIN w{1 if k == 0 else 2} USING (d) GROUP BY group_id, node_id, h)""")
+    return ", ".join(parts)
+
+
+ORACLE["encode_inception"] = f"""{RECURSIVE}{WEIGHTED}, {RANKED}, {balanced('p', 'adj')}, {SECOND}, {X}, {XD},
+{weights(DIMS, HIDDEN, 'w1')}, {weights(HIDDEN, HIDDEN, 'w2')},
+y0 AS (SELECT group_id, node_id, d, v FROM xd), {inception(3)},
+packed AS (SELECT group_id, node_id, list(v ORDER BY d) AS x FROM y3 GROUP BY group_id, node_id)
+SELECT group_id, node_id, {micro('x', 'x')} FROM packed"""
+
 # --- metrics
 SCORES = """scores AS (SELECT CAST(doc_id AS VARCHAR) AS group_id, lang, source, toxic AS label, CAST(n_chars AS DOUBLE) AS score
   FROM documents JOIN labels USING (doc_id))"""

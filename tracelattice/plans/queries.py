@@ -15,7 +15,7 @@ from tracelattice.operators import (
     adjacency, explain, features, graphs, metrics, propagate, splits, temporal, text,
 )
 from tracelattice.operators.checks import clean_labels, with_labels
-from tracelattice.plans import oneclass, tables
+from tracelattice.plans import oneclass, tables, timed
 from tracelattice.plans.tables import EVENT_ORDER, LINE_ORDER
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -579,23 +579,44 @@ def temporal_fusion_scores(spark, folder):
     return oneclass.score(rows, fitted, labels, timing).select("group_id", "label", r6("score"))
 
 
+def standardised_timing(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Log-scaled timing of every edge as one vector, standardised on the normal groups."""
+    logs = with_labels(graphs.log_scaled_edges(edges), labels)
+    columns = ("log_mean_dt", "log_var_dt")
+    scaled = temporal.fit_scaler(logs, columns, F.col("label") == 0).apply(logs)
+    return scaled.select("group_id", "src", "dst", F.array(*columns).alias("t"))
+
+
 @query
 def timed_edge_scores(spark, folder):
     built, adj, x, labels = encoder_inputs(spark, folder)
-    logs = with_labels(graphs.log_scaled_edges(built.edges), labels)
-    columns = ("log_mean_dt", "log_var_dt")
-    timing = temporal.fit_scaler(logs, columns, F.col("label") == 0).apply(logs)
-    timing = timing.select("group_id", "src", "dst", F.array(*columns).alias("t"))
+    timing = standardised_timing(built.edges, labels)
     rng = np.random.default_rng(SEED)
     layers = [
         {"W": propagate.init_weights(shape, rng), **propagate.init_timing(2, HIDDEN, rng)}
         for shape in ((DIMS, HIDDEN), (HIDDEN, HIDDEN))
     ]
-    z = with_labels(propagate.encode_timed(adj, x, timing, layers), labels)
+    z = adjacency.cut_lineage(with_labels(propagate.encode_timed(adj, x, timing, layers), labels))
     scored = propagate.distances(z, propagate.centre(z, F.col("label") == 0))
     return scored.select("group_id", "label", r6("score"))
 
 
+@query
+def timed_edge_fit(spark, folder):
+    built, adj, x, labels = encoder_inputs(spark, folder)
+    edges = propagate.with_edge_stats(adj, standardised_timing(built.edges, labels))
+    edges = adjacency.cut_lineage(edges.select("group_id", "src", "dst", "t"))
+    rows = adjacency.cut_lineage(propagate.encoder_rows(adj, x))
+    train = splits.bernoulli_split(labels).where("split = 'train'")
+    model, _ = timed.fit_timed(
+        rows.join(train, "group_id", "left_semi"),
+        edges.join(train, "group_id", "left_semi"),
+        timed.new_timed_model(DIMS, HIDDEN, SEED),
+        oneclass.staged(2, 1),
+    )
+    return with_labels(timed.timed_score(rows, edges, model), labels).select("group_id", "label", r6("score"))
+
+
 # --- metrics --------------------------------------------------------------------------------------
 
 
