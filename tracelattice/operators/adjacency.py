@@ -237,6 +237,7 @@ def norm_ppr(
     edges: DataFrame, nodes: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS, small_edges: int = SMALL_EDGES
 ) -> DataFrame:
     """Personalised-PageRank normalisation of directed graphs; as sparse as the graphs. Edges are unique.
+    Both tables are read twice, once for the sizes: pass stored graphs.
 
     A graph with at most ``small_edges`` nodes and edges travels as one row and is normalised in a
     vectorised batch: one shuffle in all. Larger graphs take the same steps as joins, spread over the

@@ -179,7 +179,11 @@ def build_graphs(
     ``store`` writes the transitions to the checkpoint folder: worth it when more than one of the
     tables is used, since the log is then read once.
     """
-    step = steps(log, order, event, ts, hot_rows=hot_rows)
+    return graphs_of(steps(log, order, event, ts, hot_rows=hot_rows), singletons, min_edges, store)
+
+
+def graphs_of(step: Steps, singletons: str = "skip", min_edges: int = 0, store: bool = False) -> GraphSet:
+    """:func:`build_graphs` from steps that other summaries of the same log use too."""
     trans = transitions(step)
     hot = step.sequence.is_hot
     if hot or store:
@@ -188,7 +192,7 @@ def build_graphs(
     if min_edges > 0:
         graphs = min_edges_only(graphs, min_edges)
         trans = only_groups(trans, graphs)
-    nodes = node_ids(distinct_events(trans), hot, hot_rows)
+    nodes = node_ids(distinct_events(trans), hot, step.sequence.hot_rows)
     if hot:
         edges = _edges_by_join(transition_edges(trans, singletons), nodes)
     else:
@@ -203,7 +207,7 @@ def min_edges_only(graphs: DataFrame, k: int = 2) -> DataFrame:
 
 def only_groups(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose group is listed in ``ids``."""
-    return df.join(ids.select(GROUP).distinct(), GROUP, "left_semi")
+    return df.join(ids.select(GROUP), GROUP, "left_semi")
 
 
 def log_scaled_edges(edges: DataFrame) -> DataFrame:

@@ -478,12 +478,12 @@ ROOTS = """raw AS (SELECT k.group_id, k.node, (k.importance + coalesce(r.reach,
 roots AS (SELECT group_id, node, raw / max(raw) OVER (PARTITION BY group_id) AS score FROM raw)"""
 ORACLE["influential_subgraph"] = f"{with_(CAUSES)} SELECT group_id, node, round(importance, 6) AS importance FROM kept"
 ORACLE["causal_edges"] = f"""{with_(CAUSES)} SELECT group_id, src, dst, round(confidence, 6) AS confidence, frequency,
-  row_number() OVER (PARTITION BY group_id ORDER BY round(confidence, 9) DESC, src, dst) AS rank FROM cedges"""
+  CAST(row_number() OVER (PARTITION BY group_id ORDER BY round(confidence, 9) DESC, src, dst) AS INTEGER) AS rank FROM cedges"""
 ORACLE["simple_paths"] = (
     f"{RECURSIVE}{CAUSES}, {PATHS} SELECT group_id, array_to_string(path, '>') AS path, round(confidence, 6) AS confidence FROM paths"
 )
 ORACLE["root_ranking"] = f"{RECURSIVE}{CAUSES}, {PATHS}, {ROOTS} SELECT group_id, node, round(score, 6) AS score FROM roots"
 ORACLE["causal_chains"] = f"""{RECURSIVE}{CAUSES}, {PATHS}, {ROOTS},
 chains AS (SELECT p.group_id, path, score * confidence * ti AS confidence FROM paths p JOIN roots r ON r.group_id = p.group_id AND r.node = p.root)
-SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY confidence DESC, array_to_string(path, '>')) AS rank,
+SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY confidence DESC, array_to_string(path, '>')) AS INTEGER) AS rank,
   round(confidence, 6) AS confidence FROM chains WHERE confidence > 0 QUALIFY rank <= {CHAIN_LIMIT}"""
