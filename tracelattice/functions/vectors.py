@@ -40,20 +40,37 @@ def scaled(vector: Column, factor: Column) -> Column:
     return F.transform(vector, lambda x: x * factor)
 
 
-def vector_sum(vector: Column, weight: Column | None = None) -> Column:
-    """Aggregate: element-wise sum, weighted by a positive ``weight`` if given."""
+WIDE_DIMS = 64
+"""Up to this width, known when planning, a vector aggregate is one plain aggregate per dimension: these are
+compiled together and shuffle nothing but the numbers. Wider vectors go through Summarizer."""
+
+
+def _per_dimension(fn, vector: Column, dims: int | None) -> Column | None:
+    if dims is None or dims > WIDE_DIMS:
+        return None
+    return F.array(*[fn(F.get(vector, F.lit(i))) for i in range(dims)])
+
+
+def vector_sum(vector: Column, weight: Column | None = None, dims: int | None = None) -> Column:
+    """Aggregate: element-wise sum, weighted by a positive ``weight`` if given. ``dims`` is the width, if
+    known; ``vector`` should then be a plain column."""
+    plain = _per_dimension(lambda v: F.sum(v if weight is None else v * weight), vector, dims)
+    if plain is not None:
+        return plain
     dense = array_to_vector(vector)
     return vector_to_array(Summarizer.sum(dense) if weight is None else Summarizer.sum(dense, weight))
 
 
-def vector_mean(vector: Column) -> Column:
+def vector_mean(vector: Column, dims: int | None = None) -> Column:
     """Aggregate: element-wise mean."""
-    return vector_to_array(Summarizer.mean(array_to_vector(vector)))
+    plain = _per_dimension(F.avg, vector, dims)
+    return vector_to_array(Summarizer.mean(array_to_vector(vector))) if plain is None else plain
 
 
-def vector_max(vector: Column) -> Column:
+def vector_max(vector: Column, dims: int | None = None) -> Column:
     """Aggregate: element-wise maximum."""
-    return vector_to_array(Summarizer.max(array_to_vector(vector)))
+    plain = _per_dimension(F.max, vector, dims)
+    return vector_to_array(Summarizer.max(array_to_vector(vector))) if plain is None else plain
 
 
 def concat_array_columns(names: Sequence[str]) -> Column:

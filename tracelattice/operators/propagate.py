@@ -17,7 +17,11 @@ from tracelattice.functions.vectors import (
 from tracelattice.operators.graphs import GROUP
 from tracelattice.session import cut_lineage
 
-POOLS = {"mean": vector_mean, "sum": vector_sum, "max": vector_max}
+POOLS = {
+    "mean": vector_mean,
+    "sum": lambda vector, dims=None: vector_sum(vector, dims=dims),
+    "max": vector_max,
+}
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
@@ -65,11 +69,12 @@ def gather(adj: DataFrame, x: DataFrame) -> DataFrame:
     return adj.join(x.select(GROUP, F.col("node_id").alias("src"), "x"), [GROUP, "src"])
 
 
-def propagate(adj: DataFrame, x: DataFrame) -> DataFrame:
+def propagate(adj: DataFrame, x: DataFrame, dims: int | None = None) -> DataFrame:
     """Weighted sum of the vectors arriving at every node. Nodes without an incoming edge drop out;
-    normalised adjacencies have none such. Partial sums are built before the shuffle."""
+    normalised adjacencies have none such. Partial sums are built before the shuffle. ``dims`` is the
+    width of ``x``, if known."""
     moved = gather(adj.where("w > 0"), x)
-    return moved.groupBy(GROUP, F.col("dst").alias("node_id")).agg(vector_sum(F.col("x"), F.col("w")).alias("x"))
+    return moved.groupBy(GROUP, F.col("dst").alias("node_id")).agg(vector_sum(F.col("x"), F.col("w"), dims).alias("x"))
 
 
 def propagate_timed(
@@ -92,11 +97,11 @@ def with_edge_stats(adj: DataFrame, timing: DataFrame, width: int = 2) -> DataFr
     )
 
 
-def pool(x: DataFrame, how: str = "mean") -> DataFrame:
+def pool(x: DataFrame, how: str = "mean", dims: int | None = None) -> DataFrame:
     """Node vectors to one vector per graph."""
     if how not in POOLS:
         raise ValueError(f"pool must be one of {sorted(POOLS)}")
-    return x.groupBy(GROUP).agg(POOLS[how](F.col("x")).alias("z"))
+    return x.groupBy(GROUP).agg(POOLS[how](F.col("x"), dims).alias("z"))
 
 
 def pool_edges(edges: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -122,16 +127,16 @@ def distances(z: DataFrame, c: list[float]) -> DataFrame:
     )
 
 
-def node_importance(x: DataFrame) -> DataFrame:
+def node_importance(x: DataFrame, dims: int | None = None) -> DataFrame:
     """Distance of every node vector from the mean of its graph."""
-    return x.join(pool(x, "mean"), GROUP).select(GROUP, "node_id", l2(F.col("x"), F.col("z")).alias("importance"))
+    return x.join(pool(x, "mean", dims), GROUP).select(GROUP, "node_id", l2(F.col("x"), F.col("z")).alias("importance"))
 
 
-def encoder_rows(adj: DataFrame, x: DataFrame, layers: int = 2) -> DataFrame:
+def encoder_rows(adj: DataFrame, x: DataFrame, layers: int = 2, dims: int | None = None) -> DataFrame:
     """What a fixed encoder needs per node: the neighbour sum ``x`` and its share ``s`` in the graph
     vector. Since the second convolution and the mean pool are linear, a node counts with the sum
     of its outgoing weights over the number of nodes, and neighbours are summed only once."""
-    summed = propagate(adj, x)
+    summed = propagate(adj, x, dims)
     sizes = x.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n_nodes"))
     if layers == 1:
         return summed.join(sizes, GROUP).select(GROUP, "node_id", "x", (1.0 / F.col("n_nodes")).alias("s"))
@@ -146,14 +151,14 @@ def encoder_rows(adj: DataFrame, x: DataFrame, layers: int = 2) -> DataFrame:
 def encode_rows(rows: DataFrame, w1: np.ndarray, w2: np.ndarray) -> DataFrame:
     """``z = (sum_j s_j relu(x_j W1)) W2`` per graph."""
     hidden = rows.select(GROUP, "s", dense(w1, relu=True)(F.col("x")).alias("h")).where("s > 0")
-    summed = hidden.groupBy(GROUP).agg(vector_sum(F.col("h"), F.col("s")).alias("r"))
+    summed = hidden.groupBy(GROUP).agg(vector_sum(F.col("h"), F.col("s"), w1.shape[1]).alias("r"))
     return summed.select(GROUP, dense(w2)(F.col("r")).alias("z"))
 
 
 def encode(adj: DataFrame, x: DataFrame, w1: np.ndarray, w2: np.ndarray, layers: int = 2) -> DataFrame:
     """Graph vectors: convolution, relu, convolution, mean pool (``layers=2``), or convolution, relu,
     mean pool, linear map (``layers=1``)."""
-    return encode_rows(encoder_rows(adj, x, layers), w1, w2)
+    return encode_rows(encoder_rows(adj, x, layers, w1.shape[0]), w1, w2)
 
 
 def encode_inception(adj1: DataFrame, adj2: DataFrame, x: DataFrame, blocks: list[dict[str, np.ndarray]]) -> DataFrame:
@@ -162,10 +167,10 @@ def encode_inception(adj1: DataFrame, adj2: DataFrame, x: DataFrame, blocks: lis
         own = x.select(GROUP, "node_id", dense(block["W0"], bias=block.get("b0"))(F.col("x")).alias("x"))
         parts = [own]
         for adj, name in ((adj1, "W1"), (adj2, "W2")):
-            parts.append(propagate(adj, x).select(GROUP, "node_id", dense(block[name])(F.col("x")).alias("x")))
+            parts.append(propagate(adj, x, block[name].shape[0]).select(GROUP, "node_id", dense(block[name])(F.col("x")).alias("x")))
         union = parts[0].unionByName(parts[1]).unionByName(parts[2])
         # A block reads its input three times, so it is stored once.
-        x = cut_lineage(union.groupBy(GROUP, "node_id").agg(vector_sum(F.col("x")).alias("x")))
+        x = cut_lineage(union.groupBy(GROUP, "node_id").agg(vector_sum(F.col("x"), dims=block["W0"].shape[1]).alias("x")))
     return x
 
 

@@ -469,23 +469,23 @@ def formula_weights(rows: int, cols: int) -> np.ndarray:
 
 @query
 def propagate_once(spark, folder):
-    moved = propagate.propagate(*vector_graphs(spark, folder))
+    moved = propagate.propagate(*vector_graphs(spark, folder), DIMS)
     return moved.select("group_id", "node_id", micro("x", "x"))
 
 
 @query
 def mean_pool(spark, folder):
-    return propagate.pool(node_vectors(spark, folder), "mean").select("group_id", micro("z", "z"))
+    return propagate.pool(node_vectors(spark, folder), "mean", DIMS).select("group_id", micro("z", "z"))
 
 
 @query
 def sum_pool(spark, folder):
-    return propagate.pool(node_vectors(spark, folder), "sum").select("group_id", micro("z", "z"))
+    return propagate.pool(node_vectors(spark, folder), "sum", DIMS).select("group_id", micro("z", "z"))
 
 
 @query
 def max_pool(spark, folder):
-    return propagate.pool(node_vectors(spark, folder), "max").select("group_id", micro("z", "z"))
+    return propagate.pool(node_vectors(spark, folder), "max", DIMS).select("group_id", micro("z", "z"))
 
 
 @query
@@ -496,21 +496,21 @@ def edge_pool(spark, folder):
 
 @query
 def centre_distance(spark, folder):
-    z = adjacency.cut_lineage(with_labels(propagate.pool(node_vectors(spark, folder)), day_labels(spark, folder)))
+    z = adjacency.cut_lineage(with_labels(propagate.pool(node_vectors(spark, folder), dims=DIMS), day_labels(spark, folder)))
     scored = propagate.distances(z, propagate.centre(z, F.col("label") == 0))
     return scored.select("group_id", "label", r6("score"), r6("score_sq"))
 
 
 @query
 def most_anomalous(spark, folder):
-    z = adjacency.cut_lineage(with_labels(propagate.pool(node_vectors(spark, folder)), day_labels(spark, folder)))
+    z = adjacency.cut_lineage(with_labels(propagate.pool(node_vectors(spark, folder), dims=DIMS), day_labels(spark, folder)))
     scored = propagate.distances(z, propagate.centre(z, F.col("label") == 0))
     return metrics.most_anomalous(scored.select("group_id", r6("score")), 10)
 
 
 @query
 def node_importance(spark, folder):
-    return propagate.node_importance(node_vectors(spark, folder)).select("group_id", "node_id", r6("importance"))
+    return propagate.node_importance(node_vectors(spark, folder), DIMS).select("group_id", "node_id", r6("importance"))
 
 
 @query
@@ -560,7 +560,7 @@ def encoder_inputs(spark, folder):
 @query
 def one_class_scores(spark, folder):
     _, adj, x, labels = encoder_inputs(spark, folder)
-    rows = adjacency.cut_lineage(propagate.encoder_rows(adj, x))
+    rows = adjacency.cut_lineage(propagate.encoder_rows(adj, x, dims=DIMS))
     train = rows.join(splits.bernoulli_split(labels).where("split = 'train'"), "group_id", "left_semi")
     model, _ = oneclass.fit_one_class(train, oneclass.new_model(DIMS, HIDDEN, SEED), [oneclass.Stage(3)])
     return oneclass.score(rows, model, labels).select("group_id", "label", r6("score"))
@@ -569,7 +569,7 @@ def one_class_scores(spark, folder):
 @query
 def temporal_fusion_scores(spark, folder):
     _, adj, x, labels = encoder_inputs(spark, folder)
-    rows = adjacency.cut_lineage(propagate.encoder_rows(adj, x))
+    rows = adjacency.cut_lineage(propagate.encoder_rows(adj, x, dims=DIMS))
     summary = with_labels(temporal.gap_summary(day_steps(spark, folder)), labels)
     scaled = temporal.fit_scaler(summary, temporal.GAP_COLUMNS, F.col("label") == 0).apply(summary)
     timing = adjacency.cut_lineage(propagate.with_summary_vector(scaled, temporal.GAP_COLUMNS))
@@ -606,7 +606,7 @@ def timed_edge_fit(spark, folder):
     built, adj, x, labels = encoder_inputs(spark, folder)
     edges = propagate.with_edge_stats(adj, standardised_timing(built.edges, labels))
     edges = adjacency.cut_lineage(edges.select("group_id", "src", "dst", "t"))
-    rows = adjacency.cut_lineage(propagate.encoder_rows(adj, x))
+    rows = adjacency.cut_lineage(propagate.encoder_rows(adj, x, dims=DIMS))
     train = splits.bernoulli_split(labels).where("split = 'train'")
     model, _ = timed.fit_timed(
         rows.join(train, "group_id", "left_semi"),
