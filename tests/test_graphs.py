@@ -56,9 +56,11 @@ def test_counts_add_up_and_partitioning_does_not_matter(spark):
     assert sorted(map(tuple, one.edges.collect())) == sorted(map(tuple, many.edges.collect()))
 
 
-def test_edges_need_one_shuffle_of_the_log(spark):
-    plan = graphs.build_graphs(log(spark)).edges._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_edges_need_one_shuffle_of_the_log(spark, capsys):
+    edges = graphs.build_graphs(log(spark)).edges
+    capsys.readouterr()
+    edges.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
 
 
 def test_gap_summary_matches_numpy(spark):

@@ -55,6 +55,7 @@ def test_keys_labels_and_times(spark):
 
 def test_small_expressions(spark):
     assert one(spark, S.clean_text(F.lit("  Disk 7 Failed! "))) == "disk  failed"
+    assert one(spark, S.clean_text(F.lit("\u00a0A\u2003b\x1c"))) == "a\u2003b"
     assert one(spark, S.signed_log(F.lit(-1.0))) == pytest.approx(-0.693147, abs=1e-6)
     assert one(spark, S.finite_or(F.lit(float("nan")), 1.0)) == 1.0
     assert one(spark, S.first_nonblank(F.lit(" "), text(None), F.lit("c"))) == "c"

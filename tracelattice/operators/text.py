@@ -10,7 +10,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelattice.functions.scalars import clean_text
+from tracelattice.functions.scalars import WHITE_SPACE, clean_text
 from tracelattice.functions.vectors import l2_normalise, vector_sum
 from tracelattice.session import cut_lineage
 
@@ -27,7 +27,7 @@ def tokens(texts: DataFrame, key: str, text: str = "text", stop: Sequence[str] |
     The default stop words are Spark's English list."""
     stop = StopWordsRemover.loadDefaultStopWords("english") if stop is None else stop
     words = F.filter(
-        F.split(clean_text(F.col(text)), r"(?U)\s+"),
+        F.split(clean_text(F.col(text)), rf"(?U)[{WHITE_SPACE}]+"),
         lambda w: (F.length(w) >= 2) & ~w.isin(*stop) if stop else F.length(w) >= 2,
     )
     return texts.select(key, F.explode(words).alias("term"))

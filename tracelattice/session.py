@@ -21,6 +21,8 @@ def build_session(master: str | None = None, partitions: int | None = None, **co
         # Let the skew split win over saving one exchange: one group may hold a third of all rows.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Checkpoints are removed when no table refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     if partitions:
