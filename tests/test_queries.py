@@ -6,6 +6,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import connect, ordered_rows
+from tracelattice.plans.oracle import ORACLE
+from tracelattice.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
@@ -22,7 +24,7 @@ def test_entry(spark):
 
 
 def test_only_model_queries_lack_sql():
-    assert set(queries()) - set(oracle_sql()) == {
+    assert set(QUERIES) - set(ORACLE) == {
         "svd_embedding", "one_class_scores", "temporal_fusion_scores", "timed_edge_scores", "timed_edge_fit",
     }
     assert set(oracle_sql()) <= set(queries())
