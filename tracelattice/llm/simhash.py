@@ -227,9 +227,9 @@ def matches(rows, of, first, size, probe, filed, radius, other_radius):
         k = many[start:stop]
         q = np.repeat(rows[start:stop], k)
         f = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[of[start:stop]], k)
-        hit = np.bitwise_count(probe[1][q] ^ filed[1][f]) <= radius
+        hit = np.bitwise_count((probe[1][q] ^ filed[1][f]).view(np.uint64)) <= radius
         q, f = q[hit], f[hit]
-        hit = (np.bitwise_count(probe[2][q] ^ filed[2][f]) <= other_radius) & (probe[0][q] < filed[0][f])
+        hit = (np.bitwise_count((probe[2][q] ^ filed[2][f]).view(np.uint64)) <= other_radius) & (probe[0][q] < filed[0][f])
         a, b = probe[0][q[hit]], filed[0][f[hit]]
         if len(a):
             some = spanning(a, b)

@@ -28,7 +28,7 @@ NONE = -(1 << 63)
 
 def seed_hashes(buf: np.ndarray) -> np.ndarray:
     """Hash of the SEED bytes from each position on (SEED is a power of two)."""
-    h, width, base = buf.astype(np.uint64) + np.uint64(1), 1, np.uint64(0x9E3779B97F4A7C55)
+    h, width, base = buf.astype(np.uint64) + np.uint64(1), 1, np.array([0x9E3779B97F4A7C55], np.uint64)
     while width < SEED:
         h = h[:-width] * base + h[width:]
         base, width = base * base, width * 2
