@@ -240,7 +240,8 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, hot_segments: int = H
     """doc, th, lo, hi: ranges of bytes covered by repeated strings, for `rows` (doc, th, text; see `dedup_substrings`)."""
     every = written(segment_table(rows, length))
     hashes = every.groupBy("h").agg(F.count("*").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).where("n > 1")
-    hashes = hashes.select("h", (F.col("low") != F.col("high")).alias("mixed"))
+    # written, so that the join below has plain exchanges on both sides, which Spark can split at a hot hash
+    hashes = written(hashes.select("h", (F.col("low") != F.col("high")).alias("mixed")))
     again = written(every.join(hashes, "h"))
     equal = again.where("not mixed").select("doc", "th", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
     unlike = again.where("mixed")
