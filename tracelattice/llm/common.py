@@ -42,6 +42,13 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def hash_sample(df: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """At most `limit` rows, those of smallest hash of `keys`. A count of the rows lets tasks drop nearly all others first."""
+    spare = (1.5 * limit + 1000) / max(df.count(), 1)
+    mark = F.xxhash64(*keys)
+    return df.where(F.pmod(mark, F.lit(1 << 40)) < int(min(1.0, spare) * (1 << 40))).orderBy(F.pmod(mark, F.lit(1 << 40)), mark).limit(limit)
+
+
 def id_remainder(modulus: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo `modulus`; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus))

@@ -74,7 +74,7 @@ def likeness(a: str, b: str) -> float:
     return 1.0 - difference(a, b) / LIMIT
 
 
-def fingerprint_documents(docs: DataFrame, rows_per_range: int = 20_000) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
     """doc_id, n_chars, fingerprint, next_doc_id, edited (text), edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last half replaced by the start of the next document's text (ascending doc_id; after
@@ -89,11 +89,13 @@ def fingerprint_documents(docs: DataFrame, rows_per_range: int = 20_000) -> Data
     cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", at, 10 * parts).alias("c")).first().c or []))
     placed = rows.withColumn("part", range_of(cuts)).withColumn("h", F.xxhash64("text"))
     order = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h")
-    firsts = stored(placed.groupBy("part").agg(F.min_by(F.struct("doc_id", "text", "h"), order).alias("f")))
+    at_first = stored(placed.groupBy("part").agg(F.min(order).alias("f")))  # at most MOST_RANGES small rows: broadcast
+    is_first = placed.part.eqNullSafe(at_first.part) & placed.doc_id.eqNullSafe(at_first.f.doc_id) & (placed.h == at_first.f.h)
+    firsts = stored(placed.join(F.broadcast(at_first), is_first, "left_semi").dropDuplicates(["part"]))
     turn = sorted(r.part for r in firsts.select("part").collect())
     before = {p: turn[i - 1] for i, p in enumerate(turn)}
     heads = firsts.replace(before, subset=["part"]) if len(turn) > 1 else firsts
-    heads = heads.select("f.doc_id", "f.text", "part", "f.h", F.lit(1).alias("head"))
+    heads = heads.select("doc_id", "text", "part", "h", F.lit(1).alias("head"))
     both = placed.withColumn("head", F.lit(0)).select("doc_id", "text", "part", "h", "head").unionByName(heads)
     both = both.repartition(max(1, len(turn)), "part").sortWithinPartitions("part", "head", F.col("doc_id").asc_nulls_first(), "h")
 

@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelattice.llm.common import map_rows
+from tracelattice.llm.common import hash_sample, map_rows
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object|select)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
@@ -173,7 +173,7 @@ def fit_weights(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str,
     links; tags that frame a page weigh fourfold. Without labelled pages words score 1 and tags -1.
     """
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)\\b|articleBody"))
-    sample = marked.select(F.xxhash64("page_id", "html").alias("r"), F.col("html").alias("html")).orderBy("r").limit(sample_pages)
+    sample = hash_sample(marked.select("page_id", "html"), sample_pages, "page_id", "html").select("html")
 
     def count(c):
         total: Counter = Counter()

@@ -121,8 +121,13 @@ def sample_windows(docs: DataFrame, per_label: int = PER_LABEL, windows: int = W
 
     Only those windows reach the driver: at most per_label * windows * labels of WINDOW bytes.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    chosen = docs.where(learned_rows()).select("lang", "text").withColumn("n", rank).where(F.col("n") <= per_label)
+    mark = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    rows = docs.where(learned_rows()).select("lang", "text")
+    # rows of small hash by label first, so that few reach the ranking
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    few = rows.join(counts, "lang").where(mark < F.lit(float(1 << 40)) * (1.5 * per_label + 200) / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(mark, "text"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_label)
 
     def cut(c):
         out: dict[str, list] = {"lang": [], "window": []}

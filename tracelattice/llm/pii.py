@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelattice.llm.boosting import Trees, calibrate, fit_trees, precise_threshold
-from tracelattice.llm.common import map_rows, whole_text
+from tracelattice.llm.common import hash_sample, map_rows, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -130,7 +130,8 @@ def same_span(a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
 
 def training_rows(docs: DataFrame, sample_docs: int, sample_spans: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, label and part (0 fit, 1 calibrate) of proposals in the documents of smallest hash."""
-    chosen = docs.select(F.xxhash64("doc_id", "text").alias("r"), whole_text().alias("t")).orderBy("r").limit(sample_docs)
+    chosen = hash_sample(docs.select("doc_id", "text"), sample_docs, "doc_id", "text")
+    chosen = chosen.select(F.xxhash64("doc_id", "text").alias("r"), whole_text().alias("t"))
 
     def rows(c):
         out: dict[str, list] = {"r": [], "at": [], "y": [], "x": []}
