@@ -88,9 +88,10 @@ def fingerprint_documents(docs: DataFrame, rows_per_range: int = 4000) -> DataFr
     at = [k / parts for k in range(1, parts)]
     cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", at, 10 * parts).alias("c")).first().c or []))
     placed = rows.withColumn("part", range_of(cuts)).withColumn("h", F.xxhash64("text"))
-    order = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h")
+    order = F.struct(F.col("doc_id").isNotNull().alias("told"), "doc_id", "h")
     at_first = stored(placed.groupBy("part").agg(F.min(order).alias("f")))  # at most MOST_RANGES small rows: broadcast
-    is_first = placed.part.eqNullSafe(at_first.part) & placed.doc_id.eqNullSafe(at_first.f.doc_id) & (placed.h == at_first.f.h)
+    at_first = at_first.select(F.col("part").alias("p"), F.col("f.doc_id").alias("d"), F.col("f.h").alias("x"))
+    is_first = (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("x"))
     firsts = stored(placed.join(F.broadcast(at_first), is_first, "left_semi").dropDuplicates(["part"]))
     turn = sorted(r.part for r in firsts.select("part").collect())
     before = {p: turn[i - 1] for i, p in enumerate(turn)}
