@@ -65,7 +65,7 @@ def counts_differ(x: Column, y: Column) -> Column:
     """Sum of the differences of letter counts; an edit changes it by two at most. Counts are taken modulo 256."""
     out = F.lit(0).cast("long")
     for k in range(len(LETTERS)):
-        d = (F.shiftrightunsigned(x, 8 * k) - F.shiftrightunsigned(y, 8 * k)).bitwiseAND(F.lit(255))
+        d = F.abs(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(y, 8 * k).bitwiseAND(F.lit(255)))
         out = out + F.least(d, 256 - d)
     return out
 
@@ -77,25 +77,25 @@ def bounds(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return F.lit(i) * small + extra, small + F.when(F.lit(i) >= F.lit(parts) - long_ones, 1).otherwise(0)
 
 
-def filed_keys(edits: int) -> Column:
-    n, keys = F.length("line"), []
+def filed_keys(line: Column, edits: int) -> Column:
+    n, keys = F.length(line), []
     for i in range(edits + 1):
         at, size = bounds(n, i, edits + 1)
-        keys.append(F.xxhash64(n, F.lit(i), F.substring(F.col("line"), at + 1, size)))
+        keys.append(F.xxhash64(n, F.lit(i), F.substring(line, at + 1, size)))
     return F.array(*keys)
 
 
-def probe_keys(edits: int) -> Column:
+def probe_keys(line: Column, edits: int) -> Column:
     """Hashes of the substrings at which a line of this length can hold a segment of a line up to `edits` shorter."""
     keys = []
     for longer in range(edits + 1):
-        n = F.length("line") - longer
+        n = F.length(line) - longer
         for i in range(edits + 1):
             at, size = bounds(n, i, edits + 1)
             for shift in range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1):
                 start = at + shift
-                key = F.xxhash64(n, F.lit(i), F.substring(F.col("line"), start + 1, size))
-                keys.append(F.when((start >= 0) & (start + size <= F.length("line")), key))
+                key = F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size))
+                keys.append(F.when((start >= 0) & (start + size <= F.length(line)), key))
     return F.array_compact(F.array(*keys))
 
 
@@ -105,32 +105,38 @@ def exploded(rows: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.btrim("line", F.lit(SPACE))).where("line <> ''")
 
 
-def near_pairs(distinct: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """a, b (line hashes), a_at, b_at: pairs of different lines of `distinct` (h, line, at), each of at least `shortest`
-    characters, at most `edits` edits apart; pairs of equal length come in both orders."""
-    lines = distinct.where(F.length("line") >= shortest)
-    own = lines.select("h", letter_counts(F.col("line")).alias("bag"), filed_keys(edits).alias("filed"), probe_keys(edits).alias("probes"))
-    filed = own.select(F.explode("filed").alias("key"), F.col("h").alias("a"), F.col("bag").alias("abag"))
-    probes = own.select(F.explode("probes").alias("key"), F.col("h").alias("b"), F.col("bag").alias("bbag"))
+def near_pairs(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+    """a, b (line hashes): pairs of different lines of `lines` (line), each of at least `shortest` characters, at most `edits`
+    edits apart; pairs of equal length come in both orders.
+
+    Keys and letter counts are results of the aggregation that makes lines distinct, so they are computed once a line, and all
+    uses of the distinct lines read one shuffle.
+    """
+    some = lines.where(F.length("line") >= shortest).groupBy(F.xxhash64("line").alias("h"))
+    line = F.first("line")
+    filed = some.agg(letter_counts(line).alias("abag"), filed_keys(line, edits).alias("filed"))
+    filed = filed.select(F.explode("filed").alias("key"), F.col("h").alias("a"), "abag")
+    probes = some.agg(letter_counts(line).alias("bbag"), probe_keys(line, edits).alias("probes"))
+    probes = probes.select(F.explode("probes").alias("key"), F.col("h").alias("b"), "bbag")
     maybe = filed.join(probes, "key").where((F.col("a") != F.col("b")) & (counts_differ(F.col("abag"), F.col("bbag")) <= 2 * edits))
     maybe = maybe.select("a", "b").distinct()
-    left = lines.select(F.col("h").alias("a"), F.col("line").alias("a_line"), F.col("at").alias("a_at"))
-    right = lines.select(F.col("h").alias("b"), F.col("line").alias("b_line"), F.col("at").alias("b_at"))
+    left = some.agg(line.alias("a_line")).withColumnRenamed("h", "a")
+    right = some.agg(line.alias("b_line")).withColumnRenamed("h", "b")
     both = maybe.join(left, "a").join(right, "b")
-    return both.where(within_edits(F.col("a_line"), F.col("b_line"), edits)).select("a", "b", "a_at", "b_at")
+    return both.where(within_edits(F.col("a_line"), F.col("b_line"), edits)).select("a", "b")
 
 
 def repeated_lines(rows: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """doc, th, exact, near: numbers of the lines that go from every document that loses one; `rows` as in `keyed`."""
     lines = exploded(rows)
     at = F.struct(F.col("doc").isNull().alias("late"), "doc", "th", "no")
-    distinct = lines.groupBy(F.xxhash64("line").alias("h")).agg(F.first("line").alias("line"), F.min(at).alias("at"))
-    pairs = near_pairs(distinct, edits, shortest)
-    later = pairs.select(F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct()
-    later = stored(later.withColumn("near", F.lit(True)))
     places = lines.select(F.xxhash64("line").alias("h"), at.alias("at"))
-    first = places.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).join(later, "h", "left").where("n > 1 or near")
-    gone = places.join(first, "h").where((F.col("at") != F.col("first")) | F.col("near"))
+    first = stored(places.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+    pairs = stored(near_pairs(lines.select("line"), edits, shortest))
+    ends = pairs.join(first.select(F.col("h").alias("a"), F.col("first").alias("a_at")), "a").join(first.select(F.col("h").alias("b"), F.col("first").alias("b_at")), "b")
+    later = ends.select(F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct()
+    first = first.join(later.withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near")
+    gone = places.join(stored(first), "h").where((F.col("at") != F.col("first")) | F.col("near"))
     return gone.groupBy(F.col("at.doc").alias("doc"), F.col("at.th").alias("th")).agg(
         F.array_sort(F.collect_set(F.when(F.col("at") != F.col("first"), F.col("at.no")))).alias("exact"),
         F.array_sort(F.collect_set(F.when(F.col("at") == F.col("first"), F.col("at.no")))).alias("near"),
