@@ -109,11 +109,13 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -
     """a, b (line hashes): pairs of different lines of `lines` (line), each of at least `shortest` characters, at most `edits`
     edits apart; pairs of equal length come in both orders.
 
-    Keys and letter counts are results of the aggregation that makes lines distinct, so they are computed once a line.
+    Keys and letter counts are written, so that they are computed once a line.
     """
     some = lines.where(F.length("line") >= shortest).groupBy(F.xxhash64("line").alias("h"))
     line = F.first("line")
-    own = written(some.agg(letter_counts(line).alias("bag"), filed_keys(line, edits).alias("filed"), probe_keys(line, edits).alias("probes")))
+    each = lines.where(F.length("line") >= shortest).select("line").distinct()  # hashed, where first() would sort
+    text = F.col("line")
+    own = written(each.select(F.xxhash64("line").alias("h"), letter_counts(text).alias("bag"), filed_keys(text, edits).alias("filed"), probe_keys(text, edits).alias("probes")))
     filed = own.select(F.explode("filed").alias("key"), F.col("h").alias("a"), F.col("bag").alias("abag"))
     probes = own.select(F.explode("probes").alias("key"), F.col("h").alias("b"), F.col("bag").alias("bbag"))
     maybe = filed.join(probes, "key").where((F.col("a") != F.col("b")) & (counts_differ(F.col("abag"), F.col("bbag")) <= 2 * edits))
