@@ -86,7 +86,10 @@ def filed_keys(line: Column, edits: int) -> Column:
 
 
 def probe_keys(line: Column, edits: int) -> Column:
-    """Hashes of the substrings at which a line of this length can hold a segment of a line up to `edits` shorter."""
+    """Hashes of the substrings at which a line of this length can hold a segment of a line up to `edits` shorter.
+
+    With segments of a character at least (lines longer than 2 * edits) all of them lie inside the line.
+    """
     keys = []
     for longer in range(edits + 1):
         n = F.length(line) - longer
@@ -94,9 +97,8 @@ def probe_keys(line: Column, edits: int) -> Column:
             at, size = bounds(n, i, edits + 1)
             for shift in range(max(-i, longer - (edits - i)), min(i, longer + (edits - i)) + 1):
                 start = at + shift
-                key = F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size))
-                keys.append(F.when((start >= 0) & (start + size <= F.length(line)), key))
-    return F.array_compact(F.array(*keys))
+                keys.append(F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size)))
+    return F.array(*keys)
 
 
 def exploded(rows: DataFrame) -> DataFrame:
@@ -109,13 +111,12 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -
     """a, b (line hashes): pairs of different lines of `lines` (line), each of at least `shortest` characters, at most `edits`
     edits apart; pairs of equal length come in both orders.
 
-    Keys and letter counts are written, so that they are computed once a line.
+    Keys and letter counts are results of the aggregation that makes lines distinct (which computes common parts once), and are
+    written, so that they are computed once a line.
     """
-    some = lines.where(F.length("line") >= shortest).groupBy(F.xxhash64("line").alias("h"))
+    some = lines.where(F.length("line") >= max(shortest, 2 * edits + 1)).groupBy(F.xxhash64("line").alias("h"))
     line = F.first("line")
-    each = lines.where(F.length("line") >= shortest).select("line").distinct()  # hashed, where first() would sort
-    text = F.col("line")
-    own = written(each.select(F.xxhash64("line").alias("h"), letter_counts(text).alias("bag"), filed_keys(text, edits).alias("filed"), probe_keys(text, edits).alias("probes")))
+    own = written(some.agg(letter_counts(line).alias("bag"), filed_keys(line, edits).alias("filed"), probe_keys(line, edits).alias("probes")))
     filed = own.select(F.explode("filed").alias("key"), F.col("h").alias("a"), F.col("bag").alias("abag"))
     probes = own.select(F.explode("probes").alias("key"), F.col("h").alias("b"), F.col("bag").alias("bbag"))
     maybe = filed.join(probes, "key").where((F.col("a") != F.col("b")) & (counts_differ(F.col("abag"), F.col("bbag")) <= 2 * edits))
