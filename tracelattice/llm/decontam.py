@@ -177,6 +177,6 @@ def overlaps(seeds: Seeds, ids: list, texts: list[bytes]) -> list[tuple]:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of `docs` that overlap no benchmark item; columns as they are. Rows with a null id are told apart by text."""
     key = F.xxhash64("doc_id", whole_text())
-    marked = docs.withColumn("_row", key)
-    bad = contaminated_spans(marked.select(F.col("_row").alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("_row")).distinct()
-    return marked.join(bad, "_row", "left_anti").select(*docs.columns)
+    marked = docs.withColumn("__llm_row", key)
+    bad = contaminated_spans(marked.select(F.col("__llm_row").alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("__llm_row")).distinct()
+    return marked.join(bad, "__llm_row", "left_anti").select(*docs.columns)

@@ -145,7 +145,7 @@ def repeated_lines(rows: DataFrame, edits: int = EDITS, shortest: int = SHORTEST
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_doc", F.col("doc_id")).withColumn("_th", F.xxhash64(whole_text()))
+    return docs.withColumn("__llm_doc", F.col("doc_id")).withColumn("__llm_th", F.xxhash64(whole_text()))
 
 
 def line_report(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
@@ -156,7 +156,7 @@ def line_report(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -
     `shortest` characters or more, stands before it. Null texts have one empty line. Repeated rows count as one row and
     lose the same lines. Columns of other names are left aside; an empty table gives an empty result.
     """
-    rows = keyed(docs).select("doc_id", F.col("_doc").alias("doc"), F.col("_th").alias("th"), whole_text().alias("text"))
+    rows = keyed(docs).select("doc_id", F.col("__llm_doc").alias("doc"), F.col("__llm_th").alias("th"), whole_text().alias("text"))
     gone = repeated_lines(rows.select("doc", "th", "text"), edits, shortest).withColumnRenamed("doc", "d").withColumnRenamed("th", "t")
     every = rows.select("doc_id", "doc", "th", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
     got = every.join(gone, every.doc.eqNullSafe(gone.d) & (every.th == gone.t), "left")
@@ -172,11 +172,11 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -
     A null text stays null; a text that loses all its lines becomes empty.
     """
     rows = keyed(docs)
-    gone = repeated_lines(rows.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), whole_text().alias("text")), edits, shortest)
-    gone = gone.select(F.col("doc").alias("_d"), F.col("th").alias("_t"), F.concat("exact", "near").alias("_gone"))
-    both = rows.join(gone, rows._doc.eqNullSafe(gone._d) & (rows._th == gone._t), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    both = both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    gone = repeated_lines(rows.select(F.col("__llm_doc").alias("doc"), F.col("__llm_th").alias("th"), whole_text().alias("text")), edits, shortest)
+    gone = gone.select(F.col("doc").alias("__llm_d"), F.col("th").alias("__llm_t"), F.concat("exact", "near").alias("__llm_gone"))
+    both = rows.join(gone, F.col("__llm_doc").eqNullSafe(F.col("__llm_d")) & (F.col("__llm_th") == F.col("__llm_t")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__llm_gone"), i)), "\n")
+    both = both.withColumn("text", F.when(F.col("__llm_gone").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        both = both.withColumn("n_chars", F.when(F.col("__llm_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return both.select(*docs.columns)

@@ -292,15 +292,15 @@ def near_dedup(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
     texts. Columns stay as they are; of repeated rows one stays; null ids come last.
     """
     ident = F.xxhash64(whole_text())
-    marked = docs.withColumn("_id", ident)
+    marked = docs.withColumn("__llm_id", ident)
     first = stored(fingerprints(docs.select(ident.alias("id"), "text"), (probe_width, width), ("id",)).distinct())
     nodes = first.select("id", F.col(f"fp{probe_width}").alias("fp"), F.col(f"fp{width}").alias("other"))
     candidates = stored(links(nodes, radius, wide_radius).distinct())
     asked = candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(ident.alias("id"), whole_text().alias("text")).join(asked, "id").groupBy("id").agg(F.first("text").alias("text"))
     roots = connected(stored(verified(candidates, stored(texts), width, least)))
-    of = marked.select("_id", "doc_id").groupBy("_id").agg(F.min("doc_id").alias("low"))
-    of = of.join(roots, of._id == roots.node, "left").select("_id", "low", F.coalesce("root", "_id").alias("_root"))
-    of = of.join(of.groupBy("_root").agg(F.min("low").alias("_least")), "_root").select("_id", "_root", "_least")
-    kept = marked.join(of, "_id").where(F.col("doc_id").eqNullSafe(F.col("_least")))
-    return kept.dropDuplicates(["_root"]).select(*docs.columns)
+    of = marked.select("__llm_id", "doc_id").groupBy("__llm_id").agg(F.min("doc_id").alias("low"))
+    of = of.join(roots, of.__llm_id == roots.node, "left").select("__llm_id", "low", F.coalesce("root", "__llm_id").alias("__llm_root"))
+    of = of.join(of.groupBy("__llm_root").agg(F.min("low").alias("__llm_least")), "__llm_root").select("__llm_id", "__llm_root", "__llm_least")
+    kept = marked.join(of, "__llm_id").where(F.col("doc_id").eqNullSafe(F.col("__llm_least")))
+    return kept.dropDuplicates(["__llm_root"]).select(*docs.columns)
