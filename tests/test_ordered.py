@@ -36,6 +36,15 @@ def test_large_group_is_split_evenly_and_whole(skewed):
     assert all(r[CHUNK] is None for r in sizes if r["group_id"] != "hot")
 
 
+def test_every_large_group_is_cut(spark):
+    rows = [(f"g{i % 90}", i, "e", float(i)) for i in range(9000)]
+    df = spark.createDataFrame(rows, "group_id string, seq bigint, event string, ts_s double")
+    cut = ordered(df, ["group_id"], ["seq"], hot_rows=20)
+    sizes = cut.chunked().groupBy("group_id", CHUNK).count().collect()
+    assert len({r["group_id"] for r in sizes if r[CHUNK] is not None}) == 90 and max(r["count"] for r in sizes) < 100
+    assert same(ordered(df, ["group_id"], ["seq"]).scan(position="pos"), cut.scan(position="pos"))
+
+
 def test_null_values_are_not_taken_for_missing_rows(spark):
     rows = [("g", i, None if i % 4 == 0 else "x") for i in range(60)]
     df = spark.createDataFrame(rows, "group_id string, seq bigint, event string")

@@ -83,3 +83,17 @@ def test_checks(spark):
         checks.require_unique(df.unionByName(df))
     with pytest.raises(RuntimeError):
         checks.require_complete(df, df.where("n = 1"))
+
+
+def test_white_space_of_any_kind_is_blank(spark):
+    assert one(spark, S.severity(F.lit("\t"), F.lit("x ERROR y"))) == "ERROR"
+    assert one(spark, S.severity(F.lit("\twarning\n"), F.lit("x ERROR y"))) == "WARN"
+    assert one(spark, S.component(F.lit("\n"), F.lit("\tNet\t"), F.lit("m"))) == "net"
+
+
+def test_parameters_of_other_types(spark):
+    from tracelattice.operators.features import parsed_fields
+
+    for kind, value, want in (("map<string,string>", {"k": "3 x 4"}, [3.0, 4.0]), ("array<double>", [5.5], [5.5]), ("string", "9", [7.0]), ("array<string>", ["1", "b 2"], [1.0, 2.0])):
+        df = spark.createDataFrame([("e", "m 7", value)], f"event string, message string, params {kind}")
+        assert sorted(parsed_fields(df).first()["params"]) == want, kind

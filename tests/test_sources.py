@@ -102,3 +102,14 @@ def test_graph_store(spark, tmp_path):
     store.write_graphs(built, str(tmp_path / "s"))
     back = store.read_graphs(spark, str(tmp_path / "s"))
     assert {k: v.count() for k, v in back.items()} == {"nodes": 2, "edges": 2, "graphs": 1}
+
+
+def test_awkward_keys_survive_split_files(spark, tmp_path):
+    rows = [('a"b', 0, "train"), ("c,d", 1, "test"), ("e\nf", 0, "validation"), ("g\\h", 0, "train"), ('\\"', 1, "test")]
+    store.write_splits(spark.createDataFrame(rows, "group_id string, label int, split string"), str(tmp_path))
+    assert {tuple(r) for r in logs.read_splits(spark, str(tmp_path)).collect()} == set(rows)
+
+
+def test_quoted_line_breaks_need_no_flag(spark, tmp_path):
+    path = write(tmp_path / "log.csv", 'LineId,EventTemplate,Node,Timestamp\n1,"a\nb",x,5\n2,c,y,6\n')
+    assert [(r["seq"], r["event"]) for r in logs.read_log(spark, path, "bgl").orderBy("seq").collect()] == [(1, "a\nb"), (2, "c")]

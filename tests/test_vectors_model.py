@@ -142,10 +142,20 @@ def test_training_lowers_the_loss(spark, adj, x):
 
 def test_grid(x, adj):
     points = O.grid(lr=[0.01, 0.02], seed=[0], hidden=[4])
-    models, table = O.run_grid(propagate.encoder_rows(adj, x), 5, points, 2)
+    models, table = O.run_grid(adj, x, 5, points, 2)
     assert len(models) == 2 and table.count() == 4
 
 
+def test_grid_over_layers(x, adj):
+    _, table = O.run_grid(adj, x, 5, O.grid(layers=[1, 2], seed=[0], hidden=[4]), 2)
+    losses = {(r["config"], r["epoch"]): r["loss"] for r in table.collect()}
+    one, two = (losses[f"layers={n},seed=0,hidden=4", 1] for n in (1, 2))
+    assert abs(one - two) > 1e-9
+    for n, loss in ((1, one), (2, two)):
+        _, alone = O.fit_one_class(propagate.encoder_rows(adj, x, n), O.new_model(5, 4, 0, layers=n), [O.Stage(2, 0.01)], 1e-4)
+        assert alone[0][1] == pytest.approx(loss)
+
+
 def test_node_features_match_numpy(spark):
     rows = [("g", 0, "a", "disk 1 and 3", "INFO"), ("g", 1, "b", "mem 5", "WARN"), ("g", 2, "a", "disk 2", "ERROR"),
             ("g", 3, "a", "none", "ERROR"), ("h", 0, "b", "mem -2", None)]

@@ -19,8 +19,13 @@ NUMBER_LIMIT = 1e12
 COMPONENT_BINS = 32
 
 
+def stripped(value: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(value.cast("string"), rf"(?U)^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
+
+
 def blank_to_null(value: Column) -> Column:
-    return F.when(F.trim(value.cast("string")) != "", value)
+    return F.when(stripped(value) != "", value)
 
 
 def first_nonblank(*values: Column) -> Column:
@@ -40,7 +45,7 @@ def label_to_int(label: Column) -> Column:
 def checked_binary(value: Column) -> Column:
     """``value`` as int; the job fails on a value other than 0 and 1. Null stays null."""
     whole = value.cast("int")
-    message = F.concat(F.lit("expected binary labels 0/1; found "), value.cast("string"))
+    message = F.concat(F.lit("a label must be 0 or 1, not "), value.cast("string"))
     return F.when(whole.isNull() | whole.isin(0, 1), whole).otherwise(F.raise_error(message).cast("int"))
 
 
@@ -78,7 +83,7 @@ def event_or_message(template: Column, message: Column | None = None) -> Column:
 
 def severity(level: Column, message: Column) -> Column:
     """Severity name from the level field, else from the message."""
-    found = F.upper(F.coalesce(blank_to_null(level), F.regexp_extract(message, SEVERITY_PATTERN, 1)))
+    found = F.upper(F.coalesce(stripped(blank_to_null(level)), F.regexp_extract(message, SEVERITY_PATTERN, 1)))
     named = F.when(found == "WARNING", "WARN").when(found == "CRITICAL", "FATAL").otherwise(found)
     return F.when(named.isin(*SEVERITIES), named).otherwise("UNKNOWN")
 
@@ -95,7 +100,7 @@ def component(comp: Column, subsystem: Column, message: Column) -> Column:
     ).otherwise(comp)
     bracketed = F.nullif(F.regexp_extract(message, COMPONENT_PATTERN, 1), F.lit(""))
     name = F.coalesce(joined, subsystem, bracketed, F.lit("UNKNOWN"))
-    return F.coalesce(F.nullif(F.lower(F.trim(name)), F.lit("")), F.lit("UNKNOWN"))
+    return F.coalesce(F.nullif(F.lower(stripped(name)), F.lit("")), F.lit("UNKNOWN"))
 
 
 def component_bin(comp: Column, bins: int = COMPONENT_BINS) -> Column:
@@ -120,7 +125,7 @@ def numbers_in(text: Column) -> Column:
 
 
 def numeric_params(params: Column | None, message: Column) -> Column:
-    """Numbers in the parameter strings, else in the message when there are no parameters."""
+    """Numbers in the parameter strings (array<string>), else in the message when there are no parameters."""
     from_message = F.coalesce(numbers_in(message), F.array().cast("array<double>"))
     if params is None:
         return from_message

@@ -260,15 +260,13 @@ def norm_pr(
     nodes: DataFrame,
     alpha: float = ALPHA,
     iterations: int = ITERATIONS,
-    max_nodes: int = 2000,
     small_edges: int = SMALL_EDGES,
 ) -> DataFrame:
     """Full PageRank normalisation, where every node pair of a graph gets a weight: n² rows per graph
-    by definition. Graphs above ``max_nodes`` are refused."""
+    by definition, whatever its size."""
     p = cut_lineage(transition_matrix(edges, nodes))
     nodes = matrix_nodes(p)
     sizes = nodes.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n_nodes"))
-    fail_if_any(sizes.where(F.col("n_nodes") > max_nodes), f"graphs above {max_nodes} nodes")
     pi = pagerank(p, alpha, iterations, small_edges)
     # Targets are numbers 0 … n-1, so the n² rows come from a sequence and not from a join.
     every = nodes.join(sizes, GROUP).select(

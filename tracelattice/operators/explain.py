@@ -1,8 +1,8 @@
 """Root events and causal chains of anomalous groups, for all groups at once.
 
 ``nodes``: group_id, node, importance and optionally ts. ``edges``: group_id, src, dst, weight.
-Confidence is a transparent heuristic: 55 % transition frequency, 25 % time order, 20 % importance of
-the target.
+An edge's confidence is a weighted sum of how frequent it is, whether its times are in order, and how important
+its target is.
 """
 
 from __future__ import annotations
@@ -20,9 +20,6 @@ from tracelattice.session import cut_lineage
 FREQUENCY_WEIGHT, PRECEDENCE_WEIGHT, IMPORTANCE_WEIGHT = 0.55, 0.25, 0.20
 REVERSED_ORDER = 0.05
 
-SMALL_TOP_K = 32
-"""Up to this many nodes per sub-graph, its edges travel as one array."""
-
 
 class RootCauses(NamedTuple):
     nodes: DataFrame
@@ -55,7 +52,7 @@ def top_k(nodes: DataFrame, k: int) -> DataFrame:
 def influential_subgraph(nodes: DataFrame, edges: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """The top-k nodes of every group and the edges among them."""
     if k < 1:
-        raise ValueError("top_k must be at least one")
+        raise ValueError("k counts nodes and starts at 1")
     kept = top_k(coerce_importance(nodes), k)
     ids = kept.select(GROUP, "node")
     among = edges.join(ids.withColumnRenamed("node", "src"), [GROUP, "src"], "left_semi").join(
@@ -114,9 +111,9 @@ def extend_paths(paths: DataFrame, hops: DataFrame) -> DataFrame:
 
 def simple_paths(cedges: DataFrame, max_hops: int = 4) -> DataFrame:
     """All simple paths of at most ``max_hops`` edges with the product of their confidences and the
-    importance of their last node. One join per hop, for sub-graphs of any size."""
+    importance of their last node. One join per hop."""
     if max_hops < 1:
-        raise ValueError("max_hops must be at least one")
+        raise ValueError("a path has one hop or more")
     paths = cedges.where("src <> dst").select(
         GROUP,
         F.col("src").alias("root"),
@@ -139,45 +136,6 @@ def simple_paths(cedges: DataFrame, max_hops: int = 4) -> DataFrame:
     return found
 
 
-def bounded_paths(cedges: DataFrame, max_hops: int = 4) -> DataFrame:
-    """As :func:`simple_paths` for sub-graphs of at most ``SMALL_TOP_K`` nodes: a group's edges fit into
-    one array of at most ``SMALL_TOP_K ** 2`` entries, and every hop is an explode without a shuffle."""
-    if max_hops < 1:
-        raise ValueError("max_hops must be at least one")
-    edge = F.struct("src", "dst", "confidence", "target_importance")
-    packed = cedges.where("src <> dst").groupBy(GROUP).agg(F.collect_list(edge).alias("hops"))
-    paths = packed.select(GROUP, "hops", F.explode("hops").alias("hop")).select(
-        GROUP,
-        "hops",
-        F.struct(
-            F.col("hop.src").alias("root"),
-            F.array("hop.src", "hop.dst").alias("path"),
-            F.col("hop.dst").alias("tail"),
-            F.col("hop.confidence").alias("confidence"),
-            F.col("hop.target_importance").alias("target_importance"),
-        ).alias("at"),
-    )
-    at = F.col("at")
-    for length in range(2, max_hops + 1):
-        usable = F.filter(
-            "hops",
-            lambda hop: (hop["src"] == at["tail"]) & ~F.array_contains(at["path"], hop["dst"]),
-        )
-        longer = F.transform(
-            usable,
-            lambda hop: F.struct(
-                at["root"].alias("root"),
-                F.concat(at["path"], F.array(hop["dst"])).alias("path"),
-                hop["dst"].alias("tail"),
-                (at["confidence"] * hop["confidence"]).alias("confidence"),
-                hop["target_importance"].alias("target_importance"),
-            ),
-        )
-        grown = F.when(F.size(at["path"]) == length, F.concat(F.array(at), longer)).otherwise(F.array(at))
-        paths = paths.select(GROUP, "hops", F.explode(grown).alias("at"))
-    return paths.select(GROUP, "at.*")
-
-
 def root_ranking(nodes: DataFrame, cedges: DataFrame, paths: DataFrame) -> DataFrame:
     """Root score of every node: own importance plus what its paths reach, divided by 1 + in-degree,
     scaled to a maximum of 1."""
@@ -213,12 +171,12 @@ def root_causes(
 ) -> RootCauses:
     """Sub-graph, edge confidences, ranked roots and best chains of every group.
 
-    The sub-graphs are small against the log they come from and are used several times, so they are
-    written to the checkpoint folder once.
+    The sub-graphs and their paths are small against the log they come from and are used several times, so they are
+    written to the checkpoint folder once. Paths grow by a join per hop, so that a group spreads over tasks.
     """
     kept, among = influential_subgraph(nodes, edges, top_k)
     kept = cut_lineage(kept)
     cedges = cut_lineage(causal_edges(kept, among))
-    paths = bounded_paths(cedges, max_hops) if top_k <= SMALL_TOP_K else simple_paths(cedges, max_hops)
+    paths = cut_lineage(simple_paths(cedges, max_hops))
     roots = root_ranking(kept, cedges, paths)
     return RootCauses(kept, rank_edges(cedges), roots, causal_chains(roots, paths, chain_limit))

@@ -26,7 +26,13 @@ def parsed_fields(log: DataFrame) -> DataFrame:
         return F.col(name).cast("string") if name in have else F.lit(None).cast("string")
 
     message = F.coalesce(scalars.blank_to_null(field("message")), F.col("event").cast("string"))
-    params = F.col("params") if "params" in have else None
+    kind = dict(log.dtypes).get("params", "")
+    if kind.startswith("map<"):
+        params = F.map_values("params").cast("array<string>")
+    elif kind.startswith("array<"):
+        params = F.col("params").cast("array<string>")
+    else:  # a plain text is no list of parameters: the message counts
+        params = None
     return log.withColumns(
         {
             "severity": scalars.severity(field("level"), message),

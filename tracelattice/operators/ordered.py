@@ -8,20 +8,19 @@ the plain window's. Without large groups the plan is the plain window.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelattice.session import cut_lineage
+
 HOT_ROWS = 2_000_000
 """A group above this many rows is cut into chunks."""
 
-MAX_HOT = 4096
-"""At most this many groups are cut; any other group is below 1/4096 of all rows."""
-
 SAMPLES_PER_CHUNK = 32
+MOST_CUTS_LOG = 24  # a binary search over up to 2^25 - 1 cuts of one group
 CHUNK = "__chunk"
 CUTS = "__cuts"
 
@@ -85,7 +84,7 @@ class Ordered:
                 *[F.sum(expr).alias(f"__sum_{name}") for name, expr in running.items()],
             )
         )
-        # One row per chunk, at most 2 * MAX_HOT rows in all: these windows and the broadcast are small.
+        # One row per chunk of hot_rows rows, so these windows are small; Spark sizes the join.
         order = Window.partitionBy(*self.keys).orderBy(CHUNK)
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         seams = seams.select(
@@ -94,7 +93,7 @@ class Ordered:
             F.sum("__rows").over(before).alias("__before"),
             *[F.sum(f"__sum_{name}").over(before).alias(f"__before_{name}") for name in running],
         )
-        joined = inside.join(F.broadcast(seams), parts, "left")
+        joined = inside.join(seams, parts, "left")
         out = [F.col(c) for c in self.df.columns]
         for name, source in lead.items():
             out.append(F.when(F.col(follows), F.col(name)).otherwise(F.col("__next")[source]).alias(name))
@@ -112,10 +111,10 @@ class Ordered:
             return self.df.withColumn(CHUNK, F.lit(None).cast("int"))
         key = F.struct(*self.order)
         chunk = F.when(F.col(CUTS).isNotNull(), _cuts_not_above(F.col(CUTS), key))
-        return self.df.join(F.broadcast(self.cuts), list(self.keys), "left").withColumn(CHUNK, chunk).drop(CUTS)
+        return self.df.join(self.cuts, list(self.keys), "left").withColumn(CHUNK, chunk).drop(CUTS)
 
     def large_keys(self) -> DataFrame:
-        """Keys of all groups above ``hot_rows``, of which the largest are cut. Not bounded: join it."""
+        """Keys of all groups above ``hot_rows``. Not bounded: join it."""
         sizes = self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n"))
         return sizes.where(F.col("__n") > self.hot_rows).select(*self.keys)
 
@@ -138,23 +137,18 @@ def plain(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Ordered:
 
 
 def _find_cuts(df: DataFrame, keys, order, hot_rows: int) -> DataFrame | None:
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = sizes.where(F.col("__n") > hot_rows).orderBy(F.desc("__n"), *keys).limit(MAX_HOT).collect()
-    if not hot:
+    """Cut points of every group above ``hot_rows``, as a stored table; None if there is no such group."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    targets = cut_lineage(sizes.select(*keys, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__chunks")))
+    if targets.isEmpty():
         return None
-    spark = df.sparkSession
-    chunk_rows = max(hot_rows, math.ceil(sum(row["__n"] for row in hot) / MAX_HOT))
-    wanted = [Row(*[row[k] for k in keys], math.ceil(row["__n"] / chunk_rows)) for row in hot]
-    key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    targets = spark.createDataFrame(wanted, f"{key_schema}, __chunks int")
-
     # A hash sample is the same on every retry; its expected size is SAMPLES_PER_CHUNK per chunk.
-    buckets = max(1, chunk_rows // SAMPLES_PER_CHUNK)
+    buckets = max(1, hot_rows // SAMPLES_PER_CHUNK)
     point = F.struct(*order)
     sample = (
         df.select(*keys, *[c for c in order if c not in keys])
         .where(F.pmod(F.xxhash64(*order), F.lit(buckets)) == 0)
-        .join(F.broadcast(targets), list(keys))
+        .join(targets, list(keys))
         .groupBy(*keys, "__chunks")
         .agg(F.sort_array(F.collect_set(point)).alias("__points"))
     )
@@ -163,14 +157,12 @@ def _find_cuts(df: DataFrame, keys, order, hot_rows: int) -> DataFrame | None:
         F.sequence(F.lit(1), F.col("__chunks") - 1),
         lambda i: F.get(F.col("__points"), F.floor(i * size / F.col("__chunks")).cast("int")),
     )
-    cuts = sample.where(F.col("__chunks") > 1).select(*keys, F.array_distinct(picked).alias(CUTS))
-    # At most 2 * MAX_HOT cut points: kept as a local table so that no later plan samples again.
-    return spark.createDataFrame(cuts.collect(), cuts.schema)
+    return cut_lineage(sample.where(F.col("__chunks") > 1).select(*keys, F.array_distinct(picked).alias(CUTS)))
 
 
 def _cuts_not_above(cuts: Column, key: Column) -> Column:
     """Binary search: how many of the sorted cut points are <= key."""
-    steps = F.array(*[F.lit(2**i) for i in range(int(math.log2(2 * MAX_HOT)), -1, -1)])
+    steps = F.array(*[F.lit(2**i) for i in range(MOST_CUTS_LOG, -1, -1)])
     return F.aggregate(
         steps,
         F.lit(0),

@@ -76,12 +76,11 @@ def protocol_sizes(n_normal: int, n_anomalous: int, n: int = 10000) -> SplitSize
 def capped_sizes(n_normal: int, n_anomalous: int, n: int = 10000) -> SplitSizes:
     """As :func:`protocol_sizes`, but no class gives more than it has."""
     if not n_normal or not n_anomalous:
-        raise ValueError("the input must contain both normal and anomalous groups")
-    total = n_normal + n_anomalous
-    target = min(n, total)
-    anomalous = min(n_anomalous, round(target * n_anomalous / total))
-    normal = min(n_normal, target - anomalous)
-    anomalous = min(n_anomalous, target - normal)
+        raise ValueError("capped sizes need groups of either label")
+    whole = protocol_sizes(n_normal, n_anomalous, min(n, n_normal + n_anomalous))
+    # at most all groups are asked for, so what one class lacks the other has
+    lacking = max(0, whole.normal - n_normal) - max(0, whole.anomalous - n_anomalous)
+    normal, anomalous = whole.normal - lacking, whole.anomalous + lacking
     validation = round(VALIDATION_SHARE * normal)
     return SplitSizes(normal, anomalous, round(TRAIN_SHARE * normal), validation, min(validation, anomalous))
 

@@ -360,7 +360,7 @@ def distinct_messages(spark, folder):
 def encoded_messages(spark, folder):
     @F.pandas_udf("array<double>")
     def letters(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [float(len(t)), float(sum(c.isdigit() for c in t))])
+        return pd.Series(np.stack([texts.str.len(), texts.str.count(r"\d")], axis=1).astype(float).tolist(), index=texts.index)
 
     encoded = features.encode_distinct(tables.event_log(spark, folder), letters, "message")
     return encoded.select("event", F.get("vec", F.lit(0)).alias("n_chars"), F.get("vec", F.lit(1)).alias("n_digits"))
@@ -726,7 +726,7 @@ def causal_edges(spark, folder):
 @query
 def simple_paths(spark, folder):
     nodes, edges = explain.influential_subgraph(*anomalous_graphs(spark, folder), TOP_K)
-    paths = explain.bounded_paths(explain.causal_edges(nodes, edges), MAX_HOPS)
+    paths = explain.simple_paths(explain.causal_edges(nodes, edges), MAX_HOPS)
     return paths.select("group_id", F.array_join("path", ">").alias("path"), r6("confidence"))
 
 

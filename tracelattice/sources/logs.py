@@ -27,12 +27,11 @@ FREE_COLUMNS = {
 }
 FREE_OPTIONAL = ("message", "level", "component", "subsystem", "timestamp")
 
-MAX_OBJECT_BYTES = 512 * 1024 * 1024
 
-
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multiline: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multiline: bool = True) -> DataFrame:
     """A CSV with header, every column as text, so that no extra pass infers types and keys keep their
-    spelling. Quoted line breaks need ``multiline=True``, which reads each file in one task."""
+    spelling. Fields may hold quoted line breaks, so each file is read in one task;
+    ``multiline=False`` splits large files where no field holds a line break."""
     df = spark.read.options(**CSV, multiLine=multiline, inferSchema=False).csv(path)
     return require_columns(df, columns).select(*columns) if columns else df
 
@@ -43,7 +42,7 @@ def read_log(
     preset: str | Preset,
     columns: Sequence[str] = (),
     timed: bool = True,
-    multiline: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
     """Structured log of a preset as group_id, seq, event_id, event, ts_s and the extra ``columns``.
     ``seq`` is the line number and gives the order inside a group."""
@@ -62,7 +61,7 @@ def read_log(
     )
 
 
-def read_free_log(spark: SparkSession, path: str, order: str, multiline: bool = False) -> DataFrame:
+def read_free_log(spark: SparkSession, path: str, order: str, multiline: bool = True) -> DataFrame:
     """A log with free column names as group_id, seq, event, label, message, level, component, subsystem,
     ts_s. ``order`` names the column that holds the line number."""
     df = read_csv(spark, path, multiline=multiline)
@@ -84,7 +83,7 @@ def read_free_log(spark: SparkSession, path: str, order: str, multiline: bool =
     )
 
 
-def read_raw_log(spark: SparkSession, path: str, order: str, multiline: bool = False) -> DataFrame:
+def read_raw_log(spark: SparkSession, path: str, order: str, multiline: bool = True) -> DataFrame:
     """A log of node, message and timestamp, with the raw message as event."""
     df = read_csv(spark, path, ["node", "message", "timestamp", order], multiline)
     return df.select(
@@ -105,16 +104,13 @@ def read_embeddings(spark: SparkSession, path: str, layout: str = "object") -> D
     """Event vectors as event, vec.
 
     ``object``: one JSON object, template to list or template to ``{"0": v, ...}``. Such a file cannot
-    be split, so it is refused above 512 MB. ``lines``: one ``{"event": ..., "vec": [...]}`` per line,
+    be split and passes through one task as one string (2 GB at most). ``lines``: one ``{"event": ..., "vec": [...]}`` per line,
     for any size.
     """
     if layout == "lines":
         return spark.read.schema("event string, vec array<double>").json(path)
     if layout != "object":
         raise ValueError("layout must be 'object' or 'lines'")
-    largest = spark.read.format("binaryFile").load(path).agg(F.max("length").alias("n")).first()["n"]
-    if largest is not None and largest > MAX_OBJECT_BYTES:
-        raise ValueError("the vector file is too large for one JSON object; use layout='lines'")
     raw = spark.read.text(path, wholetext=True)
     entries = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("event", "body"))
     as_list = F.from_json("body", "array<double>")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelattice.operators.graphs import GROUP, GraphSet
 from tracelattice.operators.splits import SPLITS, split_audit
+from tracelattice.sources.logs import CSV
 
 GRAPH_TABLES = ("nodes", "edges", "graphs")
 
@@ -31,7 +32,8 @@ def read_graphs(spark: SparkSession, path: str, *extra: str) -> dict[str, DataFr
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """Quotes are doubled, as the readers of this package expect; line breaks stay inside quotes."""
+    df.write.mode(mode).options(**CSV).csv(path)
 
 
 def write_splits(splits: DataFrame, folder: str) -> None:
