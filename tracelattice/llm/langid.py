@@ -125,7 +125,8 @@ def sample_windows(docs: DataFrame, per_label: int = PER_LABEL, windows: int = W
     rows = docs.where(learned_rows()).select("lang", "text")
     # rows of small hash by label first, so that few reach the ranking
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    few = rows.join(counts, "lang").where(mark < F.lit(float(1 << 40)) * (1.5 * per_label + 200) / F.col("n"))
+    # broadcast: one row per label, and the network holds its labels on the driver anyway
+    few = rows.join(F.broadcast(counts), "lang").where(mark < F.lit(float(1 << 40)) * (1.5 * per_label + 200) / F.col("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(mark, "text"))
     chosen = few.withColumn("rank", rank).where(F.col("rank") <= per_label)
 
