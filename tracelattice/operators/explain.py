@@ -149,7 +149,8 @@ def root_ranking(nodes: DataFrame, cedges: DataFrame, paths: DataFrame) -> DataF
         .join(indegree, [GROUP, "node"], "left")
         .select(GROUP, "node", raw.alias("raw_score"))
     )
-    rank = F.row_number().over(Window.partitionBy(GROUP).orderBy(F.desc("score"), "node"))
+    # Rounded, so that ties do not hang on the order of additions.
+    rank = F.row_number().over(Window.partitionBy(GROUP).orderBy(F.round("score", 9).desc(), "node"))
     return max_normalised(scored, "raw_score", "score").select(GROUP, "node", "score").withColumn("rank", rank)
 
 
@@ -162,7 +163,7 @@ def causal_chains(roots: DataFrame, paths: DataFrame, limit: int = 5) -> DataFra
         .select(GROUP, "path", strength.alias("confidence"))
         .where("confidence > 0")
     )
-    order = Window.partitionBy(GROUP).orderBy(F.desc("confidence"), F.array_join(F.col("path").cast("array<string>"), ">"))
+    order = Window.partitionBy(GROUP).orderBy(F.round("confidence", 9).desc(), F.array_join(F.col("path").cast("array<string>"), ">"))
     return chains.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 

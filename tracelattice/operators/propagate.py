@@ -110,7 +110,7 @@ def pool_edges(edges: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return edges.groupBy(GROUP).agg(F.array(*values).alias("t"))
 
 
-def centre(z: DataFrame, train: Column | None = None) -> list[float]:
+def centre(z: DataFrame, train: Column | str | None = None) -> list[float]:
     """Mean of the graph vectors, of the rows of ``train`` if given. Fixed size."""
     rows = z if train is None else z.where(train)
     value = rows.agg(vector_mean(F.col("z")).alias("c")).first()["c"]

@@ -5,17 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelattice.functions.scalars import WHITE_SPACE, clean_text
 from tracelattice.functions.vectors import l2_normalise, vector_sum
+from tracelattice.operators.propagate import dense
 from tracelattice.session import cut_lineage
 
-VOCABULARY = 10_000
-
 
 def messages(log: DataFrame, column: str = "message") -> DataFrame:
     """Distinct messages."""
@@ -37,71 +35,86 @@ def term_counts(token_rows: DataFrame, key: str) -> DataFrame:
     return token_rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_docs: int, size: int = VOCABULARY) -> DataFrame:
-    """The ``size`` most frequent terms of the corpus with smooth idf ``ln((1+n)/(1+df)) + 1``."""
+def vocabulary(counts: DataFrame, n_docs: int, size: int | None = None) -> DataFrame:
+    """All terms, or the ``size`` most frequent of the corpus, with smooth idf ``ln((1+n)/(1+df)) + 1``."""
     per_term = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    return per_term.orderBy(F.desc("total"), "term").limit(size).select(
-        "term", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")
-    )
+    if size is not None:
+        per_term = per_term.orderBy(F.desc("total"), "term").limit(size)
+    return per_term.select("term", (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def tfidf(
-    texts: DataFrame, key: str, text: str = "text", size: int = VOCABULARY, stop: Sequence[str] | None = None
+    texts: DataFrame, key: str, text: str = "text", size: int | None = None, stop: Sequence[str] | None = None
 ) -> DataFrame:
-    """``key, term, weight`` with rows of unit length. The vocabulary has at most ``size`` terms."""
+    """``key, term, weight`` with rows of unit length over all terms, or over the ``size`` most frequent."""
     n_docs = texts.count()
     # Counted once and stored: tokenising the texts again for the vocabulary would cost more.
     counts = cut_lineage(term_counts(tokens(texts, key, text, stop), key))
     words = vocabulary(counts, n_docs, size)
-    # At most ``size`` short rows: broadcasting is bounded by the vocabulary parameter.
-    small = F.broadcast(words) if size <= 100_000 else words
-    weighted = counts.join(small, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    if size <= 100_000:
-        # A text has at most ``size`` rows here, so its norm fits a window.
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-        return weighted.select(key, "term", (F.col("w") / norm).alias("weight"))
+    weighted = counts.join(words, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def grams(rows: DataFrame, width: int, *pairs: tuple[str, str]) -> list[np.ndarray]:
+    """For each pair of vector columns the ``width`` x ``width`` sum of their outer products, in one pass."""
+    sums = [
+        vector_sum(F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: a * b)))).alias(f"{left}_{right}")
+        for left, right in pairs
+    ]
+    return [np.array(g).reshape(width, width) for g in rows.agg(*sums).first()]
+
+
+def whitening(g: np.ndarray) -> np.ndarray:
+    """The matrix that makes vectors of gram matrix ``g`` orthonormal; dependent directions are left out."""
+    spread, axes = np.linalg.eigh((g + g.T) / 2)
+    kept = spread > spread[-1] * 1e-12
+    return axes[:, kept] / np.sqrt(spread[kept])
+
+
 def leading_directions(weights: DataFrame, key: str, k: int, rounds: int = 6, oversample: int = 10, seed: int = 42):
-    """Leading right singular vectors of the (key, i, weight) matrix by randomised subspace iteration.
+    """Leading right singular vectors of the (key, term, weight) matrix by randomised subspace iteration, as
+    ``term, basis``, and the singular values.
 
-    Each round multiplies the matrix and its transpose with a block of k + ``oversample`` columns as two
-    joins with weighted vector sums. Only that block, vocabulary by k + ``oversample`` numbers, is on the
-    driver, where it is orthonormalised.
+    A round multiplies the matrix and its transpose with a block of k + ``oversample`` columns as two joins with
+    weighted vector sums. The block is a table with a row per term; the driver sees its gram matrices only. The
+    entry of a direction that is largest in size (first term on ties) is positive.
     """
-    spark = weights.sparkSession
-    width = weights.agg(F.max("i")).first()[0] + 1
-    columns = min(width, k + oversample)
-    block, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, columns)))
+    width = k + oversample
+    start = F.transform(
+        F.sequence(F.lit(1), F.lit(width)), lambda i: F.xxhash64("term", i, F.lit(seed)) / F.lit(2.0**63)
+    )
+    block = cut_lineage(weights.select("term").distinct().select("term", start.alias("q")))
+    turn = whitening(*grams(block, width, ("q", "q")))
+    values = np.zeros(0)
     for _ in range(rounds):
-        right = spark.createDataFrame(pa.table({"i": np.arange(width), "q": list(block)}))
-        rows = weights.join(F.broadcast(right), "i").groupBy(key).agg(vector_sum(F.col("q"), F.col("weight")).alias("z"))
-        back = weights.join(rows, key).groupBy("i").agg(vector_sum(F.col("z"), F.col("weight")).alias("y")).toArrow()
-        product = np.zeros((width, columns))
-        product[back["i"].to_numpy()] = np.array(back["y"].to_pylist())
-        gram = block.T @ product
-        spread, turn = np.linalg.eigh((gram + gram.T) / 2)
-        leading = block @ turn[:, ::-1]
-        block, _ = np.linalg.qr(product)
-    return leading[:, :k], np.sqrt(np.maximum(spread[::-1][:k], 0.0))
+        block = block.select("term", dense(turn)(F.col("q")).alias("q"))
+        rows = weights.join(block, "term").groupBy(key).agg(vector_sum(F.col("q"), F.col("weight")).alias("z"))
+        product = weights.join(rows, key).groupBy("term").agg(vector_sum(F.col("z"), F.col("weight")).alias("y"))
+        both = cut_lineage(product.join(block, "term"))
+        inner, outer = grams(both, turn.shape[1], ("q", "y"), ("y", "y"))
+        spread, axes = np.linalg.eigh((inner + inner.T) / 2)
+        leading, values = both.select("term", dense(axes[:, ::-1][:, :k])(F.col("q")).alias("basis")), spread[::-1][:k]
+        block, turn = both.select("term", F.col("y").alias("q")), whitening(outer)
+    top = [
+        F.min_by(F.signum(F.get("basis", F.lit(i))), F.struct(-F.round(F.abs(F.get("basis", F.lit(i))), 9), "term"))
+        for i in range(len(values))
+    ]
+    signs = np.array(leading.agg(F.array(*top).alias("s")).first()["s"])
+    leading = leading.select("term", F.zip_with("basis", F.array(*[F.lit(float(s)) for s in signs]), lambda v, s: v * s).alias("basis"))
+    return leading, np.sqrt(np.maximum(values, 0.0))
 
 
 def svd_embedding(weights: DataFrame, texts: DataFrame, key: str, k: int, rounds: int = 6) -> DataFrame:
     """Unit vectors ``vec`` of length k: texts projected on the leading singular directions, without
-    centring. A text without terms gets zeros. The sign of a dimension is free."""
-    terms = weights.select("term").distinct().orderBy("term").toArrow()["term"]
-    spark = weights.sparkSession
-    index = spark.createDataFrame(pa.table({"term": terms, "i": np.arange(len(terms))}))
-    # The vocabulary, and so each table of one row per term, is bounded by its size parameter.
-    indexed = cut_lineage(weights.join(F.broadcast(index), "term").select(key, "i", "weight"))
-    basis, _ = leading_directions(indexed, key, k, rounds)
-    rows = spark.createDataFrame(pa.table({"i": np.arange(len(terms)), "basis": list(basis)}))
-    projected = (
-        indexed.join(F.broadcast(rows), "i").groupBy(key).agg(vector_sum(F.col("basis"), F.col("weight")).alias("vec"))
-    )
-    zero = F.array(*[F.lit(0.0)] * basis.shape[1])
+    centring. A text without terms gets zeros, and so do directions beyond the rank of the matrix."""
+    weights = cut_lineage(weights.select(key, "term", "weight"))
+    zero = F.array(*[F.lit(0.0)] * k)
+    if weights.limit(1).count() == 0:
+        return texts.select(key, zero.alias("vec"))
+    basis, values = leading_directions(weights, key, k, rounds)
+    projected = weights.join(basis, "term").groupBy(key).agg(vector_sum(F.col("basis"), F.col("weight")).alias("vec"))
+    padded = F.concat("vec", F.array_repeat(F.lit(0.0), k - len(values)))
     return texts.select(key).join(projected, key, "left").select(
-        key, l2_normalise(F.coalesce("vec", zero)).alias("vec")
+        key, l2_normalise(F.coalesce(padded, zero)).alias("vec")
     )

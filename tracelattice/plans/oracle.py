@@ -171,8 +171,8 @@ SELECT group_id, src, dst, round(log_n, 6) AS log_n, round((m - mm) / ms, 6) AS
 FROM logs, fit"""
 _fits = ", ".join(f"avg({c}) AS m_{c}, greatest(stddev_pop({c}), 1e-6) AS s_{c}" for c in GAP_NAMES)
 _scaled = ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in GAP_NAMES)
-ORACLE["scaled_gap_summary"] = f"""{with_(DAY_LOG, STEPS, GAPS, LABELS)},
-fit AS (SELECT {_fits} FROM gaps JOIN labels_ USING (group_id) WHERE label = 0)
+ORACLE["scaled_gap_summary"] = f"""{with_(DAY_LOG, STEPS, GAPS, LABELS, COIN)},
+fit AS (SELECT {_fits} FROM gaps JOIN splits USING (group_id) WHERE split = 'train' AND label = 0)
 SELECT group_id, {_scaled} FROM gaps, fit"""
 ORACLE["parsed_times"] = "SELECT event_id, round(epoch_us(ts) / 1e6, 6) AS ts_s FROM events"
 
@@ -238,8 +238,8 @@ z AS (SELECT group_id, event, list(CASE WHEN n = 1 THEN v
 ORACLE["node_statistics"] = (
     f"{with_(DAY_LOG, STEPS, POSITIONS, STATS)} SELECT group_id, event, {micro('x', 'stats')} FROM stats"
 )
-ORACLE["standardised_nodes"] = f"""{with_(DAY_LOG, STEPS, POSITIONS, STATS)}, short AS (SELECT group_id, event, tail AS x FROM tail),
-{standardised('short')} SELECT group_id, event, {micro('x', 'x')} FROM z"""
+ORACLE["standardised_nodes"] = f"""{with_(DAY_LOG, STEPS, POSITIONS, STATS)},
+{standardised('stats')} SELECT group_id, event, {micro('x', 'x')} FROM z"""
 VECTORS = """vectors AS (
   SELECT coalesce(['click', 'error', 'purchase', 'signup', 'view'][label + 1], 'label_' || label) AS event, list(v ORDER BY d) AS vec
   FROM (SELECT label, d, avg(v) AS v FROM (
@@ -253,12 +253,13 @@ ORACLE["encoded_messages"] = f"""{with_(DAY_LOG)} SELECT DISTINCT message AS eve
   length(regexp_replace(message, '[^0-9]', '', 'g'))::DOUBLE AS n_digits FROM log"""
 SPACE = r"\s\x{000b}\x{001c}-\x{001f}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-ORACLE["tfidf_terms"] = f"""WITH words AS (
+for _name, _limit in (("tfidf_terms", ""), ("tfidf_top_terms", f"ORDER BY sum(tf) DESC, term LIMIT {VOCABULARY}")):
+    ORACLE[_name] = f"""WITH words AS (
   SELECT doc_id, unnest(regexp_split_to_array(lower(regexp_replace(text, '[^a-zA-Z{SPACE}]', '', 'g')), '[{SPACE}]+')) AS term
   FROM documents),
 counts AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE length(term) >= 2 AND term NOT IN ({_stop}) GROUP BY doc_id, term),
 vocabulary AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf
-  FROM counts GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {VOCABULARY}),
+  FROM counts GROUP BY term {_limit}),
 weighted AS (SELECT doc_id, term, tf * idf AS w FROM counts JOIN vocabulary USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weighted"""
 
@@ -293,8 +294,8 @@ rounds AS (
   UNION ALL
   SELECT p.group_id, p.dst, 0.9::DOUBLE * sum(p.p * r.pi) + 0.1::DOUBLE / any_value(s.size), r.k + 1
   FROM rounds r JOIN p ON p.group_id = r.group_id AND p.src = r.node_id JOIN sizes s ON s.group_id = p.group_id
-  WHERE r.k < 100 GROUP BY p.group_id, p.dst, r.k),
-pi AS (SELECT group_id, node_id, pi FROM rounds WHERE k = 100)"""
+  WHERE r.k < 300 GROUP BY p.group_id, p.dst, r.k),
+pi AS (SELECT group_id, node_id, pi FROM rounds WHERE k = 300)"""
 
 
 def balanced(source: str, name: str) -> str:
@@ -347,11 +348,11 @@ ORACLE["edge_pool"] = f"""{with_(LOOPED)}, t AS (SELECT group_id, [avg(m), avg(v
   SELECT group_id, ln(1 + mean_dt) AS m, ln(1 + var_dt) AS v FROM edges) GROUP BY group_id)
 SELECT group_id, {micro('t', 't')} FROM t"""
 DISTANCES = """zd AS (SELECT group_id, d, avg(v) AS v FROM xd GROUP BY group_id, d),
-c AS (SELECT d, avg(v) AS c FROM zd JOIN labels_ USING (group_id) WHERE label = 0 GROUP BY d),
+c AS (SELECT d, avg(v) AS c FROM zd JOIN splits USING (group_id) WHERE split = 'train' AND label = 0 GROUP BY d),
 dist AS (SELECT group_id, sum((v - c) * (v - c)) AS sq FROM zd JOIN c USING (d) GROUP BY group_id)"""
-ORACLE["centre_distance"] = f"""{with_(NODE_X, LABELS, DISTANCES)}
+ORACLE["centre_distance"] = f"""{with_(NODE_X, LABELS, COIN, DISTANCES)}
 SELECT group_id, label, round(sqrt(sq), 6) AS score, round(sq, 6) AS score_sq FROM dist JOIN labels_ USING (group_id)"""
-ORACLE["most_anomalous"] = f"""{with_(NODE_X, LABELS, DISTANCES)}
+ORACLE["most_anomalous"] = f"""{with_(NODE_X, LABELS, COIN, DISTANCES)}
 SELECT group_id, round(sqrt(sq), 6) AS score FROM dist ORDER BY score DESC, group_id LIMIT 10"""
 ORACLE["node_importance"] = f"""{with_(NODE_X)}, zd AS (SELECT group_id, d, avg(v) AS m FROM xd GROUP BY group_id, d)
 SELECT group_id, node_id, round(sqrt(sum((v - m) * (v - m))), 6) AS importance FROM xd JOIN zd USING (group_id, d) GROUP BY group_id, node_id"""
@@ -476,14 +477,14 @@ ROOTS = """raw AS (SELECT k.group_id, k.node, (k.importance + coalesce(r.reach,
   FROM kept k LEFT JOIN (SELECT group_id, root AS node, sum(confidence * ti) AS reach FROM paths GROUP BY group_id, root) r USING (group_id, node)
   LEFT JOIN (SELECT group_id, dst AS node, count(*) AS deg FROM cedges GROUP BY group_id, dst) d USING (group_id, node)),
 roots AS (SELECT group_id, node, raw / max(raw) OVER (PARTITION BY group_id) AS score FROM raw)"""
-ORACLE["influential_subgraph"] = f"{with_(CAUSES)} SELECT group_id, node, round(importance, 6) AS importance FROM kept"
+ORACLE["influential_subgraph"] = f"{with_(CAUSES)} SELECT group_id, node AS src, NULL::VARCHAR AS dst, round(importance, 6) AS size FROM kept UNION ALL SELECT group_id, src, dst, frequency FROM among"
 ORACLE["causal_edges"] = f"""{with_(CAUSES)} SELECT group_id, src, dst, round(confidence, 6) AS confidence, frequency,
   CAST(row_number() OVER (PARTITION BY group_id ORDER BY round(confidence, 9) DESC, src, dst) AS INTEGER) AS rank FROM cedges"""
 ORACLE["simple_paths"] = (
     f"{RECURSIVE}{CAUSES}, {PATHS} SELECT group_id, array_to_string(path, '>') AS path, round(confidence, 6) AS confidence FROM paths"
 )
-ORACLE["root_ranking"] = f"{RECURSIVE}{CAUSES}, {PATHS}, {ROOTS} SELECT group_id, node, round(score, 6) AS score FROM roots"
+ORACLE["root_ranking"] = f"{RECURSIVE}{CAUSES}, {PATHS}, {ROOTS} SELECT group_id, node, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY group_id ORDER BY round(score, 9) DESC, node) AS INTEGER) AS rank FROM roots"
 ORACLE["causal_chains"] = f"""{RECURSIVE}{CAUSES}, {PATHS}, {ROOTS},
 chains AS (SELECT p.group_id, path, score * confidence * ti AS confidence FROM paths p JOIN roots r ON r.group_id = p.group_id AND r.node = p.root)
-SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY confidence DESC, array_to_string(path, '>')) AS INTEGER) AS rank,
-  round(confidence, 6) AS confidence FROM chains WHERE confidence > 0 QUALIFY rank <= {CHAIN_LIMIT}"""
+SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY round(confidence, 9) DESC, array_to_string(path, '>')) AS INTEGER) AS rank,
+  array_to_string(path, '>') AS path, round(confidence, 6) AS confidence FROM chains WHERE confidence > 0 QUALIFY rank <= {CHAIN_LIMIT}"""

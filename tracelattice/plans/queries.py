@@ -25,7 +25,7 @@ QUERIES: dict[str, Query] = {}
 SEED = 42
 STOP_WORDS = ("the", "and", "of", "to", "in", "is", "it", "for", "on", "with", "de", "la", "le", "der", "die", "und")
 VOCABULARY = 10_000
-TOP_K, MAX_HOPS, CHAIN_LIMIT = 4, 3, 5
+TOP_K, MAX_HOPS, CHAIN_LIMIT = 10, 4, 5
 DIMS = 64
 HIDDEN = 8
 
@@ -57,6 +57,14 @@ def day_labels(spark, folder) -> DataFrame:
     return graphs.group_labels(tables.event_log(spark, folder))
 
 
+# Scalers and centres see normal training groups alone.
+FITTED = "split = 'train' AND label = 0"
+
+
+def day_split(spark, folder) -> DataFrame:
+    return splits.bernoulli_split(day_labels(spark, folder))
+
+
 def half(labels: DataFrame) -> int:
     return labels.count() // 2
 
@@ -178,9 +186,8 @@ def scaled_edges(spark, folder):
 
 @query
 def scaled_gap_summary(spark, folder):
-    labels = day_labels(spark, folder)
-    summary = with_labels(temporal.gap_summary(day_steps(spark, folder)), labels)
-    scaler = temporal.fit_scaler(summary, temporal.GAP_COLUMNS, F.col("label") == 0)
+    summary = with_labels(temporal.gap_summary(day_steps(spark, folder)), day_split(spark, folder))
+    scaler = temporal.fit_scaler(summary, temporal.GAP_COLUMNS, FITTED)
     return scaler.apply(summary).select("group_id", *[r6(c) for c in temporal.GAP_COLUMNS])
 
 
@@ -339,10 +346,7 @@ def node_statistics(spark, folder):
 @query
 def standardised_nodes(spark, folder):
     stats = features.node_statistics(parsed_steps(spark, folder))
-    # Without the component slots, which the SQL lists one by one.
-    positions = F.slice("stats", scalars.COMPONENT_BINS + features.SEVERITY_SLOTS + 1, 7)
-    nodes = stats.select("group_id", "event", positions.alias("x"))
-    return features.standardise_within(nodes).select("group_id", "event", micro("x", "x"))
+    return features.standardise_within(stats.select("group_id", "event", F.col("stats").alias("x"))).select("group_id", "event", micro("x", "x"))
 
 
 @query
@@ -368,6 +372,12 @@ def encoded_messages(spark, folder):
 
 @query
 def tfidf_terms(spark, folder):
+    docs = tables.table(spark, folder, "documents").select("doc_id", "text")
+    return text.tfidf(docs, "doc_id", stop=STOP_WORDS).select("doc_id", "term", r6("weight"))
+
+
+@query
+def tfidf_top_terms(spark, folder):
     docs = tables.table(spark, folder, "documents").select("doc_id", "text")
     return text.tfidf(docs, "doc_id", size=VOCABULARY, stop=STOP_WORDS).select("doc_id", "term", r6("weight"))
 
@@ -375,10 +385,8 @@ def tfidf_terms(spark, folder):
 @query
 def svd_embedding(spark, folder):
     docs = tables.table(spark, folder, "documents").select("doc_id", "text")
-    weights = text.tfidf(docs, "doc_id", size=VOCABULARY, stop=STOP_WORDS)
-    vectors = text.svd_embedding(weights, docs, "doc_id", 8)
-    length = F.aggregate("vec", F.lit(0.0), lambda total, v: total + v * v)
-    return vectors.select("doc_id", F.size("vec").alias("dims"), F.round(length, 6).alias("length"))
+    weights = text.tfidf(docs, "doc_id", stop=STOP_WORDS)
+    return text.svd_embedding(weights, docs, "doc_id", 8)
 
 
 # --- adjacency ------------------------------------------------------------------------------------
@@ -494,17 +502,23 @@ def edge_pool(spark, folder):
     return propagate.pool_edges(edges, ("log_mean_dt", "log_var_dt")).select("group_id", micro("t", "t"))
 
 
+def labelled_means(spark, folder) -> DataFrame:
+    """Mean node vector, label and split of every user-day graph, stored."""
+    z = propagate.pool(node_vectors(spark, folder), dims=DIMS)
+    return adjacency.cut_lineage(with_labels(z, day_split(spark, folder)))
+
+
 @query
 def centre_distance(spark, folder):
-    z = adjacency.cut_lineage(with_labels(propagate.pool(node_vectors(spark, folder), dims=DIMS), day_labels(spark, folder)))
-    scored = propagate.distances(z, propagate.centre(z, F.col("label") == 0))
+    z = labelled_means(spark, folder)
+    scored = propagate.distances(z, propagate.centre(z, FITTED))
     return scored.select("group_id", "label", r6("score"), r6("score_sq"))
 
 
 @query
 def most_anomalous(spark, folder):
-    z = adjacency.cut_lineage(with_labels(propagate.pool(node_vectors(spark, folder), dims=DIMS), day_labels(spark, folder)))
-    scored = propagate.distances(z, propagate.centre(z, F.col("label") == 0))
+    z = labelled_means(spark, folder)
+    scored = propagate.distances(z, propagate.centre(z, FITTED))
     return metrics.most_anomalous(scored.select("group_id", r6("score")), 10)
 
 
@@ -570,20 +584,20 @@ def one_class_scores(spark, folder):
 def temporal_fusion_scores(spark, folder):
     _, adj, x, labels = encoder_inputs(spark, folder)
     rows = adjacency.cut_lineage(propagate.encoder_rows(adj, x, dims=DIMS))
-    summary = with_labels(temporal.gap_summary(day_steps(spark, folder)), labels)
-    scaled = temporal.fit_scaler(summary, temporal.GAP_COLUMNS, F.col("label") == 0).apply(summary)
+    split = splits.bernoulli_split(labels)
+    summary = with_labels(temporal.gap_summary(day_steps(spark, folder)), split)
+    scaled = temporal.fit_scaler(summary, temporal.GAP_COLUMNS, FITTED).apply(summary)
     timing = adjacency.cut_lineage(propagate.with_summary_vector(scaled, temporal.GAP_COLUMNS))
-    train = rows.join(splits.bernoulli_split(labels).where("split = 'train'"), "group_id", "left_semi")
+    train = rows.join(split.where("split = 'train'"), "group_id", "left_semi")
     model = oneclass.new_model(DIMS, HIDDEN, SEED, timing_width=6)
     fitted, _ = oneclass.fit_one_class(train, model, oneclass.staged(2, 1), summary=timing)
     return oneclass.score(rows, fitted, labels, timing).select("group_id", "label", r6("score"))
 
 
 def standardised_timing(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Log-scaled timing of every edge as one vector, standardised on the normal groups."""
-    logs = with_labels(graphs.log_scaled_edges(edges), labels)
+    """Log-scaled timing of every edge as one vector, standardised on the normal training groups."""
+    scaled, _ = temporal.scale_edges(graphs.log_scaled_edges(edges), splits.bernoulli_split(labels))
     columns = ("log_mean_dt", "log_var_dt")
-    scaled = temporal.fit_scaler(logs, columns, F.col("label") == 0).apply(logs)
     return scaled.select("group_id", "src", "dst", F.array(*columns).alias("t"))
 
 
@@ -596,8 +610,9 @@ def timed_edge_scores(spark, folder):
         {"W": propagate.init_weights(shape, rng), **propagate.init_timing(2, HIDDEN, rng)}
         for shape in ((DIMS, HIDDEN), (HIDDEN, HIDDEN))
     ]
-    z = adjacency.cut_lineage(with_labels(propagate.encode_timed(adj, x, timing, layers), labels))
-    scored = propagate.distances(z, propagate.centre(z, F.col("label") == 0))
+    z = propagate.encode_timed(adj, x, timing, layers)
+    z = adjacency.cut_lineage(with_labels(z, splits.bernoulli_split(labels)))
+    scored = propagate.distances(z, propagate.centre(z, FITTED))
     return scored.select("group_id", "label", r6("score"))
 
 
@@ -710,8 +725,10 @@ def explained(spark, folder) -> explain.RootCauses:
 
 @query
 def influential_subgraph(spark, folder):
-    nodes, _ = explain.influential_subgraph(*anomalous_graphs(spark, folder), TOP_K)
-    return nodes.select("group_id", "node", r6("importance"))
+    """Kept nodes (``dst`` null, with their importance) and the edges among them (with their weight)."""
+    nodes, edges = explain.influential_subgraph(*anomalous_graphs(spark, folder), TOP_K)
+    nodes = nodes.select("group_id", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), r6("importance", "size"))
+    return nodes.unionByName(edges.select("group_id", "src", "dst", r6("weight", "size")))
 
 
 @query
@@ -732,10 +749,10 @@ def simple_paths(spark, folder):
 
 @query
 def root_ranking(spark, folder):
-    return explained(spark, folder).roots.select("group_id", "node", r6("score"))
+    return explained(spark, folder).roots.select("group_id", "node", r6("score"), "rank")
 
 
 @query
 def causal_chains(spark, folder):
     chains = explained(spark, folder).chains
-    return chains.select("group_id", "rank", r6("confidence"))
+    return chains.select("group_id", "rank", F.array_join("path", ">").alias("path"), r6("confidence"))
