@@ -488,3 +488,54 @@ ORACLE["causal_chains"] = f"""{RECURSIVE}{CAUSES}, {PATHS}, {ROOTS},
 chains AS (SELECT p.group_id, path, score * confidence * ti AS confidence FROM paths p JOIN roots r ON r.group_id = p.group_id AND r.node = p.root)
 SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY round(confidence, 9) DESC, array_to_string(path, '>')) AS INTEGER) AS rank,
   array_to_string(path, '>') AS path, round(confidence, 6) AS confidence FROM chains WHERE confidence > 0 QUALIFY rank <= {CHAIN_LIMIT}"""
+
+# --- further checks, and tables written and read back
+ORACLE["keyed_props"] = r"""SELECT event_id, 'blk_-' || event_id AS block, nullif(regexp_extract(props, '\d\d+'), '') AS key FROM events"""
+ORACLE["times_or_positions"] = f"""{with_(DAY_LOG, STEPS)} SELECT group_id, event_id,
+  round(CASE WHEN event = 'view' OR value IS NULL THEN pos::DOUBLE ELSE value END, 6) AS t FROM steps"""
+ORACLE["first_fields"] = f"""{with_(DAY_LOG)} SELECT event_id, CASE WHEN event IN ('view', 'click') THEN message ELSE event END AS field,
+  CASE WHEN event = 'error' THEN message ELSE event END AS name FROM log"""
+ORACLE["short_vectors"] = f"""WITH v AS (SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS x FROM embeddings)
+SELECT vec_id, {micro('x', 'x')} FROM v"""
+ORACLE["normal_test_graphs"] = f"""{with_(LOOPED, GRAPHS, LABELS, COIN)}
+SELECT graphs.*, label FROM graphs JOIN splits USING (group_id) WHERE split = 'test' AND label = 0"""
+ORACLE["all_groups"] = ORACLE["group_labels"]
+ORACLE["sorted_edges"] = ORACLE["transition_edges"]
+ORACLE["stored_graphs"] = ORACLE["transition_edges"]
+ORACLE["checked_graphs"] = f"{with_(LOOPED, GRAPHS)} SELECT * FROM graphs"
+ORACLE["graphs_with_timing"] = f"""{with_(LOOPED, GRAPHS, GAPS)} SELECT group_id, n_events, n_edges,
+  round(gap_mean, 6) AS gap_mean, round(gap_max, 6) AS gap_max FROM graphs JOIN gaps USING (group_id)"""
+ORACLE["edge_timing"] = f"""{with_(WEIGHTED, UNDIRECTED, LABELS, COIN)},
+logs AS (SELECT group_id, src, dst, ln(1 + mean_dt) AS m, ln(1 + var_dt) AS v FROM edges),
+fit AS (SELECT avg(m) AS mm, greatest(stddev_pop(m), 1e-6) AS ms, avg(v) AS vm, greatest(stddev_pop(v), 1e-6) AS vs
+  FROM logs JOIN splits USING (group_id) WHERE split = 'train' AND label = 0),
+timed AS (SELECT a.group_id, a.src, a.dst, a.w, [coalesce((m - mm) / ms, 0), coalesce((v - vm) / vs, 0)] AS t
+  FROM adj a CROSS JOIN fit LEFT JOIN logs l ON l.group_id = a.group_id AND l.src = a.src AND l.dst = a.dst)
+SELECT group_id, src, dst, round(w, 6) AS w, {micro('t', 't')} FROM timed"""
+ORACLE["best_epoch"] = """WITH h AS (SELECT source, lang, round(avg(n_chars), 6) AS loss,
+  row_number() OVER (PARTITION BY source ORDER BY lang) - 1 AS epoch FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY source, lang)
+SELECT source, epoch, loss FROM h WHERE epoch > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY loss, epoch) = 1"""
+ORACLE["stored_log"] = f"""{with_(DAY_LOG)} SELECT group_id, event_id AS seq, 'a "b", c|' || message AS event, round(ts_s, 6) AS ts_s FROM log"""
+ORACLE["stored_free_log"] = f"""{with_(DAY_LOG)} SELECT group_id, event_id AS seq, CASE WHEN event = 'error' THEN message ELSE event END AS event,
+  label, round(CASE WHEN event = 'view' THEN row_number() OVER (PARTITION BY group_id ORDER BY event_id) - 1 ELSE ts_s END, 6) AS ts_s FROM log"""
+ORACLE["stored_labels"] = ORACLE["group_labels"]
+ORACLE["stored_vectors"] = f"WITH {VECTORS} SELECT event, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS d, round(unnest(vec), 6) AS v FROM vectors"
+ORACLE["stored_splits"] = ORACLE["protocol_splits"]
+ORACLE["stored_split_ids"] = ORACLE["protocol_splits"]
+NUMBERED = "numbered AS (SELECT group_id, CAST(row_number() OVER (ORDER BY group_id) AS VARCHAR) AS graph_no FROM graphs)"
+ORACLE["bundle_nodes"] = f"""{with_(LOOPED, GRAPHS, LABELS, NUMBERED)}
+SELECT graph_no AS group_id, label, node_id, n::DOUBLE AS n, round(first_pos / 3.0::DOUBLE, 6) AS third
+FROM nodes JOIN numbered USING (group_id) JOIN labels_ USING (group_id)"""
+ORACLE["bundle_edges"] = f"""{with_(WEIGHTED, UNDIRECTED, GRAPHS, NUMBERED)}
+SELECT graph_no AS group_id, src, dst, round(w, 6) AS w FROM adj JOIN numbered USING (group_id)"""
+ORACLE["stored_predictions"] = f"{with_(SCORES)} SELECT group_id, label, score FROM scores"
+ORACLE["stored_curves"] = f"""{with_(SCORES, cumulative())}
+SELECT 'roc' AS curve, step, round(fp / negatives::DOUBLE, 6) AS x, round(tp / positives::DOUBLE, 6) AS y FROM cum
+UNION ALL SELECT 'roc', 0, 0.0, 0.0
+UNION ALL SELECT 'pr', step, round(tp / positives::DOUBLE, 6), round(tp / (tp + fp)::DOUBLE, 6) FROM cum
+UNION ALL SELECT 'pr', 0, 0.0, 1.0"""
+ORACLE["stored_results"] = f"""{with_(_exact)} SELECT config || '/' || seed AS config, CAST(unnest([{SEED}, {SEED + 1}]) AS INTEGER) AS seed,
+  round(val_roc, 6) AS val_roc, round(val_prc, 6) AS val_prc, round(1 - val_roc, 6) AS test_roc, round(val_prc, 6) AS test_prc FROM results"""
+ORACLE["stored_model_scores"] = f"""{with_(NODE_X, LABELS, COIN, DISTANCES)}
+SELECT group_id, label, round(sqrt(sq), 6) AS score FROM dist JOIN labels_ USING (group_id)"""
+ORACLE["joined_splits"] = ORACLE["bernoulli_split"]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelattice.functions import scalars
@@ -14,7 +14,7 @@ from tracelattice.functions.vectors import l2_normalise
 from tracelattice.operators import (
     adjacency, explain, features, graphs, metrics, propagate, splits, temporal, text,
 )
-from tracelattice.operators.checks import clean_labels, with_labels
+from tracelattice.operators.checks import clean_labels, require_complete, require_unique, with_labels, with_summary
 from tracelattice.plans import oneclass, tables, timed
 from tracelattice.plans.tables import EVENT_ORDER, LINE_ORDER
 
@@ -389,6 +389,85 @@ def svd_embedding(spark, folder):
     return text.svd_embedding(weights, docs, "doc_id", 8)
 
 
+@query
+def keyed_props(spark, folder):
+    """The key in a text by the default pattern and by another one."""
+    events = tables.table(spark, folder, "events")
+    block = F.concat(F.lit("at blk_-"), F.col("event_id").cast("string"), F.lit(" "), F.col("props"))
+    return events.select(
+        "event_id", scalars.group_key(block).alias("block"), scalars.group_key(F.col("props"), r"(\d\d+)").alias("key")
+    )
+
+
+@query
+def times_or_positions(spark, folder):
+    """Times that are no numbers become positions."""
+    df = day_steps(spark, folder, ["event_id", "value"]).df
+    text_time = F.when(F.col("event") == "view", "n/a").otherwise(F.col("value").cast("string"))
+    return df.select("group_id", "event_id", r6_of(scalars.time_or_index(text_time, F.col("pos"))).alias("t"))
+
+
+def r6_of(column):
+    return F.round(column.cast("double"), 6)
+
+
+@query
+def first_fields(spark, folder):
+    """First field that is given, blank ones left out; and the readable name of a row."""
+    log = tables.event_log(spark, folder)
+    blank = F.when(F.col("event") == "view", F.lit(" \t\u00a0")).otherwise(F.nullif(F.col("component"), F.lit("click")))
+    return log.select(
+        "event_id",
+        scalars.first_nonblank(blank, F.lit(""), F.col("message")).alias("field"),
+        scalars.node_label(F.nullif(F.col("component"), F.lit("error")), F.col("message")).alias("name"),
+    )
+
+
+@query
+def short_vectors(spark, folder):
+    vectors = tables.table(spark, folder, "embeddings")
+    return vectors.select("vec_id", micro(scalars.take_dims(F.transform("embedding", lambda v: v.cast("double")), 8), "x"))
+
+
+@query
+def normal_test_graphs(spark, folder):
+    held = splits.take_split(with_labels(day_graphs(spark, folder).graphs, day_labels(spark, folder)), day_split(spark, folder), "test")
+    return splits.train_normal(held)
+
+
+@query
+def all_groups(spark, folder):
+    return splits.all_groups(day_labels(spark, folder))
+
+
+@query
+def sorted_edges(spark, folder):
+    return edge_columns(graphs.sort_edges(day_graphs(spark, folder).edges))
+
+
+@query
+def checked_graphs(spark, folder):
+    """Graphs after the checks that none is listed twice and each has a label."""
+    return require_complete(require_unique(day_graphs(spark, folder).graphs), day_labels(spark, folder))
+
+
+@query
+def graphs_with_timing(spark, folder):
+    built = day_graphs(spark, folder, store=True)
+    joined = with_summary(built.graphs, temporal.gap_summary(built.steps))
+    return joined.select("group_id", "n_events", "n_edges", r6("gap_mean"), r6("gap_max"))
+
+
+@query
+def edge_timing(spark, folder):
+    """Undirected normalised edges with the standardised timing of the raw ones, zeros where there is none."""
+    built = day_graphs(spark, folder, store=True)
+    edges = built.edges.select("group_id", "src", "dst", F.col("n").cast("double").alias("w"))
+    timing = standardised_timing(built.edges, day_labels(spark, folder))
+    found = propagate.with_edge_stats(adjacency.norm_undirected(edges, built.nodes), timing)
+    return found.select("group_id", "src", "dst", r6("w"), micro("t", "t"))
+
+
 # --- adjacency ------------------------------------------------------------------------------------
 
 
@@ -697,6 +776,16 @@ def seed_summary(spark, folder):
     return summary.select("config", *[r6(c) for c in summary.columns if c != "config"])
 
 
+@query
+def best_epoch(spark, folder):
+    """Per source (as run) the language (as epoch) of the shortest documents on average; the first language is epoch 0."""
+    docs = tables.table(spark, folder, "documents").where("lang is not null and source is not null")
+    history = docs.groupBy("source", "lang").agg(F.round(F.avg("n_chars"), 6).alias("loss"))
+    order = F.array_sort(F.collect_set("lang").over(Window.partitionBy("source")))
+    history = history.select("source", (F.array_position(order, F.col("lang")) - 1).alias("epoch"), "loss")
+    return metrics.best_epoch(history, ["source"])
+
+
 @query
 def best_config(spark, folder):
     rounded = language_results(spark, folder).select("config", "seed", r6("val_roc"), r6("val_prc"))

@@ -43,14 +43,16 @@ def write_text_bundle(
         if edges is None:
             continue
         located = edges.join(where, GROUP)
-        at = ["graph_no", "src", "dst"]
+        # The weight too, so that both files list repeated edges alike.
+        at = ["graph_no", "src", "dst", "w"]
         ends = [(F.col(c) + F.col("node_offset") + 1).cast("string") for c in ("src", "dst")]
         _write_lines(located, at, F.concat_ws(DELIMITER, *ends), f"{folder}/{name}_A{suffix}")
         _write_lines(located, at, F.format_string(NUMBER, F.col("w")), f"{folder}/{name}_edge_attributes{suffix}")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file or folder with their 0-based number, in file-name order."""
+    """Lines of a text file or folder with their 0-based number, in the order of the part numbers in their
+    names, of the names where there are none."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -59,7 +61,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     # A block is read in one run, so ids inside it are consecutive.
     blocks = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    placed = ordered(blocks.withColumn("__all", F.lit(0)), ["__all"], ["file", "start"]).scan(running={"upto": F.col("n")})
+    part = F.coalesce(F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint"), F.lit(0))
+    keyed = blocks.withColumns({"__all": F.lit(0), "__part": part})
+    placed = ordered(keyed, ["__all"], ["__part", "file", "start"]).scan(running={"upto": F.col("n")})
     before = placed.select("file", "start", "first", (F.col("upto") - F.col("n")).alias("before"))
     return lines.join(before, ["file", "start"]).select(
         (F.col("before") + F.col("id") - F.col("first")).alias("line"), "value"
