@@ -16,7 +16,8 @@ from tracelattice.operators.graphs import GROUP
 from tracelattice.session import cut_lineage
 
 ALPHA = 0.1
-ITERATIONS = 100
+# Rounds end when no node moves by more than the tolerance; 0.9 ** 300 is far below it.
+ITERATIONS, TOLERANCE = 300, 1e-15
 
 SMALL_EDGES = 2048
 """Graphs up to this size are worked on inside a task, many at a time; larger ones by joins."""
@@ -84,7 +85,9 @@ def _power_rounds(starts: np.ndarray, rows, cols, p, alpha: float, iterations: i
     base = np.repeat(1.0 / n, n)
     pi = base
     for _ in range(iterations):
-        pi = (1 - alpha) * np.bincount(cols, p * pi[rows], minlength=len(pi)) + alpha * base
+        before, pi = pi, (1 - alpha) * np.bincount(cols, p * pi[rows], minlength=len(pi)) + alpha * base
+        if np.max(np.abs(pi - before), initial=0.0) <= TOLERANCE:
+            break
     return pi
 
 
@@ -160,7 +163,7 @@ def _pagerank_by_joins(p: DataFrame, alpha: float, iterations: int) -> DataFrame
     base = cut_lineage(
         nodes.join(sizes, GROUP).select(GROUP, "node_id", (1.0 / F.col("n_nodes")).alias("base"))
     )
-    pi = base.withColumnRenamed("base", "pi")
+    pi = reached = base.withColumnRenamed("base", "pi")
     for i in range(1, iterations + 1):
         step = (
             p.join(pi.withColumnRenamed("node_id", "src"), [GROUP, "src"])
@@ -173,14 +176,18 @@ def _pagerank_by_joins(p: DataFrame, alpha: float, iterations: int) -> DataFrame
         )
         if i % CHECKPOINT_EVERY == 0 and i < iterations:
             pi = cut_lineage(pi)
+            moves = pi.join(reached.withColumnRenamed("pi", "before"), [GROUP, "node_id"])
+            if moves.agg(F.max(F.abs(F.col("pi") - F.col("before"))).alias("m")).first()["m"] <= TOLERANCE:
+                break
+            reached = pi
     return pi
 
 
 def pagerank(
     p: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS, small_edges: int = SMALL_EDGES
 ) -> DataFrame:
-    """Stationary distribution of ``pi = (1 - alpha) pi P + alpha / n`` per graph, by a fixed number of
-    rounds from the uniform start. Nodes are numbered 0 … n-1 in each graph; ``p`` is read several
+    """Stationary distribution of ``pi = (1 - alpha) pi P + alpha / n`` per graph, by rounds from the
+    uniform start until nothing moves, ``iterations`` at most. Nodes are numbered 0 … n-1 in each graph; ``p`` is read several
     times, so pass a stored table.
 
     Small graphs are packed, one row each, and iterated in vectorised batches after a single shuffle.

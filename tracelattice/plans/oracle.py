@@ -315,7 +315,7 @@ ORACLE["transition_matrix"] = f"{with_(WEIGHTED, row_stochastic('w', 'p'))} SELE
 ORACLE["node_degrees"] = f"{with_(WEIGHTED)} SELECT group_id, src AS node_id, sum(w) AS deg FROM w GROUP BY group_id, src"
 ORACLE["symmetric_edges"] = f"""{with_(WEIGHTED)} SELECT group_id, src, dst, sum(w) / 2 AS w FROM (
   SELECT group_id, src, dst, w FROM w UNION ALL SELECT group_id, dst, src, w FROM w) GROUP BY group_id, src, dst"""
-ORACLE["pagerank"] = f"{RECURSIVE}{WEIGHTED}, {RANKED} SELECT group_id, node_id, round(pi, 6) AS pi FROM pi"
+ORACLE["pagerank"] = f"{RECURSIVE}{WEIGHTED}, {RANKED} SELECT group_id, node_id, round(round(pi, 10), 6) AS pi FROM pi"
 ORACLE["adj_ppr"] = f"{RECURSIVE}{WEIGHTED}, {RANKED}, {balanced('p', 'adj')} SELECT {ADJ_COLUMNS} FROM adj"
 ORACLE["adj_pr"] = f"""{RECURSIVE}{WEIGHTED}, {RANKED},
 dense AS (SELECT a.group_id, a.node_id AS src, b.node_id AS dst, 0.9::DOUBLE * coalesce(p.p, 0) + 0.1::DOUBLE / size AS p

@@ -511,7 +511,7 @@ def symmetric_edges(spark, folder):
 @query
 def pagerank(spark, folder):
     p = adjacency.cut_lineage(adjacency.transition_matrix(*weighted_graphs(spark, folder)))
-    return adjacency.pagerank(p).select("group_id", F.col("node_id").cast("int").alias("node_id"), r6("pi"))
+    return adjacency.pagerank(p).select("group_id", F.col("node_id").cast("int").alias("node_id"), r6_of(F.round("pi", 10)).alias("pi"))
 
 
 @query
