@@ -92,6 +92,23 @@ def test_near_dedup(spark, copies):
     assert stay <= got and len(got - stay) <= 0.1 * (len(sets) - len(stay))
 
 
+def near_classes(rows):
+    """Smallest id of each class of texts with a Jaccard similarity of 0.8 or more, by brute force."""
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    near = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return set(classes(sets, near).values())
+
+
+def test_near_dedup_checks_all_candidates_of_a_family(spark):
+    rng, rows = random.Random(11), []
+    for _ in range(30):  # the first is a candidate of both others, but no copy of them
+        base = prose(rng, 200)
+        rows += [edited(rng, base, 7), edited(rng, base, 1), edited(rng, base, 1)]
+    rows = list(enumerate(rows))
+    got = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_classes(rows)
+
+
 def test_connected(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)]

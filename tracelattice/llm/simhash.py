@@ -158,11 +158,11 @@ def part_value(fp: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def links(fps: DataFrame, radius: int = 4, other_radius: int = BITS) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, other_radius: int = BITS, thin: bool = True) -> DataFrame:
     """Pairs (a, b) of ids of `fps` (id, fp, other: long; ids distinct) within `radius` bits by fp and `other_radius` by other.
 
-    Linear in size: where a task finds many pairs, a spanning subset of them is returned, so that connected components are
-    those of all pairs. A part value with more than HOT_ROWS fingerprints is dealt over several tasks: its probes are split,
+    With `thin` linear in size: where a task finds many pairs, a spanning subset of them is returned, so that connected
+    components are those of all pairs; pairs that are checked further need all of them. A part value with more than HOT_ROWS fingerprints is dealt over several tasks: its probes are split,
     its filed fingerprints are copied to each. `fps` is read three times: pass a stored table.
     """
     n, both = bit_statistics(fps)
@@ -195,10 +195,10 @@ def links(fps: DataFrame, radius: int = 4, other_radius: int = BITS) -> DataFram
         probes = probes.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.hash("id"), F.col("salts")), F.lit(0)))
     rows = filed.withColumn("role", F.lit(0)).unionByName(probes.withColumn("role", F.lit(1)), allowMissingColumns=True)
     rows = rows.select("key", "salt", "role", "id", "fp", "other").repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
-    return rows.mapInArrow(lambda b: compared(b, radius, other_radius), "a long, b long")
+    return rows.mapInArrow(lambda b: compared(b, radius, other_radius, thin), "a long, b long")
 
 
-def compared(batches, radius: int, other_radius: int):
+def compared(batches, radius: int, other_radius: int, thin: bool):
     """Probes of each key against the fingerprints filed under it; only the latter are held."""
     held = [np.zeros(0, np.int64)] * 5
     for batch in batches:
@@ -215,12 +215,12 @@ def compared(batches, radius: int, other_radius: int):
             of = np.array([order.get(k, -1) for k in zip(pk[turn].tolist(), ps[turn].tolist())], np.int64)
             of = np.repeat(of, np.diff(np.append(turn, len(pk))))
             live = np.flatnonzero(of >= 0)
-            yield from matches(live, of[live], first, size, (pi, pf, po), (fi, ff, fo), radius, other_radius)
+            yield from matches(live, of[live], first, size, (pi, pf, po), (fi, ff, fo), radius, other_radius, thin)
         last = (fk == key[-1]) & (fs == salt[-1]) if len(fk) and len(key) else np.zeros(len(fk), bool)
         held = [x[last] for x in (fk, fs, fi, ff, fo)]
 
 
-def matches(rows, of, first, size, probe, filed, radius, other_radius):
+def matches(rows, of, first, size, probe, filed, radius, other_radius, thin):
     many, total, start = size[of], np.cumsum(size[of]), 0
     while start < len(rows):
         stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS_AT_ONCE, "right")))
@@ -232,7 +232,7 @@ def matches(rows, of, first, size, probe, filed, radius, other_radius):
         hit = (np.bitwise_count((probe[2][q] ^ filed[2][f]).view(np.uint64)) <= other_radius) & (probe[0][q] < filed[0][f])
         a, b = probe[0][q[hit]], filed[0][f[hit]]
         if len(a):
-            some = spanning(a, b)
+            some = spanning(a, b) if thin else slice(None)
             yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some])], names=["a", "b"])
         start = stop
 
@@ -295,7 +295,7 @@ def near_dedup(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int
     marked = docs.withColumn("__llm_id", ident)
     first = stored(fingerprints(docs.select(ident.alias("id"), "text"), (probe_width, width), ("id",)).distinct())
     nodes = first.select("id", F.col(f"fp{probe_width}").alias("fp"), F.col(f"fp{width}").alias("other"))
-    candidates = stored(links(nodes, radius, wide_radius).distinct())
+    candidates = stored(links(nodes, radius, wide_radius, thin=False).distinct())
     asked = candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(ident.alias("id"), whole_text().alias("text")).join(asked, "id").groupBy("id").agg(F.first("text").alias("text"))
     roots = connected(stored(verified(candidates, stored(texts), width, least)))
