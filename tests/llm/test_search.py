@@ -109,6 +109,23 @@ def test_near_dedup_checks_all_candidates_of_a_family(spark):
     assert got == near_classes(rows)
 
 
+def test_near_dedup_finds_cut_and_extended_copies(spark, monkeypatch):
+    rng, rows = random.Random(12), []
+    for i in range(150):  # a block of up to a fifth cut off, added or replaced; some words repeated often
+        base = prose(rng, rng.randrange(60, 300), 12 if i % 3 == 0 else 400).split()
+        k = int(len(base) * rng.uniform(0.07, 0.21))
+        other = [f"y{rng.randrange(10**6)}" for _ in range(k)]
+        rows += [" ".join(base), " ".join(rng.choice((base[:-k], base[k:], base + other, other + base, base[: -k // 2] + other[: k // 2])))]
+    rows = list(enumerate([*rows, "", " ", "one", "one two"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_classes(rows[:-4]) | {300, 302, 303}  # texts without words are alike
+    assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == want
+    usual = np.unique(np.concatenate([simhash.shingle_hashes(t.encode().split(), 5) for _, t in rows[::7]])).view(np.int64)
+    usual.sort()  # any order of shingles gives the same rows
+    monkeypatch.setattr(simhash, "usual_shingles", lambda texts, width: (usual, np.arange(len(usual)) % 5 + 1))
+    assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == want
+
+
 def test_connected(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)]

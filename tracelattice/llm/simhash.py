@@ -11,21 +11,22 @@ from __future__ import annotations
 
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelattice.llm.common import connected, map_rows, spanning, stored, whole_text, words
+from tracelattice.llm.common import connected, hash_sample, map_rows, spanning, stored, whole_text, words, written
 
 BITS = 64
 PROBE_COST, PAIR_COST = 600.0, 4.0  # nanoseconds, measured: a probe row through the shuffle, a compared pair
 HOT_ROWS = 20_000
 PAIRS_AT_ONCE = 1 << 20
 SALTS = 64
+SAMPLE_DOCS, USUAL = 10_000, 1 << 16  # for the order of shingles alone; results do not depend on it
 
 
 def shingle_hashes(tokens: list[bytes], width: int) -> np.ndarray:
@@ -158,11 +159,11 @@ def part_value(fp: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def links(fps: DataFrame, radius: int = 4, other_radius: int = BITS, thin: bool = True) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, other_radius: int = BITS) -> DataFrame:
     """Pairs (a, b) of ids of `fps` (id, fp, other: long; ids distinct) within `radius` bits by fp and `other_radius` by other.
 
-    With `thin` linear in size: where a task finds many pairs, a spanning subset of them is returned, so that connected
-    components are those of all pairs; pairs that are checked further need all of them. A part value with more than HOT_ROWS fingerprints is dealt over several tasks: its probes are split,
+    Linear in size: where a task finds many pairs, a spanning subset of them is returned, so that connected components are
+    those of all pairs; pairs to be checked further must not come from here. A part value with more than HOT_ROWS fingerprints is dealt over several tasks: its probes are split,
     its filed fingerprints are copied to each. `fps` is read three times: pass a stored table.
     """
     n, both = bit_statistics(fps)
@@ -195,10 +196,10 @@ def links(fps: DataFrame, radius: int = 4, other_radius: int = BITS, thin: bool
         probes = probes.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.hash("id"), F.col("salts")), F.lit(0)))
     rows = filed.withColumn("role", F.lit(0)).unionByName(probes.withColumn("role", F.lit(1)), allowMissingColumns=True)
     rows = rows.select("key", "salt", "role", "id", "fp", "other").repartition("key", "salt").sortWithinPartitions("key", "salt", "role")
-    return rows.mapInArrow(lambda b: compared(b, radius, other_radius, thin), "a long, b long")
+    return rows.mapInArrow(lambda b: compared(b, radius, other_radius), "a long, b long")
 
 
-def compared(batches, radius: int, other_radius: int, thin: bool):
+def compared(batches, radius: int, other_radius: int):
     """Probes of each key against the fingerprints filed under it; only the latter are held."""
     held = [np.zeros(0, np.int64)] * 5
     for batch in batches:
@@ -215,12 +216,12 @@ def compared(batches, radius: int, other_radius: int, thin: bool):
             of = np.array([order.get(k, -1) for k in zip(pk[turn].tolist(), ps[turn].tolist())], np.int64)
             of = np.repeat(of, np.diff(np.append(turn, len(pk))))
             live = np.flatnonzero(of >= 0)
-            yield from matches(live, of[live], first, size, (pi, pf, po), (fi, ff, fo), radius, other_radius, thin)
+            yield from matches(live, of[live], first, size, (pi, pf, po), (fi, ff, fo), radius, other_radius)
         last = (fk == key[-1]) & (fs == salt[-1]) if len(fk) and len(key) else np.zeros(len(fk), bool)
         held = [x[last] for x in (fk, fs, fi, ff, fo)]
 
 
-def matches(rows, of, first, size, probe, filed, radius, other_radius, thin):
+def matches(rows, of, first, size, probe, filed, radius, other_radius):
     many, total, start = size[of], np.cumsum(size[of]), 0
     while start < len(rows):
         stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS_AT_ONCE, "right")))
@@ -232,7 +233,7 @@ def matches(rows, of, first, size, probe, filed, radius, other_radius, thin):
         hit = (np.bitwise_count((probe[2][q] ^ filed[2][f]).view(np.uint64)) <= other_radius) & (probe[0][q] < filed[0][f])
         a, b = probe[0][q[hit]], filed[0][f[hit]]
         if len(a):
-            some = spanning(a, b) if thin else slice(None)
+            some = spanning(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(b[some])], names=["a", "b"])
         start = stop
 
@@ -283,22 +284,90 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     return rows.mapInArrow(check, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 10, probe_width: int = 2, wide_radius: int = 20) -> DataFrame:
+def usual_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur among SAMPLE_DOCS texts (id, text), sorted, and how often: at most USUAL of them, the most frequent."""
+
+    def rows(c):
+        return {"key": np.concatenate([np.zeros(0, np.int64), *(np.unique(shingle_hashes(words(t), width)).view(np.int64) for t in c["text"])])}
+
+    found = map_rows(hash_sample(texts, SAMPLE_DOCS, "id").select("text"), rows, "key long").groupBy("key").agg(F.count("*").alias("c"))
+    found = found.where("c > 2").orderBy(F.desc("c"), "key").limit(USUAL).orderBy("key").toArrow()
+    return found.column("key").to_numpy().astype(np.int64), found.column("c").to_numpy().astype(np.int64)
+
+
+def prefixes(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """key, salt, n, id: of every text (id, text) with n different shingles the first n - ceil(least * n) + 1.
+
+    All texts order their shingles alike, those of `usual_shingles` last, so that two texts of a Jaccard similarity of at least
+    `least` have their first common shingle among these of both, whatever the order. Usual shingles have salts from 1 on.
+    """
+    usual, often = usual_shingles(texts, width)
+
+    def rows(c):
+        out: dict[str, list] = {k: [np.zeros(0, np.int64)] for k in ("key", "salt", "n", "id")}
+        for ident, t in zip(c["id"], c["text"]):
+            keys = np.unique(shingle_hashes(words(t), width)).view(np.int64)
+            n = len(keys)
+            if not n:
+                keys = np.zeros(1, np.int64)
+            count = np.zeros(len(keys), np.int64)
+            if len(usual):
+                place = np.minimum(np.searchsorted(usual, keys), len(usual) - 1)
+                count = np.where(usual[place] == keys, often[place], 0)
+            first = np.lexsort((keys, count))[: n - ceil(least * n - 1e-9) + 1]
+            out["key"].append(keys[first])
+            out["salt"].append(np.where(count[first] > 0, 1 + ident % SALTS, 0))
+            out["n"].append(np.full(len(first), n))
+            out["id"].append(np.full(len(first), ident))
+        return {k: np.concatenate(v) for k, v in out.items()}
+
+    return map_rows(texts, rows, "key long, salt long, n long, id long")
+
+
+def alike(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Links (a, b) that connect all texts (id, text) with a Jaccard similarity of at least `least` over sets of word shingles.
+
+    Exact: what two texts share lies in the shared part of their prefixes or behind the prefix that ends first, hence the least
+    number of shared prefix shingles. First each text is compared with the next smaller one of its shingles, if enough of
+    them agree on it; then all pairs that share enough and are not connected yet. Pairs grow with the square of a group
+    only where texts share rare shingles and stay unlike.
+    """
+    group = Window.partitionBy("key", "salt").orderBy("n", "id")
+    found = prefixes(texts, width, least).withColumn("before", F.lag("id").over(group)).withColumn("small", F.lag("n").over(group))
+    found = found.withColumn("next", F.lead("id").over(group)).where("not id <=> before and (salt > 0 or before is not null or next is not null)")
+    shared = written(found.select("key", "n", "id", "before", "small"))
+
+    def enough(rows: DataFrame) -> DataFrame:
+        """Pairs of (a, b, low, high) in as many rows as a similarity of `least` takes, with texts of low <= high shingles."""
+        rows = rows.where(F.col("low") >= F.col("high") * least - 1e-6).groupBy("a", "b", "low", "high").agg(F.count("*").alias("c"))
+        need = (F.col("low") + F.col("high")) * (least / (1 + least)) - F.ceil(F.col("high") * least - 1e-9) + 1
+        return stored(rows.where(F.col("c") >= need - 1e-6).select("a", "b"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        own = texts.join(asked, "id").groupBy("id").agg(F.first("text").alias("text"))
+        return stored(verified(pairs, written(own), width, least))
+
+    first = shared.where("before is not null")
+    first = enough(first.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b"), F.col("small").alias("low"), F.col("n").alias("high")))
+    near = checked(first)
+    rows = shared.select("key", "n", "id").join(connected(near).withColumnRenamed("node", "id"), "id", "left")
+    rows = rows.select("key", "n", "id", F.coalesce("root", "id").alias("root"))
+    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("n", "id", "root"))) for side in "xy")
+    pairs = x.join(y, "key").where("id_x < id_y and root_x <> root_y")
+    pairs = pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.least("n_x", "n_y").alias("low"), F.greatest("n_x", "n_y").alias("high"))
+    return near.unionByName(checked(enough(pairs).join(first, ["a", "b"], "left_anti")))
+
+
+def near_dedup(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of `docs` without near copies: of each group the row with the smallest doc_id stays.
 
-    Groups are connected by equal texts and by pairs with Jaccard similarity of at least `least` over `width`-word shingles.
-    Candidates are within `radius` bits by a fingerprint of `probe_width`-word shingles, which moves less under edits, and
-    `wide_radius` bits by that of `width`-word shingles; then the shingle sets decide. Null and empty texts are equal
-    texts. Columns stay as they are; of repeated rows one stays; null ids come last.
+    Groups are connected by equal texts and by all pairs with Jaccard similarity of at least `least` over `width`-word
+    shingles. Null and empty texts are equal texts. Columns stay as they are; of repeated rows one stays; null ids come last.
     """
     ident = F.xxhash64(whole_text())
     marked = docs.withColumn("__llm_id", ident)
-    first = stored(fingerprints(docs.select(ident.alias("id"), "text"), (probe_width, width), ("id",)).distinct())
-    nodes = first.select("id", F.col(f"fp{probe_width}").alias("fp"), F.col(f"fp{width}").alias("other"))
-    candidates = stored(links(nodes, radius, wide_radius, thin=False).distinct())
-    asked = candidates.select(F.col("a").alias("id")).union(candidates.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(ident.alias("id"), whole_text().alias("text")).join(asked, "id").groupBy("id").agg(F.first("text").alias("text"))
-    roots = connected(stored(verified(candidates, stored(texts), width, least)))
+    roots = connected(stored(alike(docs.select(ident.alias("id"), whole_text().alias("text")), width, least)))
     of = marked.select("__llm_id", "doc_id").groupBy("__llm_id").agg(F.min("doc_id").alias("low"))
     of = of.join(roots, of.__llm_id == roots.node, "left").select("__llm_id", "low", F.coalesce("root", "__llm_id").alias("__llm_root"))
     of = of.join(of.groupBy("__llm_root").agg(F.min("low").alias("__llm_least")), "__llm_root").select("__llm_id", "__llm_root", "__llm_least")
