@@ -137,6 +137,24 @@ def test_page_text(spark, around):
     assert extract.main_text(PAGE.format(open=around[0], close=around[1]), weights) == TEXT
 
 
+@pytest.mark.parametrize("name", ["overflow-hidden", "no-sidebar", "has-comments", "with-ads", "widget-text", "search-result", "form"])
+def test_names_that_hold_a_noise_word_keep_the_text(name):
+    story = "<p>" + "</p><p>".join("one of many paragraphs of the story " * 3 for _ in range(6)) + "</p>"
+    open_, close = ("<form action='x'>", "</form>") if name == "form" else (f'<div class="{name}">', "</div>")
+    whole = extract.main_text(f"<html><body><div>{story}</div></body></html>", extract.DEFAULT)
+    assert whole.count("story") == 18
+    for page in (f"<html><body>{open_}{story}{close}</body></html>", f"<html><body><article>{open_}{story}{close}</article></body></html>"):
+        assert extract.main_text(page, extract.DEFAULT) == whole
+
+
+def test_hidden_elements_go():
+    story = "<p>" + "some words of the story " * 9 + "</p>"
+    for attrs in ("hidden", 'hidden=""', "class='hidden'", 'style="color:red; display:none"', "aria-hidden=true", 'class="sidebar"'):
+        assert "secret" not in extract.main_text(f"<body>{story}<div {attrs}>secret thing</div>{story}</body>", extract.DEFAULT)
+    for attrs in ('hidden="until-found"', 'class="overflow-hidden"', "data-hidden=true", 'title="not hidden"'):
+        assert "secret" in extract.main_text(f"<body>{story}<div {attrs}>secret thing</div>{story}</body>", extract.DEFAULT)
+
+
 def test_best_run():
     rng = random.Random(0)
     for _ in range(200):

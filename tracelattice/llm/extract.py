@@ -3,7 +3,8 @@
 A page becomes a sequence of words and tags. Words score positive and tags negative, by log-likelihood ratios of being
 inside or outside the content, learned from labelled pages: those that mark one element as their content. A linear scan finds
 the contiguous region of the highest sum. Elements that are never content (menus, adverts, comments and the like, by tag
-or by class) are left out of it, and its blocks are joined.
+or by whole names of class) are left out of it, and its blocks are joined. Words of elements whose names only hold such a word
+score negative, and forms are left out, where they hold a small share of the page's words; else both count as any element.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import html
 import math
 import re
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +25,18 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTR = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|/|=|$)", re.I)
+UNTIL = re.compile(r"(?:^|\s)hidden\s*=\s*[\"']?until", re.I)
+STYLED = re.compile(r"(?<![\w-])(?:style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'>]*)(?<![\w-])display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
     " h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul title".split()
 )
-NEVER = frozenset("head nav footer aside form menu dialog button title".split())
+NEVER = frozenset("head nav footer aside menu dialog button title".split())
 CONTENT = frozenset(("article", "main"))
 FRAME = frozenset("html head body article main nav header footer aside".split())
 NOISE = frozenset(
@@ -42,6 +47,7 @@ NOISE = frozenset(
 )
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SAMPLE_PAGES = 2000
+SMALL = 0.25
 DEFAULT = {"word": 1.0, "link": -0.5}
 
 
@@ -52,9 +58,9 @@ class Page:
         self.kind: list[str] = []  # 'word', 'link' (a word inside a link) or a tag's name
         self.text: list[str | None] = []
         self.block: list[int] = []
-        opened: list[list] = []  # name, first token, is noise, is content
+        opened: list[list] = []  # name, first token, noise grade, is content
         names: Counter = Counter()
-        spans: list[tuple[int, int, bool, bool, str]] = []
+        spans: list[tuple[int, int, int, bool, str]] = []
         block = 0
 
         def close(to: int) -> None:
@@ -101,7 +107,7 @@ class Page:
             self.add(tag, None, block)
             if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCKS:
                 continue
-            opened.append([tag, first, is_noise(tag, m["attrs"]), tag in CONTENT or "articlebody" in m["attrs"].lower()])
+            opened.append([tag, first, noise_grade(tag, m["attrs"]), tag in CONTENT or "articlebody" in m["attrs"].lower()])
             names[tag] += 1
         rest = [(o[0], o[1], o[3]) for o in opened]
         close(0)
@@ -117,7 +123,8 @@ class Page:
         n = len(self.kind)
         content = [(s, e) for s, e, _, c, _ in spans if c]
         headings = [(s, e) for s, e, _, _, name in spans if re.fullmatch(r"h[1-6]", name)]
-        noise = [0] * (n + 1)
+        noise, weak = [0] * (n + 1), [0] * (n + 1)
+        seen = [0, *accumulate(k in ("word", "link") for k in self.kind)]
         for s, e, bad, _, name in spans:
             inside = any(a <= s and e <= b for a, b in content)
             holds = any(s <= a and b <= e for a, b in content)
@@ -127,12 +134,12 @@ class Page:
                     noise[a] += 1
                     noise[b] -= 1
             elif bad and not holds and not ((s, name) in unclosed and name not in NEVER):
-                noise[s] += 1
-                noise[e] -= 1
-        depth, self.noise = 0, []
-        for v in noise[:-1]:
-            depth += v
-            self.noise.append(depth > 0)
+                if bad == 1 and seen[e] - seen[s] >= SMALL * seen[n]:
+                    continue
+                to = noise if bad == 2 or name == "form" else weak
+                to[s] += 1
+                to[e] -= 1
+        self.noise, self.weak = ([v > 0 for v in accumulate(x[:-1])] for x in (noise, weak))
         outer = [c for c in content if not any(o != c and o[0] <= c[0] and c[1] <= o[1] for o in content)]
         self.content = outer[0] if len(outer) == 1 else None
 
@@ -145,14 +152,23 @@ def gaps(s: int, e: int, kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [*out, (at, e)]
 
 
-def is_noise(tag: str, attrs: str) -> bool:
+def noise_grade(tag: str, attrs: str) -> int:
+    """2: never content, by tag, hidden, or by a name all of whose parts are noise. 1: a form, or a name with such a part. 0: other."""
     if tag in NEVER:
-        return True
+        return 2
+    least = int(tag == "form")
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    if HIDDEN.search(attrs):
-        return True
-    return any(p.lower() in NOISE for m in ATTR.finditer(attrs) for p in PART.findall(m[1] or m[2] or m[3] or ""))
+        return least
+    if STYLED.search(attrs) or HIDDEN.search(QUOTED.sub("=x", attrs)) and not UNTIL.search(attrs):
+        return 2
+    for m in ATTR.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in PART.findall(name)]
+            if name.lower() in NOISE or name == "hidden" or parts and NOISE.issuperset(parts):
+                return 2
+            if not NOISE.isdisjoint(parts):
+                least = 1
+    return least
 
 
 def learned_counts(source: str) -> Counter:
@@ -208,7 +224,8 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def main_text(source: str, weights: dict[str, float]) -> str:
     """The main text of one page, blocks joined by two line breaks."""
     page = Page(source)
-    scores = [0.0 if n or not k else weights.get(k, 1.0 if k == "word" else -1.0 if k != "link" else -0.5) for k, n in zip(page.kind, page.noise)]
+    bad = -max(0.5, weights.get("word", 1.0))
+    scores = [0.0 if n or not k else bad if w and k in ("word", "link") else weights.get(k, 1.0 if k == "word" else -1.0 if k != "link" else -0.5) for k, n, w in zip(page.kind, page.noise, page.weak)]
     lo, hi = best_run(scores)
     blocks: dict[int, list[str]] = {}
     for i in range(lo, hi):
