@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelattice.llm import decontam, digest, extract, langid, lines, mixing, ngrams, pii, simhash, suffix
+from tracelattice.llm import alignment, bpe, decontam, digest, extract, langid, lines, mixing, ngrams, pii, simhash, suffix, variants
 from tracelattice.llm.common import id_remainder, shared_dir
 
 
@@ -71,9 +71,33 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return said.select("doc_id", F.coalesce(id_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def vocabulary_path(name: str) -> str:
+    """The installed file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_align_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    paths = (vocabulary_path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    done = alignment.align_documents(table(spark, folder, "documents"), *paths, digests=True)
+    return done.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_variants(spark: SparkSession, folder: str) -> DataFrame:
+    done = variants.spelling_variants(table(spark, folder, "documents"))
+    return done.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    done = bpe.encode_documents(table(spark, folder, "documents"), vocabulary_path("byte_bpe_50k.json"))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
+    return done.select("doc_id", "n_tokens", *digests)
+
+
 QUERIES = {
     fn.__name__: fn
-    for fn in (op1_pii, op2_lm_score, op3_suffix_dedup, op4_html_text, op5_decontaminate, op6_fingerprint, op7_simhash, op8_mix, op9_line_dedup, op10_language)
+    for fn in (op1_pii, op2_lm_score, op3_suffix_dedup, op4_html_text, op5_decontaminate, op6_fingerprint, op7_simhash, op8_mix, op9_line_dedup, op10_language, op11_align_tokens, op12_variants, op13_bpe)
 }
 
 ORACLE = {
