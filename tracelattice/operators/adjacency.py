@@ -91,12 +91,26 @@ def _power_rounds(starts: np.ndarray, rows, cols, p, alpha: float, iterations: i
     return pi
 
 
-def _summed(rows: np.ndarray, cols: np.ndarray, w: np.ndarray, total: int) -> tuple[np.ndarray, ...]:
+def summed_entries(rows: np.ndarray, cols: np.ndarray, w: np.ndarray, total: int) -> tuple[np.ndarray, ...]:
     """Entries of a sparse matrix sorted by row and column, repeated ones added up."""
     keys, place = np.unique(rows * total + cols, return_inverse=True)
     return keys // total, keys % total, np.bincount(place, w, minlength=len(keys))
 
 
+def balanced_entries(starts: np.ndarray, rows, cols, weight, alpha: float, iterations: int) -> tuple[np.ndarray, ...]:
+    """Graphs laid side by side, normalised by personalised PageRank: rows, columns and weights, sorted."""
+    total, loops = starts[-1], np.arange(starts[-1])
+    rows, cols, weight = summed_entries(
+        np.append(rows, loops), np.append(cols, loops), np.append(weight, np.ones(total)), total
+    )
+    p = weight / np.bincount(rows, weight, minlength=total)[rows]
+    pi = _power_rounds(starts, rows, cols, p, alpha, iterations)
+    half = np.sqrt(pi[rows] / pi[cols]) * p / 2
+    rows, cols, weight = summed_entries(np.append(rows, cols), np.append(cols, rows), np.append(half, half), total)
+    degree = np.bincount(rows, weight, minlength=total)
+    return rows, cols, weight / np.sqrt(degree[rows] * degree[cols])
+
+
 def _slices(length: int) -> list[slice]:
     return [slice(at, at + GRAPHS_PER_STEP) for at in range(0, length, GRAPHS_PER_STEP)]
 
@@ -123,16 +137,7 @@ def _ppr_weights(alpha: float, iterations: int):
         out: dict[str, list[np.ndarray]] = {"src": [], "dst": [], "w": []}
         for part in _slices(len(n_nodes)):
             starts, rows, cols, weight = _flat(n_nodes[part], src[part], dst[part], w[part])
-            total, loops = starts[-1], np.arange(starts[-1])
-            rows, cols, weight = _summed(
-                np.append(rows, loops), np.append(cols, loops), np.append(weight, np.ones(total)), total
-            )
-            p = weight / np.bincount(rows, weight, minlength=total)[rows]
-            pi = _power_rounds(starts, rows, cols, p, alpha, iterations)
-            half = np.sqrt(pi[rows] / pi[cols]) * p / 2
-            rows, cols, weight = _summed(np.append(rows, cols), np.append(cols, rows), np.append(half, half), total)
-            degree = np.bincount(rows, weight, minlength=total)
-            weight = weight / np.sqrt(degree[rows] * degree[cols])
+            rows, cols, weight = balanced_entries(starts, rows, cols, weight, alpha, iterations)
             graph = np.searchsorted(starts, rows, side="right") - 1
             ends = np.searchsorted(graph, np.arange(1, len(starts) - 1))
             for name, values in (("src", rows - starts[graph]), ("dst", cols - starts[graph]), ("w", weight)):

@@ -6,38 +6,52 @@ from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelattice.functions import scalars
-from tracelattice.functions.vectors import concat_array_columns
 from tracelattice.operators.graphs import GROUP, Steps
 
 SEVERITY_SLOTS = len(scalars.SEVERITIES)
 EPSILON = 2.0**-52
 
 
+# Accepted names of a row's fields in order of preference, whatever their case.
+ROW_FIELDS = {
+    "message": ("content", "message"),
+    "level": ("level", "severity", "loglevel", "log_level"),
+    "component": ("component", "module", "subsystem", "service"),
+    "subsystem": ("subsystem",),
+    "params": ("parameterlist", "parameter_list", "parameters", "params"),
+}
+
+
+def row_field(log: DataFrame, name: str) -> Column:
+    """The first field among the accepted names of ``name`` that is neither null nor blank, as text."""
+    have = {c.lower(): c for c in log.columns}
+    given = [F.col(have[n]).cast("string") for n in ROW_FIELDS[name] if n in have]
+    return scalars.first_nonblank(*given) if given else F.lit(None).cast("string")
+
+
+def given_params(log: DataFrame) -> Column | None:
+    """The first list or map of parameters that is not null, as texts. A plain text is no list of parameters: the message counts."""
+    have, types, lists = {c.lower(): c for c in log.columns}, dict(log.dtypes), []
+    for column in (have[n] for n in ROW_FIELDS["params"] if n in have):
+        if types[column].startswith(("map<", "array<")):
+            values = F.map_values(column) if types[column].startswith("map<") else F.col(column)
+            lists.append(values.cast("array<string>"))
+    return F.coalesce(*lists) if lists else None
+
+
 def parsed_fields(log: DataFrame) -> DataFrame:
-    """Add ``severity``, ``component`` and ``params`` from message, level, component and subsystem.
-    Missing columns count as null."""
-    have = set(log.columns)
-
-    def field(name: str) -> Column:
-        return F.col(name).cast("string") if name in have else F.lit(None).cast("string")
-
-    message = F.coalesce(scalars.blank_to_null(field("message")), F.col("event").cast("string"))
-    kind = dict(log.dtypes).get("params", "")
-    if kind.startswith("map<"):
-        params = F.map_values("params").cast("array<string>")
-    elif kind.startswith("array<"):
-        params = F.col("params").cast("array<string>")
-    else:  # a plain text is no list of parameters: the message counts
-        params = None
+    """Add ``severity``, ``component`` and ``params`` from message, level, component, subsystem and parameters, each under any of
+    its accepted names (``ROW_FIELDS``), row by row the first that is given. Missing columns count as null."""
+    message = F.coalesce(row_field(log, "message"), F.col("event").cast("string"))
     return log.withColumns(
         {
-            "severity": scalars.severity(field("level"), message),
-            "component": scalars.component(field("component"), field("subsystem"), message),
-            "params": scalars.numeric_params(params, message),
+            "severity": scalars.severity(row_field(log, "level"), message),
+            "component": scalars.component(row_field(log, "component"), row_field(log, "subsystem"), message),
+            "params": scalars.numeric_params(given_params(log), message),
         }
     )
 
@@ -85,25 +99,58 @@ def param_stats(rows: DataFrame) -> DataFrame:
     )
 
 
+def node_cells(step: Steps) -> DataFrame:
+    """Rows of a log folded to one row per group, event and component: rows ``n``, rows of each severity, first and last position,
+    and the moments of the parameters (count, mean, squared deviations, smallest, largest), which can be merged further."""
+    values = step.df.select(GROUP, "event", "severity", "component", "pos", F.posexplode_outer("params").alias("k", "v"))
+    row = F.coalesce(F.col("k"), F.lit(0)) == 0  # a row counts at its first parameter
+    return values.groupBy(GROUP, "event", "component").agg(
+        F.count_if(row).alias("n"),
+        *[F.count_if(row & (F.col("severity") == s)).alias(f"n_{s}") for s in scalars.SEVERITIES],
+        F.min("pos").alias("first_pos"),
+        F.max("pos").alias("last_pos"),
+        F.count("v").alias("count"),
+        F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop("v") * F.count("v"), F.lit(0.0)).alias("squares"),
+        F.min("v").alias("low"),
+        F.max("v").alias("high"),
+    )
+
+
 def node_statistics(step: Steps, bins: int = scalars.COMPONENT_BINS) -> DataFrame:
     """``stats`` per node: 7 severity slots, ``bins`` component slots, three positions and four
-    signed-log parameter statistics. ``step`` carries severity, component and params."""
-    rows = step.df.select(GROUP, "event", "severity", "component", "params")
+    signed-log parameter statistics. ``step`` carries severity, component and params.
+
+    Cells of group, event and component are merged to nodes where they lie: the log is read and moved by its group once. Ties of
+    severities and components go to the smaller string.
+    """
+    node, group = Window.partitionBy(GROUP, "event"), Window.partitionBy(GROUP)
+    weight = F.col("count")
+    cells = node_cells(step).withColumn("m", F.sum(F.col("mean") * weight).over(node) / F.greatest(F.sum(weight).over(node), F.lit(1)))
+    severities = F.array(*[F.struct((-F.sum(f"n_{s}")).alias("n"), F.lit(s).alias("name")) for s in scalars.SEVERITIES])
+    away = F.col("mean") - F.col("m")
+    nodes = cells.groupBy(GROUP, "event").agg(
+        F.sum("n").alias("n"),
+        F.min("first_pos").alias("first_pos"),
+        F.max("last_pos").alias("last_pos"),
+        F.array_min(severities)["name"].alias("severity"),
+        F.min_by("component", F.struct(-F.col("n"), "component")).alias("component"),
+        F.max("m").alias("param_mean"),
+        F.sqrt(F.sum(F.col("squares") + weight * away * away) / F.greatest(F.sum(weight), F.lit(1))).alias("param_std"),
+        F.coalesce(F.min("low"), F.lit(0.0)).alias("param_min"),
+        F.coalesce(F.max("high"), F.lit(0.0)).alias("param_max"),
+    )
+    total = F.sum("n").over(group)
     params = [scalars.signed_log(F.col(f"param_{name}")) for name in ("mean", "std", "min", "max")]
-    return (
-        node_positions(step)
-        .join(node_modes(rows), [GROUP, "event"])
-        .join(param_stats(rows), [GROUP, "event"])
-        .select(
-            GROUP,
-            "event",
-            F.concat(
-                scalars.severity_onehot(F.col("severity")),
-                scalars.component_onehot(F.col("component"), bins),
-                concat_array_columns(("frequency", "first_rel", "last_rel")),
-                F.array(*params),
-            ).alias("stats"),
-        )
+    return nodes.withColumn("total", total).select(
+        GROUP,
+        "event",
+        F.concat(
+            scalars.severity_onehot(F.col("severity")),
+            scalars.component_onehot(F.col("component"), bins),
+            F.array(*[F.col(c) / F.col("total") for c in ("n", "first_pos", "last_pos")]),
+            F.array(*params),
+        ).alias("stats"),
     )
 
 
@@ -115,11 +162,12 @@ def with_vectors(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def standardise_within(nodes: DataFrame, vector: str = "x") -> DataFrame:
     """Each dimension standardised over the nodes of its graph. A graph of one node is left alone, a
-    dimension whose spread is only rounding becomes zero."""
-    moments = Summarizer.metrics("mean", "variance").summary(array_to_vector(F.col(vector)))
-    stats = nodes.groupBy(GROUP).agg(F.count(F.lit(1)).alias("__n"), moments.alias("__m")).select(
-        GROUP, "__n", vector_to_array("__m.mean").alias("__mean"), vector_to_array("__m.variance").alias("__var")
-    )
+    dimension whose spread is only rounding becomes zero.
+
+    The moments are taken over a window of the graph, so that nodes are computed once and stay where they are.
+    """
+    graph = Window.partitionBy(GROUP)
+    moments = Summarizer.metrics("mean", "variance").summary(array_to_vector(F.col(vector))).over(graph)
     n = F.col("__n")
 
     def z(x: Column, moments: Column) -> Column:
@@ -128,9 +176,10 @@ def standardise_within(nodes: DataFrame, vector: str = "x") -> DataFrame:
         noise = n * EPSILON * variance + F.pow(n * mean * EPSILON, F.lit(2.0))
         return F.when(variance <= noise, 0.0).otherwise((x - mean) / F.sqrt(variance))
 
+    rows = nodes.withColumns({"__n": F.count(F.lit(1)).over(graph), "__m": moments})
+    rows = rows.withColumns({"__mean": vector_to_array("__m.mean"), "__var": vector_to_array("__m.variance")})
     scaled = F.zip_with(F.col(vector), F.arrays_zip("__mean", "__var"), z)
-    out = F.when(n > 1, scaled).otherwise(F.col(vector))
-    return nodes.join(stats, GROUP).withColumn(vector, out).drop("__n", "__mean", "__var")
+    return rows.withColumn(vector, F.when(n > 1, scaled).otherwise(F.col(vector))).drop("__n", "__m", "__mean", "__var")
 
 
 def node_features(

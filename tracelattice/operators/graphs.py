@@ -188,6 +188,8 @@ def graphs_of(step: Steps, singletons: str = "skip", min_edges: int = 0, store:
     hot = step.sequence.is_hot
     if hot or store:
         trans = cut_lineage(trans)
+        if not hot:  # placed by group once for nodes, edges and sizes
+            trans = trans.repartition(GROUP)
     graphs = graph_stats(trans, singletons)
     if min_edges > 0:
         graphs = min_edges_only(graphs, min_edges)

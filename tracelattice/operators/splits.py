@@ -74,13 +74,14 @@ def protocol_sizes(n_normal: int, n_anomalous: int, n: int = 10000) -> SplitSize
 
 
 def capped_sizes(n_normal: int, n_anomalous: int, n: int = 10000) -> SplitSizes:
-    """As :func:`protocol_sizes`, but no class gives more than it has."""
+    """Sizes that keep the class ratio of all groups, or of as many as there are if ``n`` asks for more."""
     if not n_normal or not n_anomalous:
         raise ValueError("capped sizes need groups of either label")
-    whole = protocol_sizes(n_normal, n_anomalous, min(n, n_normal + n_anomalous))
-    # at most all groups are asked for, so what one class lacks the other has
-    lacking = max(0, whole.normal - n_normal) - max(0, whole.anomalous - n_anomalous)
-    normal, anomalous = whole.normal - lacking, whole.anomalous + lacking
+    everything = n_normal + n_anomalous
+    asked = min(n, everything)
+    # The anomalies are rounded, halves to even, and the normals fill up; neither can pass what there is.
+    anomalous = round(asked * n_anomalous / everything)
+    normal = asked - anomalous
     validation = round(VALIDATION_SHARE * normal)
     return SplitSizes(normal, anomalous, round(TRAIN_SHARE * normal), validation, min(validation, anomalous))
 

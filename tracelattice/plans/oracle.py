@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tracelattice.plans.queries import CHAIN_LIMIT, DIMS, HIDDEN, MAX_HOPS, SEED, STOP_WORDS, TOP_K, VOCABULARY
+from tracelattice.plans.queries import (
+    CHAIN_LIMIT, DIMS, HIDDEN, MAX_HOPS, SEED, STEP_DECAY, STEP_RATE, STOP_WORDS, TOP_K, VOCABULARY, WIDE,
+)
 
 ORACLE: dict[str, str] = {}
 
@@ -367,21 +369,87 @@ def weights(rows: int, cols: int, name: str) -> str:
   FROM range({rows}) a(i), range({cols}) b(j))"""
 
 
-def encoder(share: str) -> str:
-    return f"""{with_(GRAPH_X, MOVED, weights(DIMS, HIDDEN, 'w1'), weights(HIDDEN, HIDDEN, 'w2'))},
-sizes AS (SELECT group_id, count(*) AS n FROM nodes GROUP BY group_id),
-out_w AS (SELECT group_id, src AS node_id, sum(w) AS o FROM adj GROUP BY group_id, src),
-hidden AS (SELECT group_id, node_id, h, greatest(sum(v * wt), 0.0::DOUBLE) AS v FROM moved JOIN w1 USING (d) GROUP BY group_id, node_id, h),
-r AS (SELECT group_id, h AS d, sum(v * {share}) AS v FROM hidden JOIN out_w USING (group_id, node_id) JOIN sizes USING (group_id)
-  GROUP BY group_id, h),
-z AS (SELECT group_id, list(v ORDER BY h) AS z FROM (SELECT group_id, h, sum(v * wt) AS v FROM r JOIN w2 USING (d) GROUP BY group_id, h)
-  GROUP BY group_id)
-SELECT group_id, {micro('z', 'z')} FROM z"""
-
+def columns(rows: int, cols: int, name: str) -> str:
+    """The formula weights as one list per column h."""
+    return f"""{name} AS (SELECT j + 1 AS h, list((((7 * i + 3 * j) % 11 - 5) / 10.0::DOUBLE) ORDER BY i) AS col
+  FROM range({rows}) a(i), range({cols}) b(j) GROUP BY j)"""
 
-ORACLE["encode_two_layers"] = encoder("o / n")
-ORACLE["encode_one_layer"] = encoder("1.0::DOUBLE / n")
 
+MOVED_LISTS = "moved_l AS (SELECT group_id, node_id, list(v ORDER BY d) AS x FROM moved GROUP BY group_id, node_id)"
+CONVOLVED = f"""{MOVED_LISTS}, {columns(DIMS, WIDE, 'c1')}, {columns(WIDE, WIDE, 'c2')},
+hidden AS (SELECT group_id, node_id, h AS d, greatest(list_dot_product(x, col), 0.0::DOUBLE) AS v FROM moved_l, c1)"""
+# Convolution, relu, convolution over every node, and then the mean of the nodes.
+ORACLE["encode_two_layers"] = f"""{with_(GRAPH_X, MOVED, CONVOLVED)},
+again AS (SELECT a.group_id, a.dst AS node_id, d, sum(a.w * hidden.v) AS v FROM adj a
+  JOIN hidden ON hidden.group_id = a.group_id AND hidden.node_id = a.src GROUP BY a.group_id, a.dst, d),
+again_l AS (SELECT group_id, node_id, list(v ORDER BY d) AS x FROM again GROUP BY group_id, node_id),
+outputs AS (SELECT group_id, node_id, h, list_dot_product(x, col) AS v FROM again_l, c2),
+z AS (SELECT group_id, list(v ORDER BY h) AS z FROM (SELECT group_id, h, avg(v) AS v FROM outputs GROUP BY group_id, h) GROUP BY group_id)
+SELECT group_id, {micro('z', 'z')} FROM z"""
+# Convolution, relu, mean of the nodes, linear map.
+ORACLE["encode_one_layer"] = f"""{with_(GRAPH_X, MOVED, CONVOLVED)},
+mean_l AS (SELECT group_id, list(v ORDER BY d) AS x FROM (SELECT group_id, d, avg(v) AS v FROM hidden GROUP BY group_id, d) GROUP BY group_id),
+z AS (SELECT group_id, list(list_dot_product(x, col) ORDER BY h) AS z FROM mean_l, c2 GROUP BY group_id)
+SELECT group_id, {micro('z', 'z')} FROM z"""
+# The encoder by PageRank-normalised edges with formula weights, in long form: pre-activations, graph sums r, vectors z.
+FORWARD = f"""{RANKED}, {balanced('p', 'adj')}, {X}, {XD}, {MOVED}, {weights(DIMS, HIDDEN, 'w1')}, {weights(HIDDEN, HIDDEN, 'w2')},
+n_nodes AS (SELECT group_id, count(*) AS n FROM nodes GROUP BY group_id),
+shares AS (SELECT group_id, src AS node_id, sum(w) / any_value(n) AS s FROM adj JOIN n_nodes USING (group_id) GROUP BY group_id, src),
+pre AS (SELECT group_id, node_id, h, sum(v * wt) AS v FROM moved JOIN w1 USING (d) GROUP BY group_id, node_id, h),
+r AS (SELECT group_id, h, sum(greatest(v, 0.0::DOUBLE) * s) AS v FROM pre JOIN shares USING (group_id, node_id) GROUP BY group_id, h),
+z AS (SELECT group_id, w2.h, sum(v * wt) AS v FROM r JOIN w2 ON w2.d = r.h GROUP BY group_id, w2.h)"""
+TRAINED = "trained AS (SELECT group_id FROM splits WHERE split = 'train' AND label = 0)"
+CENTRED = "c AS (SELECT h, avg(v) AS c FROM {z} JOIN trained USING (group_id) GROUP BY h)"
+SCORED = """SELECT group_id, label, round(score, 6) AS score FROM (
+  SELECT group_id, sqrt(sum((v - c) * (v - c))) AS score FROM {z} JOIN c USING (h) GROUP BY group_id) JOIN labels_ USING (group_id)"""
+ORACLE["one_class_step"] = f"""{RECURSIVE}{WEIGHTED}, {LABELS}, {COIN}, {TRAINED}, {FORWARD}, {CENTRED.format(z='z')},
+gap AS (SELECT group_id, h, 2 * (v - c) AS g FROM z JOIN c USING (h) JOIN trained USING (group_id)),
+many AS (SELECT count(*)::DOUBLE AS n FROM trained),
+g2 AS (SELECT r.h AS d, gap.h, sum(r.v * g) / any_value(n) AS g FROM r JOIN gap USING (group_id), many GROUP BY r.h, gap.h),
+gr AS (SELECT group_id, w2.d AS h, sum(g * wt) AS g FROM gap JOIN w2 USING (h) GROUP BY group_id, w2.d),
+back AS (SELECT group_id, node_id, h, s * g AS g FROM pre JOIN shares USING (group_id, node_id) JOIN gr USING (group_id, h) WHERE v > 0),
+g1 AS (SELECT d, h, sum(moved.v * back.g) / any_value(n) AS g FROM moved JOIN back USING (group_id, node_id), many GROUP BY d, h),
+v1 AS (SELECT d, h, wt - {STEP_RATE} * (coalesce(g, 0) + {STEP_DECAY} * wt) AS wt FROM w1 LEFT JOIN g1 USING (d, h)),
+v2 AS (SELECT d, h, wt - {STEP_RATE} * (coalesce(g, 0) + {STEP_DECAY} * wt) AS wt FROM w2 LEFT JOIN g2 USING (d, h)),
+pre_b AS (SELECT group_id, node_id, h, sum(v * wt) AS v FROM moved JOIN v1 USING (d) GROUP BY group_id, node_id, h),
+r_b AS (SELECT group_id, h, sum(greatest(v, 0.0::DOUBLE) * s) AS v FROM pre_b JOIN shares USING (group_id, node_id) GROUP BY group_id, h),
+z_b AS (SELECT group_id, v2.h, sum(v * wt) AS v FROM r_b JOIN v2 ON v2.d = r_b.h GROUP BY group_id, v2.h)
+{SCORED.format(z='z_b')}"""
+
+
+def residual(source: str, keys: str, width: int, name: str) -> str:
+    """tanh of the timing branch with formula weights over rows (keys, t list): name (keys, h, v)."""
+    return f"""{columns(width, HIDDEN, name + '_u')}, {columns(HIDDEN, HIDDEN, name + '_v')},
+{name}_h AS (SELECT {keys}, h, list_dot_product(t, col) AS v FROM {source}, {name}_u),
+{name}_n AS (SELECT {keys}, h, greatest((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5::DOUBLE), 0.0::DOUBLE) AS v
+  FROM {name}_h WINDOW w AS (PARTITION BY {keys})),
+{name}_l AS (SELECT {keys}, list(v ORDER BY h) AS x FROM {name}_n GROUP BY {keys}),
+{name} AS (SELECT {keys}, h, tanh(list_dot_product(x, col)) AS v FROM {name}_l, {name}_v)"""
+
+
+_gap_list = ", ".join(f"({c} - m_{c}) / s_{c}" for c in GAP_NAMES)
+ORACLE["fused_graph_scores"] = f"""{RECURSIVE}{WEIGHTED}, {GAPS}, {LABELS}, {COIN}, {TRAINED}, {FORWARD},
+fit AS (SELECT {_fits} FROM gaps JOIN trained USING (group_id)),
+timing AS (SELECT group_id, [{_gap_list}] AS t FROM gaps, fit), {residual('timing', 'group_id', len(GAP_NAMES), 'e')},
+fused AS (SELECT group_id, h, z.v + 0.1::DOUBLE * e.v AS v FROM z JOIN e USING (group_id, h)), {CENTRED.format(z='fused')}
+{SCORED.format(z='fused')}"""
+# Two timed convolutions node by node, then the mean of the nodes.
+ORACLE["timed_edge_scores"] = f"""{RECURSIVE}{WEIGHTED}, {LABELS}, {COIN}, {TRAINED}, {RANKED}, {balanced('p', 'adj')}, {X}, {XD}, {MOVED},
+{weights(DIMS, HIDDEN, 'w1')}, {weights(HIDDEN, HIDDEN, 'w2')},
+logs AS (SELECT group_id, src, dst, ln(1 + mean_dt) AS m, ln(1 + var_dt) AS v FROM edges),
+fit AS (SELECT avg(m) AS mm, greatest(stddev_pop(m), 1e-6) AS ms, avg(v) AS vm, greatest(stddev_pop(v), 1e-6) AS vs FROM logs JOIN trained USING (group_id)),
+timed AS (SELECT adj.group_id, adj.src, adj.dst, [coalesce((m - mm) / ms, 0.0::DOUBLE), coalesce((v - vm) / vs, 0.0::DOUBLE)] AS t
+  FROM adj LEFT JOIN logs USING (group_id, src, dst), fit),
+{residual('timed', 'group_id, src, dst', 2, 'e')},
+arriving AS (SELECT group_id, dst AS node_id, h, 0.05::DOUBLE * sum(v) AS v FROM e GROUP BY group_id, dst, h),
+first_ AS (SELECT group_id, node_id, h, greatest(sum(moved.v * wt) + any_value(arriving.v), 0.0::DOUBLE) AS v
+  FROM moved JOIN w1 USING (d) JOIN arriving USING (group_id, node_id, h) GROUP BY group_id, node_id, h),
+mapped AS (SELECT group_id, node_id, w2.h, sum(v * wt) AS v FROM first_ JOIN w2 ON w2.d = first_.h GROUP BY group_id, node_id, w2.h),
+second_ AS (SELECT a.group_id, a.dst AS node_id, h, sum(a.w * mapped.v) AS v FROM adj a
+  JOIN mapped ON mapped.group_id = a.group_id AND mapped.node_id = a.src GROUP BY a.group_id, a.dst, h),
+z AS (SELECT group_id, h, avg(second_.v + arriving.v) AS v FROM second_ JOIN arriving USING (group_id, node_id, h) GROUP BY group_id, h),
+{CENTRED.format(z='z')}
+{SCORED.format(z='z')}"""
 
 
 def inception(rounds: int) -> str:

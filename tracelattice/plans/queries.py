@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from tracelattice.functions import scalars
 from tracelattice.functions.vectors import l2_normalise
 from tracelattice.operators import (
-    adjacency, explain, features, graphs, metrics, propagate, splits, temporal, text,
+    adjacency, explain, features, graphs, metrics, packed, propagate, splits, temporal, text,
 )
 from tracelattice.operators.checks import clean_labels, require_complete, require_unique, with_labels, with_summary
 from tracelattice.plans import oneclass, tables, timed
 from tracelattice.plans.tables import EVENT_ORDER, LINE_ORDER
+from tracelattice.plans.training import Plan, Stage, centred, fit_models
+from tracelattice.presets import PRESETS, SEEDS
+from tracelattice.sources.store import Model
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +31,8 @@ VOCABULARY = 10_000
 TOP_K, MAX_HOPS, CHAIN_LIMIT = 10, 4, 5
 DIMS = 64
 HIDDEN = 8
+STEP_RATE, STEP_DECAY = 5.0, 1e-2
+WIDE = PRESETS["hdfs"].hidden
 
 
 def query(fn: Query) -> Query:
@@ -533,13 +538,11 @@ def adj_second_order(spark, folder):
 # --- message passing and scores -------------------------------------------------------------------
 
 
-def vector_graphs(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Undirected adjacency and node vectors of the user-day graphs."""
+def vector_graphs(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes and counted edges of the user-day graphs, from stored transitions, and the events' vectors."""
     built = day_graphs(spark, folder, store=True)
-    edges = built.edges.select("group_id", "src", "dst", F.col("n").cast("double").alias("w"))
-    adj = adjacency.norm_undirected(edges, built.nodes)
-    x = features.with_vectors(built.nodes, tables.event_vectors(spark, folder))
-    return adj, x.select("group_id", "node_id", F.col("vec").alias("x"))
+    edges = built.edges.withColumn("w", F.col("n").cast("double"))
+    return built.graphs, edges, tables.event_vectors(spark, folder)
 
 
 def node_vectors(spark, folder) -> DataFrame:
@@ -556,7 +559,7 @@ def formula_weights(rows: int, cols: int) -> np.ndarray:
 
 @query
 def propagate_once(spark, folder):
-    moved = propagate.propagate(*vector_graphs(spark, folder), DIMS)
+    moved = packed.propagate_graphs(*vector_graphs(spark, folder), "un")
     return moved.select("group_id", "node_id", micro("x", "x"))
 
 
@@ -616,14 +619,13 @@ def unit_vectors(spark, folder):
 
 @query
 def encode_two_layers(spark, folder):
-    z = propagate.encode(*vector_graphs(spark, folder), formula_weights(DIMS, HIDDEN), formula_weights(HIDDEN, HIDDEN))
+    z = packed.encode_graphs(*vector_graphs(spark, folder), formula_weights(DIMS, WIDE), formula_weights(WIDE, WIDE), "un")
     return z.select("group_id", micro("z", "z"))
 
 
 @query
 def encode_one_layer(spark, folder):
-    adj, x = vector_graphs(spark, folder)
-    z = propagate.encode(adj, x, formula_weights(DIMS, HIDDEN), formula_weights(HIDDEN, HIDDEN), layers=1)
+    z = packed.encode_graphs(*vector_graphs(spark, folder), formula_weights(DIMS, WIDE), formula_weights(WIDE, WIDE), "un", layers=1)
     return z.select("group_id", micro("z", "z"))
 
 
@@ -640,75 +642,127 @@ def encode_inception(spark, folder):
     return out.select("group_id", "node_id", micro("x", "x"))
 
 
-def encoder_inputs(spark, folder):
-    """Stored encoder rows of the PageRank-normalised graphs with their labels and timing."""
+def logged_edges(built: graphs.GraphSet) -> DataFrame:
+    """Counted edges (w) with the logarithms of their timing."""
+    return graphs.log_scaled_edges(built.edges.withColumn("w", F.col("n").cast("double")))
+
+
+def day_encoder_tables(spark, folder, **options) -> tuple[oneclass.EncoderTables, oneclass.EncoderTables, DataFrame]:
+    """Encoder tables of the PageRank-normalised user-day graphs, those of the training groups, and all splits."""
+    split = adjacency.cut_lineage(day_split(spark, folder))
     built = day_graphs(spark, folder, store=True)
-    edges = built.edges.select("group_id", "src", "dst", F.col("n").cast("double").alias("w"))
-    adj = adjacency.cut_lineage(adjacency.norm_ppr(edges, built.nodes))
-    x = features.with_vectors(built.nodes, tables.event_vectors(spark, folder))
-    x = x.select("group_id", "node_id", F.col("vec").alias("x"))
-    return built, adj, x, day_labels(spark, folder)
+    data = oneclass.encoder_tables(built.graphs, logged_edges(built), tables.event_vectors(spark, folder), **options)
+    return data, data.where(split.where(FITTED)), split
+
+
+def day_timing(spark, folder, split: DataFrame) -> DataFrame:
+    """Timing summary of every user-day graph, standardised on the training groups, as a stored vector."""
+    summary = with_labels(temporal.gap_summary(day_steps(spark, folder)), split)
+    scaled = temporal.fit_scaler(summary, temporal.GAP_COLUMNS, FITTED).apply(summary)
+    return adjacency.cut_lineage(propagate.with_summary_vector(scaled, temporal.GAP_COLUMNS))
+
+
+PRESET = PRESETS["bgl"]
 
 
 @query
 def one_class_scores(spark, folder):
-    _, adj, x, labels = encoder_inputs(spark, folder)
-    rows = adjacency.cut_lineage(propagate.encoder_rows(adj, x, dims=DIMS))
-    train = rows.join(splits.bernoulli_split(labels).where("split = 'train'"), "group_id", "left_semi")
-    model, _ = oneclass.fit_one_class(train, oneclass.new_model(DIMS, HIDDEN, SEED), [oneclass.Stage(3)])
-    return oneclass.score(rows, model, labels).select("group_id", "label", r6("score"))
+    data, train, split = day_encoder_tables(spark, folder)
+    model = oneclass.new_model(DIMS, PRESET.hidden, SEED)
+    (model,), _ = fit_models(oneclass.train_tables(train), oneclass.ONE_CLASS, [model], [Plan([Stage(PRESET.epochs)])])
+    return oneclass.score_tables(data, model, split).select("group_id", "label", r6("score"))
+
+
+@query
+def one_class_step(spark, folder):
+    """Scores after one step of descent from weights that SQL can state too; the rate is chosen so that the step shows."""
+    data, train, split = day_encoder_tables(spark, folder)
+    weights = {"W1": formula_weights(DIMS, HIDDEN), "W2": formula_weights(HIDDEN, HIDDEN)}
+    (model,), _ = fit_models(oneclass.train_tables(train), oneclass.ONE_CLASS, [Model(weights, [])], [Plan([Stage(1, STEP_RATE)], STEP_DECAY)])
+    return oneclass.score_tables(data, model, split).select("group_id", "label", r6("score"))
+
+
+@query
+def warmed_losses(spark, folder):
+    """Loss of every epoch when the centre is taken anew after the tenth."""
+    _, train, _ = day_encoder_tables(spark, folder)
+    model = oneclass.new_model(DIMS, PRESET.hidden, SEED)
+    _, (history,) = fit_models(oneclass.train_tables(train), oneclass.ONE_CLASS, [model], [Plan([Stage(20)], warmup=10)])
+    return spark.createDataFrame(history, "epoch int, loss double").select("epoch", r6("loss"))
+
+
+@query
+def grid_losses(spark, folder):
+    """Losses of models over layers, rates and seeds; all of a layer count are trained in the same passes."""
+    split = adjacency.cut_lineage(day_split(spark, folder))
+    built = day_graphs(spark, folder, store=True)
+    sets = {}
+    for layers in (1, 2):
+        data = oneclass.encoder_tables(built.graphs, logged_edges(built), tables.event_vectors(spark, folder), layers=layers)
+        sets[layers] = oneclass.train_tables(data.where(split.where(FITTED)))
+    points = oneclass.grid(layers=[1, 2], lr=[0.01, 0.001], seed=list(SEEDS))
+    _, history = oneclass.fit_grid(sets, DIMS, points, 20)
+    return spark.createDataFrame(history, "config string, epoch int, loss double").select("config", "epoch", r6("loss"))
 
 
 @query
 def temporal_fusion_scores(spark, folder):
-    _, adj, x, labels = encoder_inputs(spark, folder)
-    rows = adjacency.cut_lineage(propagate.encoder_rows(adj, x, dims=DIMS))
-    split = splits.bernoulli_split(labels)
-    summary = with_labels(temporal.gap_summary(day_steps(spark, folder)), split)
-    scaled = temporal.fit_scaler(summary, temporal.GAP_COLUMNS, FITTED).apply(summary)
-    timing = adjacency.cut_lineage(propagate.with_summary_vector(scaled, temporal.GAP_COLUMNS))
-    train = rows.join(split.where("split = 'train'"), "group_id", "left_semi")
-    model = oneclass.new_model(DIMS, HIDDEN, SEED, timing_width=6)
-    fitted, _ = oneclass.fit_one_class(train, model, oneclass.staged(2, 1), summary=timing)
-    return oneclass.score(rows, fitted, labels, timing).select("group_id", "label", r6("score"))
+    data, train, split = day_encoder_tables(spark, folder)
+    timing = day_timing(spark, folder, split)
+    model = oneclass.new_model(DIMS, PRESET.hidden, SEED, timing_width=len(temporal.GAP_COLUMNS))
+    (model,), _ = fit_models(oneclass.train_tables(train, timing), oneclass.ONE_CLASS, [model], [Plan(oneclass.staged(PRESET.epochs))])
+    return oneclass.score_tables(data, model, split, timing).select("group_id", "label", r6("score"))
 
 
 def standardised_timing(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Log-scaled timing of every edge as one vector, standardised on the normal training groups."""
     scaled, _ = temporal.scale_edges(graphs.log_scaled_edges(edges), splits.bernoulli_split(labels))
-    columns = ("log_mean_dt", "log_var_dt")
-    return scaled.select("group_id", "src", "dst", F.array(*columns).alias("t"))
+    return scaled.select("group_id", "src", "dst", F.array("log_mean_dt", "log_var_dt").alias("t"))
+
+
+def timed_edges(spark, folder, split: DataFrame) -> tuple[graphs.GraphSet, DataFrame]:
+    """The user-day graphs and their edges with log-scaled timing as one vector, standardised on the training groups."""
+    built = day_graphs(spark, folder, store=True)
+    scaled, _ = temporal.scale_edges(logged_edges(built), split)
+    return built, scaled.withColumn("t", F.array("log_mean_dt", "log_var_dt"))
+
+
+def formula_timing(width: int) -> dict[str, np.ndarray]:
+    return {"U": formula_weights(width, HIDDEN), "gain": np.ones(HIDDEN), "shift": np.zeros(HIDDEN), "V": formula_weights(HIDDEN, HIDDEN)}
+
+
+@query
+def fused_graph_scores(spark, folder):
+    """Graph vectors with the residual of each graph's timing, from weights that SQL can state too."""
+    data, train, split = day_encoder_tables(spark, folder)
+    timing = day_timing(spark, folder, split)
+    weights = {"W1": formula_weights(DIMS, HIDDEN), "W2": formula_weights(HIDDEN, HIDDEN), **formula_timing(len(temporal.GAP_COLUMNS))}
+    (model,) = centred(oneclass.train_tables(train, timing), oneclass.ONE_CLASS, [Model(weights, [], alpha=0.1)])
+    return oneclass.score_tables(data, model, split, timing).select("group_id", "label", r6("score"))
 
 
 @query
 def timed_edge_scores(spark, folder):
-    built, adj, x, labels = encoder_inputs(spark, folder)
-    timing = standardised_timing(built.edges, labels)
-    rng = np.random.default_rng(SEED)
-    layers = [
-        {"W": propagate.init_weights(shape, rng), **propagate.init_timing(2, HIDDEN, rng)}
-        for shape in ((DIMS, HIDDEN), (HIDDEN, HIDDEN))
-    ]
-    z = propagate.encode_timed(adj, x, timing, layers)
-    z = adjacency.cut_lineage(with_labels(z, splits.bernoulli_split(labels)))
-    scored = propagate.distances(z, propagate.centre(z, FITTED))
-    return scored.select("group_id", "label", r6("score"))
+    """Graph vectors of messages with each edge's timing, from weights that SQL can state too."""
+    split = adjacency.cut_lineage(day_split(spark, folder))
+    built, edges = timed_edges(spark, folder, split)
+    data = oneclass.encoder_tables(built.graphs, edges, tables.event_vectors(spark, folder), timed=2)
+    weights = {"W1": formula_weights(DIMS, HIDDEN), "W2": formula_weights(HIDDEN, HIDDEN)}
+    for layer in timed.LAYERS:
+        weights.update({f"t{name}{layer}": w for name, w in formula_timing(2).items()}, **{f"alpha{layer}": np.array([0.05])})
+    (model,) = centred(timed.train_timed(data.where(split.where(FITTED))), timed.TIMED_EDGES, [Model(weights, [])])
+    return with_labels(timed.score_timed(data, model), split).select("group_id", "label", r6("score"))
 
 
 @query
 def timed_edge_fit(spark, folder):
-    built, adj, x, labels = encoder_inputs(spark, folder)
-    edges = propagate.with_edge_stats(adj, standardised_timing(built.edges, labels))
-    edges = adjacency.cut_lineage(edges.select("group_id", "src", "dst", "t"))
-    rows = adjacency.cut_lineage(propagate.encoder_rows(adj, x, dims=DIMS))
-    train = splits.bernoulli_split(labels).where("split = 'train'")
-    model, _ = timed.fit_timed(
-        rows.join(train, "group_id", "left_semi"),
-        edges.join(train, "group_id", "left_semi"),
-        timed.new_timed_model(DIMS, HIDDEN, SEED),
-        oneclass.staged(2, 1),
-    )
-    return with_labels(timed.timed_score(rows, edges, model), labels).select("group_id", "label", r6("score"))
+    split = adjacency.cut_lineage(day_split(spark, folder))
+    built, edges = timed_edges(spark, folder, split)
+    data = oneclass.encoder_tables(built.graphs, edges, tables.event_vectors(spark, folder), timed=2)
+    train = timed.train_timed(data.where(split.where(FITTED)))
+    model = timed.new_timed_model(DIMS, PRESET.hidden, SEED)
+    (model,), _ = fit_models(train, timed.TIMED_EDGES, [model], [Plan(oneclass.staged(PRESET.epochs))])
+    return with_labels(timed.score_timed(data, model), split).select("group_id", "label", r6("score"))
 
 
 # --- metrics --------------------------------------------------------------------------------------
