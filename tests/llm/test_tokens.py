@@ -113,7 +113,7 @@ def aligned_by_bytes(texts):
     return [(na, nb, ng, nl, sum(seen[p] == most[p[0]] for p in pairs), sum(seen[p] for p in pairs), g) for (na, nb, ng, nl, g), pairs in zip(out, links_of)], seen
 
 
-@pytest.mark.parametrize("block", [1, 4 << 20])
+@pytest.mark.parametrize("block", [1, 2 << 20])
 def test_alignment_against_byte_sets(docs, monkeypatch, block):
     monkeypatch.setattr(alignment, "BLOCK_BYTES", block)
     rows = docs.select("doc_id", "text").collect()

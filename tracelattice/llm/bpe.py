@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ from tracelattice.llm.common import arrow_schema, pieces, whole_text
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Scripts where libraries differ by their Unicode version; the vocabulary's own library cuts texts that hold them.
 NEW_SCRIPTS = re.compile("[\U00010000-\U0001EFFF\U0001FB00-\U0010FFFF]")
-MOST_WORDS = 400_000  # words whose encodings a task keeps between batches; then it starts anew
+#: The same for ASCII texts.
+ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+MOST_WORDS = 600_000  # words whose encodings a task keeps between batches; then it starts anew
 MOST_PAIRS = 1_000_000
 NEVER = 1 << 60
 
@@ -72,12 +75,7 @@ class Vocabulary:
             made[whole], parts[whole], self.pair_rank[a, b] = rank, (a, b), rank
         if len(made) != len(self.number):
             raise ValueError("tokens that no merge makes")
-        # What stands at the right and the left edge of a token while it grows: (token, rank of the merge that takes it in).
-        self.right, self.left = {}, {}
-        for i in sorted(made, key=made.get):
-            a, b = parts.get(i, (None, None))
-            self.right[i] = [(i, NEVER)] + ([(t, min(r, made[i])) for t, r in self.right[b]] if i in parts else [])
-            self.left[i] = [(i, NEVER)] + ([(t, min(r, made[i])) for t, r in self.left[a]] if i in parts else [])
+        self.made, self.parts = made, parts
         self.whole = {i for i in made if i not in parts}  # tokens whose own bytes are encoded as themselves
         for i in sorted(parts, key=made.get):
             a, b = parts[i]
@@ -93,13 +91,20 @@ class Vocabulary:
         Lower ranks come first, equal ones from left to right: a piece at the seam is merged across it if that happens before
         either piece is taken in by its own token; of equal ranks the left one has gone already, the right one not yet.
         """
-        rank = self.pair_rank.get
-        for x, x_gone in self.right[a]:
-            for y, y_gone in self.left[b]:
+        rank, made, parts = self.pair_rank.get, self.made, self.parts
+        x, x_gone = a, before
+        while True:  # down the right edge of a, and for each piece down the left edge of b
+            y, y_gone = b, before
+            while True:
                 r = rank((x, y))
                 if r is not None and r < x_gone and r <= y_gone and r < before:
                     return True
-        return False
+                if y not in parts:
+                    break
+                y, y_gone = parts[y][0], made[y]
+            if x not in parts:
+                return False
+            x, x_gone = parts[x][1], made[x]
 
     def suffix_machine(self) -> None:
         """States are the beginnings of tokens (0: none); arcs[state][byte] leads on, shorter[state] to the longest proper suffix that
@@ -161,7 +166,9 @@ class Vocabulary:
             for c in word[d:]:
                 d += 1
                 nxt = arcs[at].get(c)
-                at = self.step(at, c) if nxt is None else nxt
+                if nxt is None:  # looked up once: at most states times bytes arcs
+                    nxt = arcs[at][c] = self.step(at, c)
+                at = nxt
                 states.append(at)
                 for k, t in ends[at]:
                     if k == d:
@@ -182,6 +189,8 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         """The words between which no merge happens, in order."""
+        if text.isascii():
+            return ASCII_PATTERN.findall(text)
         if not NEW_SCRIPTS.search(text):
             return PATTERN.findall(text)
         if self.library is None:
@@ -220,16 +229,15 @@ class TextEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token numbers of every text as little-endian 32-bit integers."""
         cut = [self.parts(t) for t in texts]
-        new = {w for words in cut for w in words}.difference(self.known)
+        every = set().union(*cut)
+        new = every.difference(self.known)
         if len(self.known) + len(new) > MOST_WORDS:
-            self.known = {}
-            new = {w for words in cut for w in words}
-        for i in [w for w in new if isinstance(w, int)]:
-            new.remove(i)
-            self.known[i] = np.array([i], "<u4").tobytes()
-        for word, ids in self.vocab.encode_words({w.encode() for w in new}):
-            self.known[word.decode()] = np.array(ids, "<u4").tobytes()
+            self.known, new = {}, every
         known = self.known
+        special = {w for w in new if isinstance(w, int)}
+        known.update({i: i.to_bytes(4, "little") for i in special})
+        for word, ids in self.vocab.encode_words([w.encode() for w in new - special]):
+            known[word.decode()] = pack(f"<{len(ids)}I", *ids)
         return [b"".join([known[w] for w in words]) for words in cut]
 
 
