@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracelattice.operators import adjacency as A
 
@@ -125,3 +126,57 @@ def test_modes_and_self_loops(tables):
     assert A.add_self_loops(*tables).count() == len(EDGES) + sum(SIZES.values())
     with pytest.raises(ValueError):
         A.normalise(*tables, mode="x")
+
+
+@pytest.mark.parametrize("small", [1, 5, 2048])
+def test_first_and_second_order_packed_and_joined(tables, small):
+    both = A.normalise(*tables, mode="ib", small_edges=small)
+    first = dense(A.norm_ppr(*tables))
+    second = dense(A.norm_second_order(A.norm_ppr(*tables), tables[1]))
+    for order, want in ((1, first), (2, second)):
+        got = dense(both.where(f"ord = {order}").drop("ord"))
+        assert got.keys() == want.keys()
+        for g in want:
+            np.testing.assert_allclose(got[g], want[g], atol=1e-12)
+
+
+def test_second_order_of_directed_graphs(spark):
+    """Graphs where the two kinds of pairs differ: a star outwards, one inwards, and a random one."""
+    rng = np.random.default_rng(9)
+    edges = [("out", 0, i) for i in range(1, 30)] + [("in", i, 0) for i in range(1, 30)]
+    edges += [("mixed", int(i), int(j)) for i, j in {tuple(e) for e in rng.integers(0, 12, (40, 2)).tolist()}]
+    sizes = {"out": 30, "in": 30, "mixed": 12}
+    adj = spark.createDataFrame([(g, i, j, 1.0 + (i + j) % 3) for g, i, j in edges], "group_id string, src int, dst int, w double")
+    nodes = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "group_id string, node_id int")
+    got = {}
+    for r in A.norm_second_order(adj, nodes).collect():
+        got.setdefault(r["group_id"], np.zeros((sizes[r["group_id"]],) * 2))[r["src"], r["dst"]] = r["w"]
+    for g, n in sizes.items():
+        m = np.eye(n)
+        for h, i, j in edges:
+            if h == g:
+                m[i, j] += 1.0 + (i + j) % 3
+        p = m / m.sum(axis=1, keepdims=True)
+        inward, outward = p.T @ p, p @ p.T
+        want = sym_norm((inward + outward) / 2 * ((inward != 0) & (outward != 0)))
+        np.testing.assert_allclose(got[g], want, atol=1e-12)
+
+
+def test_second_order_of_a_large_star(spark):
+    """A hub of 100,000 leaves: its square is never written out."""
+    leaves = 100_000
+    adj = spark.range(1, leaves + 1).selectExpr("'s' group_id", "0 src", "cast(id as int) dst", "1d w")
+    nodes = spark.range(leaves + 1).selectExpr("'s' group_id", "cast(id as int) node_id")
+    got = A.norm_second_order(adj, nodes)
+    assert got.count() == 3 * leaves + 1  # every node with itself, the hub with every leaf both ways
+    assert got.where("src <> dst and src <> 0 and dst <> 0").isEmpty()
+
+
+def test_factors_of_full_pagerank(tables):
+    sparse, factors = A.pr_factors(*tables)
+    rows, full = dense(sparse), dense(A.norm_pr(*tables))
+    for g, want in full.items():
+        f = {r["node_id"]: r for r in factors.where(F.col("group_id") == g).collect()}
+        a, b = (np.array([f[i][k] for i in range(SIZES[g])]) for k in ("a", "b"))
+        got = rows[g] + f[0]["c"] * (np.outer(a, b) + np.outer(b, a))
+        np.testing.assert_allclose(got, want, atol=1e-12)

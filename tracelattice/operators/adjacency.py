@@ -111,6 +111,43 @@ def balanced_entries(starts: np.ndarray, rows, cols, weight, alpha: float, itera
     return rows, cols, weight / np.sqrt(degree[rows] * degree[cols])
 
 
+def _wedges(mid: np.ndarray, end: np.ndarray, p: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every pair of ends that share a middle node the summed products of their entries: keys end * total + end, values."""
+    order = np.argsort(mid, kind="stable")
+    mid, end, p = mid[order], end[order], p[order]
+    first, many = (np.searchsorted(mid, mid, side) for side in ("left", "right"))
+    many = many - first
+    one = np.repeat(np.arange(len(mid)), many)
+    other = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many) + first[one]
+    keys, place = np.unique(end[one] * total + end[other], return_inverse=True)
+    return keys, np.bincount(place, p[one] * p[other], minlength=len(keys))
+
+
+def second_entries(total: int, rows, cols, weight) -> tuple[np.ndarray, ...]:
+    """Second-order proximity of graphs laid side by side with ``total`` nodes, see :func:`norm_second_order`."""
+    loops = np.arange(total)
+    rows, cols, weight = summed_entries(np.append(rows, loops), np.append(cols, loops), np.append(weight, np.ones(total)), total)
+    p = weight / np.bincount(rows, weight, minlength=total)[rows]
+    (inward, v_in), (outward, v_out) = _wedges(rows, cols, p, total), _wedges(cols, rows, p, total)
+    keys, i, j = np.intersect1d(inward[v_in != 0], outward[v_out != 0], assume_unique=True, return_indices=True)
+    w = (v_in[v_in != 0][i] + v_out[v_out != 0][j]) / 2
+    rows, cols = keys // total, keys % total
+    degree = np.bincount(rows, w, minlength=total)
+    root = np.sqrt(degree[rows] * degree[cols])
+    return rows, cols, np.divide(w, root, out=np.zeros_like(w), where=root > 0)
+
+
+WEDGES_PER_STEP = 1 << 22
+
+
+def _loads(n_nodes: pd.Series, src: pd.Series) -> list[slice]:
+    """Graphs in steps of bounded size, counting for each the most wedges that its normalised entries can have."""
+    most = np.array([(2 * len(a) + n) ** 2 // max(n, 1) for n, a in zip(n_nodes, src)], dtype=np.float64)
+    step = np.maximum.accumulate(np.cumsum(most) // WEDGES_PER_STEP) if len(most) else most
+    cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(most)]
+    return [slice(a, b) for s, e in zip(cuts, cuts[1:]) for a, b in zip(range(s, e, GRAPHS_PER_STEP), [*range(s + GRAPHS_PER_STEP, e, GRAPHS_PER_STEP), e])]
+
+
 def _slices(length: int) -> list[slice]:
     return [slice(at, at + GRAPHS_PER_STEP) for at in range(0, length, GRAPHS_PER_STEP)]
 
@@ -129,18 +166,26 @@ def _power_iterations(alpha: float, iterations: int):
     return stationary
 
 
-def _ppr_weights(alpha: float, iterations: int):
-    """Column function: normalised adjacencies of a batch of packed graphs, as three parallel arrays."""
+def _ppr_weights(alpha: float, iterations: int, second: bool):
+    """Column function: normalised adjacencies of a batch of packed graphs, as parallel arrays; with ``second`` those of second
+    order follow, told apart by ``ord``."""
 
-    @F.pandas_udf("src array<int>, dst array<int>, w array<double>")
+    @F.pandas_udf("src array<int>, dst array<int>, w array<double>, ord array<int>")
     def weights(n_nodes: pd.Series, src: pd.Series, dst: pd.Series, w: pd.Series) -> pd.DataFrame:
-        out: dict[str, list[np.ndarray]] = {"src": [], "dst": [], "w": []}
-        for part in _slices(len(n_nodes)):
+        out: dict[str, list[np.ndarray]] = {"src": [], "dst": [], "w": [], "ord": []}
+        for part in _loads(n_nodes, src) if second else _slices(len(n_nodes)):
             starts, rows, cols, weight = _flat(n_nodes[part], src[part], dst[part], w[part])
             rows, cols, weight = balanced_entries(starts, rows, cols, weight, alpha, iterations)
+            order = np.ones(len(rows), np.int64)
+            if second:
+                again = second_entries(starts[-1], rows, cols, weight)
+                rows, cols, weight = (np.append(a, b) for a, b in zip((rows, cols, weight), again))
+                order = np.append(order, np.full(len(again[0]), 2))
             graph = np.searchsorted(starts, rows, side="right") - 1
+            place = np.argsort(graph, kind="stable")
+            rows, cols, weight, order, graph = (v[place] for v in (rows, cols, weight, order, graph))
             ends = np.searchsorted(graph, np.arange(1, len(starts) - 1))
-            for name, values in (("src", rows - starts[graph]), ("dst", cols - starts[graph]), ("w", weight)):
+            for name, values in (("src", rows - starts[graph]), ("dst", cols - starts[graph]), ("w", weight), ("ord", order)):
                 out[name] += np.split(values, ends)
         return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in out.items()})
 
@@ -229,15 +274,16 @@ def norm_undirected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return degree_normalised(collapse(add_self_loops(both, nodes)))
 
 
-def _ppr_in_tasks(edges: DataFrame, nodes: DataFrame, alpha: float, iterations: int) -> DataFrame:
+def _ppr_in_tasks(edges: DataFrame, nodes: DataFrame, alpha: float, iterations: int, second: bool = False) -> DataFrame:
     packed = edges.groupBy(GROUP).agg(F.collect_list(F.struct("src", "dst", "w")).alias("entries"))
     sizes = nodes.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n_nodes"))
     empty = F.array().cast(packed.schema["entries"].dataType)
     entries = sizes.join(packed, GROUP, "left").withColumn("entries", F.coalesce("entries", empty))
-    run = _ppr_weights(alpha, iterations)
+    run = _ppr_weights(alpha, iterations, second)
     arrays = run(F.col("n_nodes"), F.col("entries.src"), F.col("entries.dst"), F.col("entries.w"))
-    rows = entries.select(GROUP, arrays.alias("a")).select(GROUP, F.explode(F.arrays_zip("a.src", "a.dst", "a.w")).alias("e"))
-    return rows.select(GROUP, "e.src", "e.dst", "e.w")
+    lists = F.arrays_zip("a.src", "a.dst", "a.w", "a.ord")
+    rows = entries.select(GROUP, arrays.alias("a")).select(GROUP, F.explode(lists).alias("e"))
+    return rows.select(GROUP, "e.src", "e.dst", "e.w", *(["e.ord"] if second else []))
 
 
 def _ppr_by_joins(edges: DataFrame, nodes: DataFrame, alpha: float, iterations: int) -> DataFrame:
@@ -255,18 +301,66 @@ def norm_ppr(
     vectorised batch: one shuffle in all. Larger graphs take the same steps as joins, spread over the
     cluster.
     """
+    return _of_both_sizes(edges, nodes, alpha, iterations, small_edges, False)
+
+
+def _of_both_sizes(edges: DataFrame, nodes: DataFrame, alpha: float, iterations: int, small_edges: int, second: bool) -> DataFrame:
     edges = edges.select(GROUP, "src", "dst", F.col("w").cast("double").alias("w"))
     nodes = nodes.select(GROUP, "node_id")
     parts = edges.select(GROUP).unionByName(nodes.select(GROUP))
     large = parts.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small_edges).select(GROUP)
     if large.isEmpty():
-        return _ppr_in_tasks(edges, nodes, alpha, iterations)
+        return _ppr_in_tasks(edges, nodes, alpha, iterations, second)
     large = cut_lineage(large)
-    small = _ppr_in_tasks(edges.join(large, GROUP, "left_anti"), nodes.join(large, GROUP, "left_anti"), alpha, iterations)
-    big = _ppr_by_joins(edges.join(large, GROUP, "left_semi"), nodes.join(large, GROUP, "left_semi"), alpha, iterations)
+    small = _ppr_in_tasks(edges.join(large, GROUP, "left_anti"), nodes.join(large, GROUP, "left_anti"), alpha, iterations, second)
+    edges, nodes = edges.join(large, GROUP, "left_semi"), nodes.join(large, GROUP, "left_semi")
+    big = _ppr_by_joins(edges, nodes, alpha, iterations)
+    if second:
+        big = cut_lineage(big)
+        again = norm_second_order(big, nodes).withColumn("ord", F.lit(2))
+        big = big.withColumn("ord", F.lit(1)).unionByName(again)
     return small.unionByName(big)
 
 
+def first_and_second_order(
+    edges: DataFrame, nodes: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS, small_edges: int = SMALL_EDGES
+) -> DataFrame:
+    """PageRank-normalised edges (``ord`` 1) and their second-order proximity (``ord`` 2), see :func:`norm_second_order`. Small
+    graphs give both from one packed row, larger ones by joins."""
+    return _of_both_sizes(edges, nodes, alpha, iterations, small_edges, True)
+
+
+def pr_factors(
+    edges: DataFrame, nodes: DataFrame, alpha: float = ALPHA, iterations: int = ITERATIONS, small_edges: int = SMALL_EDGES
+) -> tuple[DataFrame, DataFrame]:
+    """The full PageRank normalisation as a sparse part (group_id, src, dst, w) and node factors (group_id, node_id, a, b, c): the
+    weight of a pair is ``w`` (0 where there is no such row) plus ``c * (a_src * b_dst + b_src * a_dst)``.
+
+    The transition ``(1 - alpha) P + alpha / n`` balanced by pi has the sparse part of P and, as 1 / n is the same everywhere, sums
+    of sqrt(pi) / sqrt(pi) over all pairs: two factors per node. Degrees follow from the sums of the factors. Both are stored.
+    """
+    p = cut_lineage(transition_matrix(edges, nodes))
+    pi = cut_lineage(pagerank(p, alpha, iterations, small_edges))
+    root = F.sqrt("pi")
+    sums = pi.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"), F.sum(root).alias("sum_a"), F.sum(1 / root).alias("sum_b"))
+    ends = [pi.select(GROUP, F.col("node_id").alias(c), root.alias(f"a_{c}")) for c in ("src", "dst")]
+    moved = p.join(ends[0], [GROUP, "src"]).join(ends[1], [GROUP, "dst"])
+    half = moved.select(GROUP, "src", "dst", ((1 - alpha) / 2 * F.col("p") * F.col("a_src") / F.col("a_dst")).alias("w"))
+    sparse = cut_lineage(collapse(half.unionByName(half.select(GROUP, F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))))
+    own = sparse.groupBy(GROUP, F.col("src").alias("node_id")).agg(F.sum("w").alias("own"))
+    c = alpha / (2 * F.col("n"))
+    scale = F.sqrt(F.col("own") + c * (root * F.col("sum_b") + F.col("sum_a") / root))
+    rows = pi.join(own, [GROUP, "node_id"]).join(sums, GROUP)
+    factors = cut_lineage(rows.select(GROUP, "node_id", (root / scale).alias("a"), (1 / root / scale).alias("b"), c.alias("c"), scale.alias("scale")))
+    ends = [factors.select(GROUP, F.col("node_id").alias(e), F.col("scale").alias(f"s_{e}")) for e in ("src", "dst")]
+    scaled = sparse.join(ends[0], [GROUP, "src"]).join(ends[1], [GROUP, "dst"])
+    return scaled.select(GROUP, "src", "dst", (F.col("w") / (F.col("s_src") * F.col("s_dst"))).alias("w")), factors.drop("scale")
+
+
+PAIR_BLOCK = 1024
+"""Targets whose factors travel as one row when all pairs are wanted."""
+
+
 def norm_pr(
     edges: DataFrame,
     nodes: DataFrame,
@@ -275,42 +369,50 @@ def norm_pr(
     small_edges: int = SMALL_EDGES,
 ) -> DataFrame:
     """Full PageRank normalisation, where every node pair of a graph gets a weight: n² rows per graph
-    by definition, whatever its size."""
-    p = cut_lineage(transition_matrix(edges, nodes))
-    nodes = matrix_nodes(p)
-    sizes = nodes.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n_nodes"))
-    pi = pagerank(p, alpha, iterations, small_edges)
-    # Targets are numbers 0 … n-1, so the n² rows come from a sequence and not from a join.
-    every = nodes.join(sizes, GROUP).select(
-        GROUP,
-        F.col("node_id").alias("src"),
-        "n_nodes",
-        F.explode(F.sequence(F.lit(0), F.col("n_nodes").cast("int") - 1)).alias("dst"),
-    )
-    dense = every.join(p, [GROUP, "src", "dst"], "left").select(
-        GROUP, "src", "dst", ((1 - alpha) * F.coalesce("p", F.lit(0.0)) + alpha / F.col("n_nodes")).alias("p")
-    )
-    return _pagerank_symmetric(dense, pi)
-
+    by definition, whatever its size. :func:`pr_factors` has the same in as many rows as there are edges and nodes.
 
-def pair_products(p: DataFrame, shared: str) -> DataFrame:
-    """Products of all entry pairs that share the endpoint ``shared``, summed per pair of the others."""
-    other = "dst" if shared == "src" else "src"
-    left = p.select(GROUP, F.col(shared).alias("mid"), F.col(other).alias("i"), F.col("p").alias("p_i"))
-    right = p.select(GROUP, F.col(shared).alias("mid"), F.col(other).alias("j"), F.col("p").alias("p_j"))
-    return left.join(right, [GROUP, "mid"]).groupBy(GROUP, "i", "j").agg(F.sum(F.col("p_i") * F.col("p_j")).alias("v"))
+    Sources with their sparse rows meet blocks of targets; the pairs are written out where they meet and not moved again.
+    """
+    sparse, factors = pr_factors(edges, nodes, alpha, iterations, small_edges)
+    rows = sparse.groupBy(GROUP, F.col("src").alias("node_id")).agg(F.map_from_entries(F.collect_list(F.struct("dst", "w"))).alias("row"))
+    sources = factors.join(rows, [GROUP, "node_id"]).select(GROUP, F.col("node_id").alias("src"), F.col("a").alias("a_i"), F.col("b").alias("b_i"), "c", "row")
+    targets = factors.groupBy(GROUP, F.expr(f"node_id div {PAIR_BLOCK}")).agg(F.collect_list(F.struct("node_id", "a", "b")).alias("targets"))
+    pairs = sources.join(targets.select(GROUP, "targets"), GROUP).select(GROUP, "src", "a_i", "b_i", "c", "row", F.explode("targets").alias("t"))
+    dense = F.col("c") * (F.col("a_i") * F.col("t.b") + F.col("b_i") * F.col("t.a"))
+    return pairs.select(GROUP, "src", F.col("t.node_id").alias("dst"), (dense + F.coalesce(F.try_element_at("row", F.col("t.node_id")), F.lit(0.0))).alias("w"))
 
 
 def norm_second_order(adj: DataFrame, nodes: DataFrame) -> DataFrame:
     """Second-order proximity ``(P'P + PP') / 2`` where both parts are non-zero, degree-normalised.
-    Its input is the normalised first-order adjacency."""
-    p = transition_matrix(adj, nodes)
-    inward = pair_products(p, "src").withColumnRenamed("v", "v_in")
-    outward = pair_products(p, "dst").withColumnRenamed("v", "v_out")
-    both = inward.join(outward, [GROUP, "i", "j"]).where("v_in <> 0 AND v_out <> 0")
-    return degree_normalised(
-        both.select(GROUP, F.col("i").alias("src"), F.col("j").alias("dst"), ((F.col("v_in") + F.col("v_out")) / 2).alias("w"))
+    Its input is the normalised first-order adjacency; it is read several times, so pass a stored table.
+
+    Pairs with a common source give the first part, pairs with a common target the second. Of each graph the kind with fewer pairs
+    is written out; the other part is only looked up for these, through the end with fewer entries. A hub costs the square of
+    its entries only if it is one in both directions, where the result has as many rows.
+    """
+    p = cut_lineage(transition_matrix(adj, nodes).where("p <> 0"))
+    degrees = [p.groupBy(GROUP, F.col(c).alias("node_id")).agg(F.count(F.lit(1)).alias("d")) for c in ("src", "dst")]
+    pairs = [d.groupBy(GROUP).agg(F.sum(F.col("d").cast("double") * F.col("d")).alias(c)) for d, c in zip(degrees, ("by_src", "by_dst"))]
+    side = pairs[0].join(pairs[1], GROUP).select(GROUP, (F.col("by_src") <= F.col("by_dst")).alias("out"))
+    # mid: the node that pairs are written out over; end: the nodes they consist of
+    mid, end = F.when(F.col("out"), F.col("src")).otherwise(F.col("dst")), F.when(F.col("out"), F.col("dst")).otherwise(F.col("src"))
+    q = cut_lineage(p.join(side, GROUP).select(GROUP, mid.alias("mid"), end.alias("end"), "p"))
+    one, two = (q.select(GROUP, "mid", F.col("end").alias(n), F.col("p").alias(f"p_{n}")) for n in ("i", "j"))
+    written = one.join(two, [GROUP, "mid"]).where("i <= j").groupBy(GROUP, "i", "j").agg(F.sum(F.col("p_i") * F.col("p_j")).alias("v1"))
+    # the other part: what i and j as middle nodes have in common
+    sizes = q.groupBy(GROUP, "mid").agg(F.count(F.lit(1)).alias("d"))
+    for n in ("i", "j"):
+        written = written.join(sizes.select(GROUP, F.col("mid").alias(n), F.col("d").alias(f"d_{n}")), [GROUP, n])
+    less = F.col("d_i") <= F.col("d_j")
+    asked = written.select(GROUP, "i", "j", "v1", F.when(less, F.col("i")).otherwise(F.col("j")).alias("mid"), F.when(less, F.col("j")).otherwise(F.col("i")).alias("far"))
+    through = asked.join(q, [GROUP, "mid"]).select(GROUP, "i", "j", "v1", "far", "end", "p")
+    far = q.select(GROUP, F.col("mid").alias("far"), "end", F.col("p").alias("p_far"))
+    both = through.join(far, [GROUP, "far", "end"]).groupBy(GROUP, "i", "j").agg(F.first("v1").alias("v1"), F.sum(F.col("p") * F.col("p_far")).alias("v2"))
+    half = both.where("v1 <> 0 AND v2 <> 0").select(GROUP, "i", "j", ((F.col("v1") + F.col("v2")) / 2).alias("w"))
+    turned = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(
+        F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
     )
+    return degree_normalised(half.select(GROUP, "w", F.explode(turned).alias("e")).select(GROUP, F.col("e.i").alias("src"), F.col("e.j").alias("dst"), "w"))
 
 
 def normalise(edges: DataFrame, nodes: DataFrame, mode: str = "appr", **options) -> DataFrame:
@@ -323,7 +425,5 @@ def normalise(edges: DataFrame, nodes: DataFrame, mode: str = "appr", **options)
     if mode == "pr":
         return norm_pr(edges, nodes, **options).withColumn("ord", F.lit(1))
     if mode == "ib":
-        first = cut_lineage(norm_ppr(edges, nodes, **options))
-        second = norm_second_order(first, nodes)
-        return first.withColumn("ord", F.lit(1)).unionByName(second.withColumn("ord", F.lit(2)))
+        return first_and_second_order(edges, nodes, **options)
     raise ValueError("mode must be un, appr, pr or ib")

@@ -324,6 +324,17 @@ dense AS (SELECT a.group_id, a.node_id AS src, b.node_id AS dst, 0.9::DOUBLE * c
   FROM nodes a JOIN nodes b ON a.group_id = b.group_id JOIN sizes ON sizes.group_id = a.group_id
   LEFT JOIN p ON p.group_id = a.group_id AND p.src = a.node_id AND p.dst = b.node_id),
 {balanced('dense', 'adj')} SELECT {ADJ_COLUMNS} FROM adj"""
+ORACLE["pr_factors"] = f"""{RECURSIVE}{WEIGHTED}, {RANKED},
+halves AS (SELECT p.group_id, src, dst, 0.45::DOUBLE * p.p * sqrt(a.pi) / sqrt(b.pi) AS w FROM p
+  JOIN pi a ON a.group_id = p.group_id AND a.node_id = p.src JOIN pi b ON b.group_id = p.group_id AND b.node_id = p.dst),
+sp AS (SELECT group_id, src, dst, sum(w) AS w FROM (SELECT * FROM halves UNION ALL SELECT group_id, dst, src, w FROM halves) GROUP BY ALL),
+total AS (SELECT group_id, sum(sqrt(pi)) AS sa, sum(1 / sqrt(pi)) AS sb, 0.05::DOUBLE / count(*) AS c FROM pi GROUP BY group_id),
+scale AS (SELECT pi.group_id, node_id, any_value(pi) AS pi, any_value(c) AS c,
+    sqrt(sum(w) + any_value(c * (sqrt(pi) * sb + sa / sqrt(pi)))) AS s
+  FROM pi JOIN total USING (group_id) JOIN sp ON sp.group_id = pi.group_id AND sp.src = node_id GROUP BY pi.group_id, node_id)
+SELECT sp.group_id, src, dst, round(w / (x.s * y.s), 6) AS w, NULL::DOUBLE AS a, NULL::DOUBLE AS b, NULL::DOUBLE AS c FROM sp
+  JOIN scale x ON x.group_id = sp.group_id AND x.node_id = src JOIN scale y ON y.group_id = sp.group_id AND y.node_id = dst
+UNION ALL SELECT group_id, node_id, NULL::INTEGER, NULL::DOUBLE, round(sqrt(pi) / s, 6), round(1 / sqrt(pi) / s, 6), round(c, 6) FROM scale"""
 SECOND = f"""{row_stochastic('adj', 'p2')},
 l_in AS (SELECT a.group_id, a.dst AS i, b.dst AS j, sum(a.p * b.p) AS v FROM p2 a JOIN p2 b ON a.group_id = b.group_id AND a.src = b.src GROUP BY ALL),
 l_out AS (SELECT a.group_id, a.src AS i, b.src AS j, sum(a.p * b.p) AS v FROM p2 a JOIN p2 b ON a.group_id = b.group_id AND a.dst = b.dst GROUP BY ALL),
@@ -604,6 +615,9 @@ UNION ALL SELECT 'pr', step, round(tp / positives::DOUBLE, 6), round(tp / (tp +
 UNION ALL SELECT 'pr', 0, 0.0, 1.0"""
 ORACLE["stored_results"] = f"""{with_(_exact)} SELECT config || '/' || seed AS config, CAST(unnest([{SEED}, {SEED + 1}]) AS INTEGER) AS seed,
   round(val_roc, 6) AS val_roc, round(val_prc, 6) AS val_prc, round(1 - val_roc, 6) AS test_roc, round(val_prc, 6) AS test_prc FROM results"""
-ORACLE["stored_model_scores"] = f"""{with_(NODE_X, LABELS, COIN, DISTANCES)}
-SELECT group_id, label, round(sqrt(sq), 6) AS score FROM dist JOIN labels_ USING (group_id)"""
+ORACLE["stored_structured_log"] = f"""{with_(DAY_LOG)}
+SELECT group_id, event_id AS seq, event AS event_id, message AS event, round(ts_s, 6) AS ts_s,
+  CASE WHEN label = 1 THEN 'ERROR' ELSE 'INFO' END AS level FROM log"""
+ORACLE["stored_model_scores"] = f"""{RECURSIVE}{WEIGHTED}, {LABELS}, {COIN}, {TRAINED}, {FORWARD}, {CENTRED.format(z='z')}
+{SCORED.format(z='z')}"""
 ORACLE["joined_splits"] = ORACLE["bernoulli_split"]

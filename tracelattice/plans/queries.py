@@ -529,6 +529,16 @@ def adj_pr(spark, folder):
     return edge_weights(adjacency.normalise(*weighted_graphs(spark, folder), mode="pr"))
 
 
+@query
+def pr_factors(spark, folder):
+    """The full normalisation as sparse rows (with ``dst`` and ``w``) and factors of the nodes (without)."""
+    sparse, factors = adjacency.pr_factors(*weighted_graphs(spark, folder))
+    none = F.lit(None).cast("double")
+    rows = sparse.select("group_id", "src", "dst", r6("w"), *[none.alias(c) for c in "abc"])
+    nodes = factors.select("group_id", F.col("node_id").cast("int").alias("src"), F.lit(None).cast("int").alias("dst"), none.alias("w"), *[r6(c) for c in "abc"])
+    return rows.unionByName(nodes)
+
+
 @query
 def adj_second_order(spark, folder):
     both = adjacency.normalise(*weighted_graphs(spark, folder), mode="ib")

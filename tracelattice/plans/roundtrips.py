@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelattice.operators import adjacency, metrics, propagate, splits
-from tracelattice.plans import tables
+from tracelattice.operators import adjacency, metrics, splits
+from tracelattice.plans import oneclass, tables
 from tracelattice.plans.queries import (
-    DIMS, FITTED, SEED, day_graphs, day_labels, day_split, edge_columns, edge_weights, half, labelled_means, language_results,
-    query, r6, weighted_graphs,
+    DIMS, HIDDEN, SEED, day_encoder_tables, day_graphs, day_labels, day_split, edge_columns, edge_weights, formula_weights, half,
+    language_results, query, r6, weighted_graphs,
 )
+from tracelattice.plans.training import centred
 from tracelattice.session import shared_folder
 from tracelattice.sources import bundle, logs, store
 
@@ -35,6 +36,20 @@ def stored_log(spark, folder):
     return back.select("group_id", "seq", F.translate("event", "\n", "|").alias("event"), r6("ts_s"))
 
 
+@query
+def stored_structured_log(spark, folder):
+    """A structured log under the column names of a preset."""
+    path = shared_folder(spark)
+    log = tables.event_log(spark, folder)
+    written = log.select(
+        F.col("event_id").alias("LineId"), F.col("component").alias("EventId"), F.col("message").alias("EventTemplate"),
+        F.col("group_id").alias("Node"), F.col("ts_s").alias("Timestamp"), F.col("level").alias("Level"),
+    )
+    store.write_csv(written, path)
+    back = logs.read_log(spark, path, "bgl", ["Level"], multiline=False)
+    return back.select("group_id", "seq", "event_id", "event", r6("ts_s"), F.col("Level").alias("level"))
+
+
 @query
 def stored_free_log(spark, folder):
     """Times of views are no numbers and become positions in the group."""
@@ -153,12 +168,13 @@ def stored_results(spark, folder):
 
 @query
 def stored_model_scores(spark, folder):
-    """Distances to a centre that was saved and loaded as part of a model."""
+    """Scores of a model, weights and centre, that was saved and loaded."""
     path = shared_folder(spark)
-    z = labelled_means(spark, folder)
-    store.save_model(spark, store.Model({}, propagate.centre(z, FITTED), meta={"dims": DIMS}), path)
-    scored = propagate.distances(z, store.load_model(spark, path).centre)
-    return scored.select("group_id", "label", r6("score"))
+    data, train, split = day_encoder_tables(spark, folder)
+    weights = {"W1": formula_weights(DIMS, HIDDEN), "W2": formula_weights(HIDDEN, HIDDEN)}
+    (model,) = centred(oneclass.train_tables(train), oneclass.ONE_CLASS, [store.Model(weights, [], meta={"dims": DIMS})])
+    store.save_model(spark, model, path)
+    return oneclass.score_tables(data, store.load_model(spark, path), split).select("group_id", "label", r6("score"))
 
 
 @query
