@@ -2,9 +2,11 @@
 
 A page becomes a sequence of words and tags. Words score positive and tags negative, by log-likelihood ratios of being
 inside or outside the content, learned from labelled pages: those that mark one element as their content. A linear scan finds
-the contiguous region of the highest sum. Elements that are never content (menus, adverts, comments and the like, by tag
-or by whole names of class) are left out of it, and its blocks are joined. Words of elements whose names only hold such a word
-score negative, and forms are left out, where they hold a small share of the page's words; else both count as any element.
+the contiguous region of the highest sum. Tags without a word between them score once, as the worst of them, and inside the one
+element that a page marks as its content they do not count. Elements that are never content (menus, footers, hidden ones, by tag or
+attribute) are left out. Others are named like that (adverts, widgets, forms) but may be wrappers: they are left out unless they
+hold most words of what is around them, comments unless they hold nearly all; words of elements whose name only has such a part
+score negative. A page that would be left without text is read again without regard to such names.
 """
 
 from __future__ import annotations
@@ -46,8 +48,11 @@ NOISE = frozenset(
     " toolbar pagination pager login search masthead topbar complementary contentinfo feedback reactions".split()
 )
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+COMMENTS = frozenset("comment comments commentlist reply replies discussion disqus respond".split())
 SAMPLE_PAGES = 2000
-SMALL = 0.25
+MOST, NEARLY_ALL = 0.5, 0.97  # shares of words from which a wrapper is told by its size
+TRUSTED = 0.1  # least share of words of an element that a page marks as its content
+BOUNDARY = -2.0  # least score of tags between two words that do not frame a page
 DEFAULT = {"word": 1.0, "link": -0.5}
 
 
@@ -58,9 +63,9 @@ class Page:
         self.kind: list[str] = []  # 'word', 'link' (a word inside a link) or a tag's name
         self.text: list[str | None] = []
         self.block: list[int] = []
-        opened: list[list] = []  # name, first token, noise grade, is content
+        opened: list[list] = []  # name, first token, kind of noise, is content
         names: Counter = Counter()
-        spans: list[tuple[int, int, int, bool, str]] = []
+        spans: list[tuple[int, int, str, bool, str]] = []
         block = 0
 
         def close(to: int) -> None:
@@ -107,7 +112,7 @@ class Page:
             self.add(tag, None, block)
             if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCKS:
                 continue
-            opened.append([tag, first, noise_grade(tag, m["attrs"]), tag in CONTENT or "articlebody" in m["attrs"].lower()])
+            opened.append([tag, first, noise_kind(tag, m["attrs"]), tag in CONTENT or "articlebody" in m["attrs"].lower()])
             names[tag] += 1
         rest = [(o[0], o[1], o[3]) for o in opened]
         close(0)
@@ -121,27 +126,47 @@ class Page:
 
     def mark(self, spans, unclosed) -> None:
         n = len(self.kind)
-        content = [(s, e) for s, e, _, c, _ in spans if c]
+        self.spans, self.unclosed = spans, unclosed
+        self.contents = [(s, e) for s, e, _, c, _ in spans if c]
         headings = [(s, e) for s, e, _, _, name in spans if re.fullmatch(r"h[1-6]", name)]
-        noise, weak = [0] * (n + 1), [0] * (n + 1)
-        seen = [0, *accumulate(k in ("word", "link") for k in self.kind)]
-        for s, e, bad, _, name in spans:
-            inside = any(a <= s and e <= b for a, b in content)
-            holds = any(s <= a and b <= e for a, b in content)
+        never = [0] * (n + 1)
+        for s, e, kind, _, name in spans:
+            inside, holds = self.around(s, e)
             if name == "header" and not holds:
-                kept = [(a, b) for a, b in headings if inside and s <= a and b <= e]
-                for a, b in gaps(s, e, kept):
-                    noise[a] += 1
-                    noise[b] -= 1
-            elif bad and not holds and not ((s, name) in unclosed and name not in NEVER):
-                if bad == 1 and seen[e] - seen[s] >= SMALL * seen[n]:
-                    continue
-                to = noise if bad == 2 or name == "form" else weak
-                to[s] += 1
-                to[e] -= 1
-        self.noise, self.weak = ([v > 0 for v in accumulate(x[:-1])] for x in (noise, weak))
-        outer = [c for c in content if not any(o != c and o[0] <= c[0] and c[1] <= o[1] for o in content)]
+                for a, b in gaps(s, e, [(a, b) for a, b in headings if inside and s <= a and b <= e]):
+                    never[a] += 1
+                    never[b] -= 1
+            elif kind == "never" and not holds and not ((s, name) in unclosed and name not in NEVER):
+                never[s] += 1
+                never[e] -= 1
+        self.never = [v > 0 for v in accumulate(never[:-1])]
+        outer = [c for c in self.contents if not any(o != c and o[0] <= c[0] and c[1] <= o[1] for o in self.contents)]
         self.content = outer[0] if len(outer) == 1 else None
+        self.words = [0, *accumulate(k in ("word", "link") and not v for k, v in zip(self.kind, self.never))]
+        self.by_names()
+
+    def around(self, s: int, e: int) -> tuple[tuple[int, int] | None, bool]:
+        """The smallest marked content around a span, and whether the span holds one itself."""
+        outside = [c for c in self.contents if c[0] <= s and e <= c[1]]
+        return min(outside, key=lambda c: c[1] - c[0], default=None), any(s <= a and b <= e for a, b in self.contents)
+
+    def by_names(self, names: bool = True) -> None:
+        """Which tokens are noise, and which are doubtful: what is never content, comments and, with `names`, elements by their names."""
+        n = len(self.kind)
+        noise, weak = [0] * (n + 1), [0] * (n + 1)
+        for s, e, kind, _, name in self.spans:
+            if kind in ("", "never") or (s, name) in self.unclosed or not names and kind != "comment":
+                continue
+            inside, holds = self.around(s, e)
+            lo, hi = inside or (0, n)
+            around = self.words[hi] - self.words[lo]
+            if holds or self.words[e] - self.words[s] >= (NEARLY_ALL if kind == "comment" else MOST) * around:
+                continue
+            to = weak if kind == "part" else noise
+            to[s] += 1
+            to[e] -= 1
+        self.noise = [v > 0 or w for v, w in zip(accumulate(noise[:-1]), self.never)]
+        self.weak = [v > 0 for v in accumulate(weak[:-1])]
 
 
 def gaps(s: int, e: int, kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -152,23 +177,29 @@ def gaps(s: int, e: int, kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [*out, (at, e)]
 
 
-def noise_grade(tag: str, attrs: str) -> int:
-    """2: never content, by tag, hidden, or by a name all of whose parts are noise. 1: a form, or a name with such a part. 0: other."""
+def noise_kind(tag: str, attrs: str) -> str:
+    """`never` content, by tag or hidden; `comment`, a name with such a part; `name`, one all of whose parts are noise, or a form;
+    `part`, one with such a part; or empty."""
     if tag in NEVER:
-        return 2
-    least = int(tag == "form")
+        return "never"
+    kind = "name" if tag == "form" else ""
     if not attrs or tag in ("html", "body", "article", "main"):
-        return least
+        return kind
     if STYLED.search(attrs) or HIDDEN.search(QUOTED.sub("=x", attrs)) and not UNTIL.search(attrs):
-        return 2
+        return "never"
+    found = {kind}
     for m in ATTR.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").split():
-            parts = [p.lower() for p in PART.findall(name)]
-            if name.lower() in NOISE or name == "hidden" or parts and NOISE.issuperset(parts):
-                return 2
-            if not NOISE.isdisjoint(parts):
-                least = 1
-    return least
+            parts = {p.lower() for p in PART.findall(name)} | {name.lower()}
+            if name == "hidden":
+                return "never"
+            if not COMMENTS.isdisjoint(parts):
+                found.add("comment")
+            elif name.lower() in NOISE or parts - {name.lower()} and NOISE.issuperset(parts - {name.lower()}):
+                found.add("name")
+            elif not NOISE.isdisjoint(parts):
+                found.add("part")
+    return next(k for k in ("comment", "name", "part", "") if k in found)
 
 
 def learned_counts(source: str) -> Counter:
@@ -195,9 +226,9 @@ def fit_weights(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str,
         total: Counter = Counter()
         for h in c["html"]:
             total.update(learned_counts(h.decode()))
-        return {"kind": [k[:40] for k in total], "n": list(total.values())}
+        return {"kind": list(total), "n": list(total.values())}
 
-    rows = map_rows(sample, count, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind").limit(1000).collect()
+    rows = map_rows(sample, count, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect()  # the kinds of tokens of the sample
     n = {r.kind: r.n for r in rows}
     inside, outside = (sum(v for k, v in n.items() if k[0] == s) for s in "+-")
     if not inside or not outside:
@@ -221,12 +252,44 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return lo, hi
 
 
+def token_scores(page: Page, weights: dict[str, float]) -> list[float]:
+    """The score of every token. Noise scores nothing; tags without a word between them score together as the worst of them. If a
+    page marks one element as content that holds a share of its words, words outside score negative and tags inside nothing."""
+    word, link = weights.get("word", 1.0), weights.get("link", -0.5)
+    bad, lo, hi = -max(0.5, word), 0, 0
+    if page.content and page.words[page.content[1]] - page.words[page.content[0]] >= max(1, TRUSTED * page.words[-1]):
+        lo, hi = page.content
+    scores, worst = [], 0.0
+    for i, (k, noise, weak) in enumerate(zip(page.kind, page.noise, page.weak)):
+        inside = lo <= i < hi
+        if noise or not k:
+            scores.append(0.0)
+        elif k in ("word", "link"):
+            plain = word if k == "word" else max(link, 0.05) if inside else link
+            scores.append(bad if weak or hi and not inside else plain)
+            worst = 0.0
+        elif inside:
+            scores.append(0.0)
+        else:
+            s = weights.get(k, -1.0)
+            s = s if k in FRAME else max(s, BOUNDARY)
+            scores.append(min(0.0, s - worst))
+            worst = min(s, worst)
+    return scores
+
+
 def main_text(source: str, weights: dict[str, float]) -> str:
     """The main text of one page, blocks joined by two line breaks."""
     page = Page(source)
-    bad = -max(0.5, weights.get("word", 1.0))
-    scores = [0.0 if n or not k else bad if w and k in ("word", "link") else weights.get(k, 1.0 if k == "word" else -1.0 if k != "link" else -0.5) for k, n, w in zip(page.kind, page.noise, page.weak)]
-    lo, hi = best_run(scores)
+    text = run_text(page, weights)
+    if not text and page.words[-1]:
+        page.by_names(False)
+        text = run_text(page, weights)
+    return text
+
+
+def run_text(page: Page, weights: dict[str, float]) -> str:
+    lo, hi = best_run(token_scores(page, weights))
     blocks: dict[int, list[str]] = {}
     for i in range(lo, hi):
         if page.text[i] is not None and not page.noise[i]:
