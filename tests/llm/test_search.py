@@ -195,10 +195,10 @@ def test_repeat_groups_list_all_places(spark):
     assert any({d for d, _ in p} == {1, 2, 3} and len({s for _, s in p}) == 1 for p in places.values())
 
 
-@pytest.mark.parametrize("slice_tokens", [250_000, 20])
-def test_decontamination(spark, slice_tokens):
+@pytest.mark.parametrize("hot", [3, 5000])
+def test_decontamination(spark, monkeypatch, hot):
     rng = random.Random(6)
-    items = [(k, prose(rng, n)) for k, n in enumerate((3, 5, 9, 13, 14, 30, 30, 60))]
+    items = [(k, prose(rng, n)) for k, n in enumerate((3, 5, 9, 13, 14, 30, 12, 60))]
     docs = []
     for i in range(120):
         body = prose(rng, rng.randrange(0, 80)).split()
@@ -209,19 +209,48 @@ def test_decontamination(spark, slice_tokens):
             at = rng.randrange(len(body) + 1)
             body[at:at] = part
         docs.append((i, "  ".join(body)))
-    want = set()
+    docs += [(500 + i, "same text here " + items[5][1]) for i in range(40)] + [(None, "É " + items[4][1]), (7, docs[7][1])]
+    want = []
     for d, t in docs:
-        a = t.lower().split()
         for k, item in items:
-            b = item.split()
-            w, most = (13, 2) if len(b) >= 13 else (len(b), 0)
-            if len(b) >= 5 and any(sum(x != y for x, y in zip(a[i : i + w], b[j : j + w])) <= most for i in range(len(a) - w + 1) for j in range(len(b) - w + 1)):
-                want.add((d, k))
-    found = decontam.contaminated_spans(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slice_tokens=slice_tokens)
-    rows, texts = found.collect(), dict(docs)
-    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want) > 30
+            want += [(d, k, *span) for span in overlaps(t.lower().split(), item.split())]
+    schemas = "doc_id long, text string, hash long, item string", "item_id long, text string, doc long"
+    frames = [spark.createDataFrame([(*r, *[None] * (2 - i)) for r in rows], schemas[i]) for i, rows in enumerate((docs, items + items[:3]))]
+    monkeypatch.setattr(decontam, "HOT", hot)
+    rows = decontam.contaminated_spans(*frames).collect()
+    assert sorted((tuple(r)[:5] for r in rows), key=str) == sorted(want, key=str) and len(want) > 60
+    texts = dict(docs)
     for r in rows:
         assert texts[r.doc_id][r.first_char : r.end_char].split() == texts[r.doc_id].split()[r.first_token : r.end_token]
+    bad = {r.doc_id for r in rows}
+    kept = decontam.clean_documents(*frames)
+    assert kept.columns == frames[0].columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in bad)
+    assert decontam.contaminated_spans(frames[0], frames[1].limit(0)).collect() == decontam.contaminated_spans(frames[0].limit(0), frames[1]).collect() == []
+
+
+def overlaps(doc, item):
+    """Spans by comparing all aligned windows: items of 13 tokens or more by windows of 13 with two differences, shorter ones whole."""
+    n, out = len(item), []
+    width, most = (13, 2) if n >= 13 else (n, 2 * n // 13)
+    if n < 5:
+        return []
+    for shift in range(width - n, len(doc) - width + 1):
+        run = None
+        for j in range(n - width + 1):
+            if j + shift < 0 or j + shift + width > len(doc):
+                continue
+            if sum(doc[j + shift + x] != item[j + x] for x in range(width)) <= most:
+                if run and j <= run[1]:
+                    run[1] = j + width
+                else:
+                    run = [j, j + width]
+                    out.append((shift, run))
+    done = []
+    for shift, (s, e) in out:
+        equal = [x for x in range(s, e) if doc[x + shift] == item[x]]
+        s, e = equal[0], equal[-1] + 1
+        done.append((s + shift, e + shift, sum(doc[x + shift] != item[x] for x in range(s, e))))
+    return done
 
 
 def test_edit_distance_bits(spark):
