@@ -19,7 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelattice.llm.common import connected, hash_sample, map_rows, spanning, stored, whole_text, words, written
+from tracelattice.llm.common import (
+    arrow_schema, columns_of, connected, hash_sample, map_rows, spanning, stored, whole_text, words, written,
+)
 
 BITS = 64
 PROBE_COST, PAIR_COST = 600.0, 4.0  # nanoseconds, measured: a probe row through the shuffle, a compared pair
@@ -296,16 +298,20 @@ def usual_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def prefixes(texts: DataFrame, width: int, least: float) -> DataFrame:
-    """key, salt, n, id: of every text (id, text) with n different shingles the first n - ceil(least * n) + 1.
+    """key, salt, n, id: of every text (id, text) with n different shingles the first n - ceil(least * n) + 1. Equal texts have
+    equal ids, and a task gives the rows of an id once, so that a group of copies has no more rows of a key than there are tasks.
 
     All texts order their shingles alike, those of `usual_shingles` last, so that two texts of a Jaccard similarity of at least
     `least` have their first common shingle among these of both, whatever the order. Usual shingles have salts from 1 on.
     """
     usual, often = usual_shingles(texts, width)
 
-    def rows(c):
+    def rows(c, seen: set):
         out: dict[str, list] = {k: [np.zeros(0, np.int64)] for k in ("key", "salt", "n", "id")}
         for ident, t in zip(c["id"], c["text"]):
+            if ident in seen:
+                continue
+            seen.add(ident)
             keys = np.unique(shingle_hashes(words(t), width)).view(np.int64)
             n = len(keys)
             if not n:
@@ -321,11 +327,18 @@ def prefixes(texts: DataFrame, width: int, least: float) -> DataFrame:
             out["id"].append(np.full(len(first), ident))
         return {k: np.concatenate(v) for k, v in out.items()}
 
-    return map_rows(texts, rows, "key long, salt long, n long, id long")
+    def run(batches):
+        seen: set[int] = set()  # ids of this task's texts
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict(rows(columns_of(batch), seen), schema=arrow_schema(schema))
+
+    schema = "key long, salt long, n long, id long"
+    return texts.select("id", "text").mapInArrow(run, schema)
 
 
-def alike(texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Links (a, b) that connect all texts (id, text) with a Jaccard similarity of at least `least` over sets of word shingles.
+def alike(texts: DataFrame, lowest: DataFrame, width: int, least: float) -> DataFrame:
+    """Links (a, b) that connect all texts (id, doc_id, text; `lowest`: the smallest doc_id `low` of each id) with a Jaccard similarity of at least `least` over sets of word shingles.
 
     Exact: what two texts share lies in the shared part of their prefixes or behind the prefix that ends first, hence the least
     number of shared prefix shingles. First each text is compared with the next smaller one of its shingles, if enough of
@@ -344,8 +357,10 @@ def alike(texts: DataFrame, width: int, least: float) -> DataFrame:
         return stored(rows.where(F.col("c") >= need - 1e-6).select("a", "b"))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        own = texts.join(asked, "id").groupBy("id").agg(F.first("text").alias("text"))
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(lowest, "id")
+        asked = asked.select(F.col("id").alias("of"), "low")
+        # one row of an id is moved, and copies with other ids of their own go elsewhere
+        own = texts.join(asked, (F.col("id") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("low"))).groupBy("id").agg(F.first("text").alias("text"))
         return stored(verified(pairs, written(own), width, least))
 
     first = shared.where("before is not null")
@@ -367,8 +382,9 @@ def near_dedup(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame
     """
     ident = F.xxhash64(whole_text())
     marked = docs.withColumn("__llm_id", ident)
-    roots = connected(stored(alike(docs.select(ident.alias("id"), whole_text().alias("text")), width, least)))
-    of = marked.select("__llm_id", "doc_id").groupBy("__llm_id").agg(F.min("doc_id").alias("low"))
+    of = stored(marked.select("__llm_id", "doc_id").groupBy("__llm_id").agg(F.min("doc_id").alias("low")))
+    texts = docs.select(ident.alias("id"), "doc_id", whole_text().alias("text"))
+    roots = connected(stored(alike(texts, of.withColumnRenamed("__llm_id", "id"), width, least)))
     of = of.join(roots, of.__llm_id == roots.node, "left").select("__llm_id", "low", F.coalesce("root", "__llm_id").alias("__llm_root"))
     of = of.join(of.groupBy("__llm_root").agg(F.min("low").alias("__llm_least")), "__llm_root").select("__llm_id", "__llm_root", "__llm_least")
     kept = marked.join(of, "__llm_id").where(F.col("doc_id").eqNullSafe(F.col("__llm_least")))
