@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracelattice.llm import decontam, lines, simhash, suffix
+from tracelattice.llm import decontam, lines, mixing, simhash, suffix
 from tracelattice.llm.common import connected, whole_text
 from tracelattice.llm.queries import ORACLE, QUERIES
 
@@ -325,3 +325,25 @@ def test_mix_equals_sql(spark):
     want = db.sql(ORACLE["op8_mix"])
     assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
     assert sorted(map(tuple, QUERIES["op8_mix"](spark, SMALL).select(want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_shards_take_their_quotas(spark, shards):
+    """Each shard takes as many blocks of a source as its quota says; all shards together take what one shard alone takes."""
+    rng = random.Random(shards)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randrange(0, 90)), rng.choice(("a", "b", "b", "b", None))) for i in range(600)], "doc_id long, text string, source string")
+    mixed = mixing.mix_documents(docs, shards=shards).collect()
+    assert all(len(r.shard_taken) == shards and sum(r.shard_taken) == r.taken for r in mixed)
+    plan = mixing.targets(mixing.sized(docs))
+    quotas = {(r.source, r.shard): r.blocks * r.block for r in mixing.quotas(plan, shards).join(plan.select("idx", "source"), "idx").collect()}
+    got = Counter()
+    for r in mixed:
+        for s, n in enumerate(r.shard_taken, 1):
+            got[r.source, s] += n
+    for key, want in quotas.items():
+        full = sum(q for (source, _), q in quotas.items() if source == key[0])
+        whole = sum(r.size for r in mixed if r.source == key[0])
+        if full <= 2 * (whole - 256):  # a source that is held at twice its size gives its whole blocks alone
+            assert got[key] == want, key
+    alone = {r.doc_id: r.taken for r in mixing.mix_documents(docs, shards=1).collect()}
+    assert {r.doc_id: r.taken for r in mixed} == alone

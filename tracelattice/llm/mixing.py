@@ -81,34 +81,51 @@ def quotas(plan: DataFrame, shards: int = SHARDS) -> DataFrame:
     return upto.withColumn("blocks", F.col("seats") - before).join(plan.select("idx", "block"), "idx").select("shard", "idx", "block", "blocks")
 
 
-def chosen_before(x: Column) -> Column:
-    """Words taken by the single-block choice among the first x words of a source (columns block, rest, full, phase)."""
+def chosen_before(x: Column, pick: Column) -> Column:
+    """Words among the first x of a source that the single-block choice takes in its first `pick` picks (columns block, rest,
+    full, phase)."""
     def before(j: Column) -> Column:
         wide = j.cast("decimal(19,0)") * F.col("rest").cast("decimal(19,0)") + F.col("phase")
-        return F.when(F.col("full") > 0, F.floor(wide / F.col("full").cast("decimal(19,0)")).cast("long")).otherwise(F.lit(0).cast("long"))
+        count = F.when(F.col("full") > 0, F.floor(wide / F.col("full").cast("decimal(19,0)")).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.least(count, pick)
 
     j = F.floor(x / F.col("block")).cast("long")
     return before(j) * F.col("block") + (x - j * F.col("block")) * (before(j + 1) - before(j))
 
 
+def taken_before(lo: Column, hi: Column, pick: Column, most: int) -> Column:
+    """Words from place lo to hi of a source that its first `pick` picks take: pass after pass over all blocks, then single blocks."""
+    words = chosen_before(hi, F.greatest(pick - F.col("passes") * F.col("full"), F.lit(0)))
+    words = words - chosen_before(lo, F.greatest(pick - F.col("passes") * F.col("full"), F.lit(0)))
+    for p in range(most):
+        blocks = F.least(F.greatest(pick - p * F.col("full"), F.lit(0)), F.when(F.col("passes") > p, F.col("full")).otherwise(0))
+        end = blocks * F.col("block")
+        words = words + F.greatest(F.least(hi, end) - F.least(lo, end), F.lit(0))
+    return words
+
+
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, first_word of every row of `docs` (doc_id, text, source).
+    """doc_id, source, size, source_size, target, taken, shard_taken, first_word of every row of `docs` (doc_id, text, source).
 
     taken counts the words the mix takes of the document, repeats included, at most `most` times its size (`most` is 2 at most);
-    first_word is the document's place in its source's seeded order. A null text has size 0; null is a source of its own,
+    shard_taken lists them by shard: each shard takes as many blocks of a source as its quota says, in the seeded order; first_word is the document's place in its source's seeded order. A null text has size 0; null is a source of its own,
     last in order. Equal rows are interchangeable. Words after a source's last whole block are left out. Columns of other
     names are left aside; an empty table gives an empty result.
     """
     rows = stored(sized(docs, seed))
     plan = stored(targets(rows, weights, share, most))
-    given = quotas(plan, shards).groupBy("idx").agg(F.sum("blocks").alias("quota"), F.first("block").alias("block"))
+    # the picks of a source that belong to each shard follow those of the shards before it
+    ends = F.array_sort(F.collect_list(F.struct("shard", "upto")))["upto"]
+    upto = F.sum("blocks").over(Window.partitionBy("idx").orderBy("shard"))
+    given = quotas(plan, shards).withColumn("upto", upto).groupBy("idx").agg(F.sum("blocks").alias("quota"), ends.alias("ends"), F.first("block").alias("block"))
     full = F.floor(F.col("source_size") / F.col("block")).cast("long")
     phase = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("null")))), 1, 8), 16, 10).cast("long")
     per = plan.join(given, "idx").withColumn("full", full).withColumn("quota", F.least(F.col("quota"), F.col("full") * most))
     per = per.withColumn("passes", F.when(F.col("full") > 0, F.floor(F.col("quota") / F.col("full"))).otherwise(0).cast("long"))
     per = per.withColumn("rest", F.col("quota") - F.col("passes") * F.col("full"))
     per = stored(per.withColumn("phase", F.when(F.col("full") > 0, phase % F.col("full")).otherwise(0)).select(
-        F.col("source").alias("of"), "idx", "source_size", "target", "block", "full", "passes", "rest", "phase"))
+        F.col("source").alias("of"), "idx", "source_size", "target", "block", "full", "passes", "rest", "phase",
+        F.transform("ends", lambda e: F.least(e, F.col("quota"))).alias("ends")))
     n = rows.count()
     digits = 1
     while 16**digits * BUCKET_ROWS < n:
@@ -121,5 +138,9 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
     placed = placed.join(leads, ["idx", "bucket"]).withColumn("first_word", F.col("lead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     end = F.col("full") * F.col("block")
     lo, hi = F.least("first_word", end), F.least(F.col("first_word") + F.col("size"), end)
-    taken = F.col("passes") * (hi - lo) + chosen_before(hi) - chosen_before(lo)
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "first_word")
+    placed = placed.withColumns({"lo": lo, "hi": hi})
+    upto = F.transform("ends", lambda e: taken_before(F.col("lo"), F.col("hi"), e, most))
+    placed = placed.withColumn("upto", upto)
+    by_shard = F.transform("upto", lambda v, i: (v - F.when(i > 0, F.get(F.col("upto"), i - 1)).otherwise(0)).cast("long"))
+    taken = F.coalesce(F.element_at("upto", -1), F.lit(0)).cast("long")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), by_shard.alias("shard_taken"), "first_word")

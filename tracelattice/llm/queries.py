@@ -58,7 +58,7 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, folder, "documents"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", F.array_join("shard_taken", ",").alias("shard_taken"))
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,22 +123,34 @@ plan AS (SELECT source, idx, source_size, least(cap, (SELECT rate FROM rate) * w
 quotients AS (
   SELECT idx, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, idx) AS turn
   FROM (SELECT *, unnest(range(0, ceil(target / block)::BIGINT + (SELECT count(*) FROM src))) AS k FROM plan)),
-quota AS (SELECT idx, count(*) AS seats FROM quotients, all_src WHERE turn <= round(goal / block)::BIGINT GROUP BY idx),
+shards AS (
+  SELECT s AS shard, idx, count(turn) FILTER (turn <= (round(goal / block)::BIGINT * s) // 8) AS seats
+  FROM quotients, all_src, range(1, 9) h(s) GROUP BY s, idx),
 per AS (
   SELECT plan.*, least(coalesce(seats, 0), 2 * full_blocks) AS quota,
          ('0x' || substr(md5('mix:' || coalesce(source, 'null')), 1, 8))::BIGINT AS phase
-  FROM plan LEFT JOIN quota USING (idx)),
-blocks AS (
-  SELECT idx, j, block, quota // full_blocks
-         + ((j + 1) * (quota % full_blocks) + phase % full_blocks) // full_blocks - (j * (quota % full_blocks) + phase % full_blocks) // full_blocks AS copies
+  FROM plan LEFT JOIN (SELECT idx, seats FROM shards WHERE shard = 8) USING (idx)),
+spread AS (
+  SELECT idx, j, block, full_blocks, quota // full_blocks AS passes,
+         (j * (quota % full_blocks) + phase % full_blocks) // full_blocks AS before,
+         ((j + 1) * (quota % full_blocks) + phase % full_blocks) // full_blocks AS upto
   FROM (SELECT *, unnest(range(0, full_blocks)) AS j FROM per WHERE full_blocks > 0)),
+picks AS (
+  SELECT idx, j, block, full_blocks, unnest(range(0, passes)) * full_blocks + j AS t FROM spread
+  UNION ALL SELECT idx, j, block, full_blocks, passes * full_blocks + before FROM spread WHERE upto > before),
+blocks AS (
+  SELECT idx, j, block, shard, count(*) AS copies
+  FROM (SELECT *, (SELECT count(*) FROM shards WHERE shards.idx = picks.idx AND least(seats, 2 * full_blocks) <= t) AS shard FROM picks) GROUP BY ALL),
 places AS (
   SELECT docs.doc_id, docs.source, size, source_size, target, idx, k1, k2, row_number() OVER () AS r,
          (sum(size) OVER (PARTITION BY idx ORDER BY k1, k2 ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS lo
   FROM docs JOIN per ON docs.source IS NOT DISTINCT FROM per.source),
 took AS (
-  SELECT r, sum(copies * greatest(0, least(lo + size, (j + 1) * block) - greatest(lo, j * block))) AS taken
-  FROM places JOIN blocks ON places.idx = blocks.idx AND j >= lo // block AND j <= (lo + size) // block GROUP BY r)
-SELECT doc_id, source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM places LEFT JOIN took USING (r)
+  SELECT r, shard, sum(copies * greatest(0, least(lo + size, (j + 1) * block) - greatest(lo, j * block))) AS taken
+  FROM places JOIN blocks ON places.idx = blocks.idx AND j >= lo // block AND j <= (lo + size) // block GROUP BY r, shard),
+listed AS (SELECT r, sum(taken)::BIGINT AS taken, list(coalesce(taken, 0)::BIGINT::VARCHAR ORDER BY shard) AS by_shard
+  FROM (SELECT places.r, s AS shard, taken FROM places CROSS JOIN range(0, 8) h(s) LEFT JOIN took ON took.r = places.r AND took.shard = s) GROUP BY r)
+SELECT doc_id, source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, array_to_string(by_shard, ',') AS shard_taken
+FROM places JOIN listed USING (r)
 """,
 }
