@@ -178,6 +178,23 @@ def test_node_features_read_the_log_once(spark):
     assert plan.count("ShuffleQueryStage") <= 3, plan
 
 
+def test_standardised_graphs(spark):
+    rng = np.random.default_rng(4)
+    parts = {"a": rng.normal(5, 2, (6, 3)), "b": rng.normal(size=(1, 3)), "c": np.tile([1e6 + 0.1, 2.0, -3.0], (4, 1))}
+    parts["a"][:, 1] = 7.7
+    rows = [(g, f"e{i}", [float(v) for v in x[i]]) for g, x in parts.items() for i in range(len(x))]
+    nodes = spark.createDataFrame(rows, "group_id string, event string, x array<double>")
+    for any_size in (False, True):
+        got = features.standardise_within(nodes, any_size=any_size)
+        assert got.columns == nodes.columns
+        for r in got.collect():
+            x = parts[r["group_id"]]
+            spread = np.where(x.std(axis=0) < 1e-9, np.inf, x.std(axis=0))
+            want = x[0] if len(x) == 1 else (x[int(r["event"][1:])] - x.mean(axis=0)) / spread
+            np.testing.assert_allclose(r["x"], want, atol=1e-9)
+    assert features.standardise_within(nodes.limit(0)).collect() == []
+
+
 def test_moments_merge(spark):
     rng = random.Random(2)
     rows = []

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -160,12 +162,52 @@ def with_vectors(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
     return nodes.join(vectors.select("event", "vec"), "event", "left").withColumn("vec", F.coalesce("vec", missing))
 
 
-def standardise_within(nodes: DataFrame, vector: str = "x") -> DataFrame:
+def standardised(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rows of graphs laid side by side (``starts``: the first row of each), every dimension standardised within its graph."""
+    n = np.diff(starts)[:, None].astype(float)
+    mean = np.add.reduceat(x, starts[:-1], axis=0) / n
+    away = x - np.repeat(mean, np.diff(starts), axis=0)
+    variance = np.add.reduceat(away * away, starts[:-1], axis=0) / n
+    noise = n * EPSILON * variance + (n * mean * EPSILON) ** 2
+    spread = np.where(variance <= noise, np.inf, np.sqrt(variance))
+    out = away / np.repeat(spread, np.diff(starts), axis=0)
+    alone = np.repeat(n[:, 0] == 1, np.diff(starts))
+    out[alone] = x[alone]
+    return out
+
+
+def standardise_within(nodes: DataFrame, vector: str = "x", any_size: bool = False) -> DataFrame:
     """Each dimension standardised over the nodes of its graph. A graph of one node is left alone, a
     dimension whose spread is only rounding becomes zero.
 
-    The moments are taken over a window of the graph, so that nodes are computed once and stay where they are.
+    The nodes of a graph are put side by side in a row and worked on many graphs at a time, without another exchange if they are
+    placed by their group. ``any_size`` takes windows instead, slower, where a graph may be too large for a task's memory.
     """
+    if any_size:
+        return _standardise_by_window(nodes, vector)
+    names = [c for c in nodes.columns if c != GROUP]
+    packs, order = nodes.groupBy(GROUP).agg(F.collect_list(F.struct(*names)).alias("rows")), nodes.columns
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("rows")
+            starts = lists.offsets.to_numpy().astype(np.int64)
+            starts, inside = starts - starts[0], lists.flatten()
+            x = inside.field(vector)
+            width = len(x.flatten()) // len(x)
+            scaled = standardised(x.flatten().to_numpy().reshape(len(x), width), starts)
+            cuts = pa.array(np.arange(len(x) + 1, dtype=np.int32) * width)
+            columns = {GROUP: batch.column(GROUP).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(starts))))}
+            columns.update({c: inside.field(c) for c in names})
+            columns[vector] = pa.ListArray.from_arrays(cuts, pa.array(scaled.ravel()))
+            yield pa.RecordBatch.from_arrays([columns[c] for c in order], order)
+
+    return packs.mapInArrow(run, nodes.schema)
+
+
+def _standardise_by_window(nodes: DataFrame, vector: str) -> DataFrame:
     graph = Window.partitionBy(GROUP)
     moments = Summarizer.metrics("mean", "variance").summary(array_to_vector(F.col(vector))).over(graph)
     n = F.col("__n")
@@ -189,7 +231,7 @@ def node_features(
     rows = with_vectors(node_statistics(step, bins), vectors).select(
         GROUP, "event", scalars.concat_features(F.col("vec"), F.col("stats")).alias("x")
     )
-    return standardise_within(rows) if standardise else rows
+    return standardise_within(rows, any_size=step.sequence.is_hot) if standardise else rows
 
 
 def encode_distinct(events: DataFrame, encoder: Callable[[Column], Column], column: str = "event") -> DataFrame:
