@@ -53,8 +53,42 @@ def test_redactor_adds_spans_and_leaves_plain_text(spark):
         assert r.plain == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in plain_version(text))
         if not i % 2:
             assert r.spans == "" and r.redacted == text
-    base, spans = pii.chosen_spans("please call 1 (555) 555-1234 about it", model, [0.5] * 4)
-    assert base == [] and all(k in range(4) for k, _, _ in spans)
+
+
+def test_redactor_finds_what_is_not_marked(spark):
+    """Trained where phones have a plus and addresses their sign, it finds nine of ten without, and leaves plain numbers alone."""
+    rng, rows = random.Random(4), []
+
+    def phone():
+        a, b, c = rng.randrange(200, 999), rng.randrange(200, 999), rng.randrange(1000, 9999)
+        return rng.choice((f"1 ({a}) {b}-{c}", f"1-{a}-{b}-{c}", f"44 {a} {b} {c}", f"1.{a}.{b}.{c}"))
+
+    def number():
+        return rng.choice((f"item {rng.randrange(10**9, 10**10)}", f"lot {rng.randrange(10**8, 10**9)}", f"order {rng.randrange(10**13, 10**15)}"))
+
+    def mail():
+        return f"{rng.choice(('jo', 'ann', 'li.wu', 'max'))}{rng.randrange(99)}", f"{rng.choice(('mail', 'post-box', 'example'))}.{rng.choice(('com', 'org', 'de'))}"
+
+    for i in range(900):
+        rows.append((i, rng.choice((
+            f"please call +{phone()} before noon about {number()}", f"the report on {number()} says nothing of {number()}",
+            f"write to {'@'.join(mail())} or see {number()}", f"reach us on +{phone()} today", f"rivers and roads {rng.randrange(10**9)} and more",
+        ))))
+    model, thresholds = pii.fit_redactor(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert max(thresholds[0], thresholds[3]) < 1
+    planted, clean = [], []
+    for i in range(300):
+        p, (a, b) = phone(), mail()
+        planted.append((f"please call {p} before noon", f"phone:12:{12 + len(p)}") if i % 2 else (f"write to {a} [at] {b} today", f"email:9:{9 + len(a) + 6 + len(b)}"))
+        clean.append(f"the report on {number()} says nothing")
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(planted)] + [(1000 + i, t) for i, t in enumerate(clean)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs, model, thresholds).collect()}
+    for k in (0, 1):  # addresses, phones
+        found = [got[i] == want for i, (_, want) in enumerate(planted) if i % 2 == k]
+        assert sum(found) >= 0.9 * len(found), (k, sum(found), len(found))
+    assert sum(got[1000 + i] != "" for i in range(len(clean))) <= 0.02 * len(clean)
+    again = {r.doc_id: r.spans for r in pii.find_pii(docs.orderBy("doc_id"), *pii.fit_redactor(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert again == got  # equal probabilities are settled by place
 
 
 def test_boosted_trees():

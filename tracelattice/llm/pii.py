@@ -128,21 +128,71 @@ def same_span(a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
     return a[0] == b[0] and inner >= 0.9 * (max(a[2], b[2]) - min(a[1], b[1]))
 
 
+def hinted(text: str, kind: int, s: int) -> bool:
+    """Does a word of the kind's context stand shortly before?"""
+    before = text[max(0, s - 40) : s].lower()
+    return any(h in before for h in HINTS[KINDS[kind]])
+
+
+def told_apart(text: str, span: tuple[int, int, int], base: list[tuple[int, int, int]]) -> int | None:
+    """1: a plain span. 0: surely none of its kind. None: no rule can tell, so that it teaches nothing.
+
+    Surely none are parts of plain spans of other kinds; digit runs without separators or context; numbers of card length that
+    fail Luhn, without context; dotted numbers with a part over 255 or more than four parts; addresses without a word as last label.
+    """
+    kind, s, e = span
+    if any(same_span(span, b) for b in base):
+        return 1
+    if any(b[0] != kind and b[1] < e and s < b[2] for b in base):
+        return 0
+    body = text[s:e]
+    groups = re.findall(r"[0-9]+", body)
+    if kind == 0:
+        return None if re.search(r"[A-Za-z]{2}$", body) else 0
+    if kind == 1:
+        return 0 if len(groups) > 4 or any(len(g.lstrip("0")) > 3 or int(g) > 255 for g in groups) else None
+    if hinted(text, kind, s):
+        return None
+    if kind == 2 and not luhn("".join(groups)):
+        return 0
+    return 0 if len(groups) == 1 else None
+
+
+def unmarked(text: str, span: tuple[int, int, int]) -> tuple[str, tuple[int, int, int]] | None:
+    """The text with a plain span as people write it to hide it or without thought: a phone number without its plus, an address
+    with `[at]` for the sign. Every other one also loses the words before it."""
+    kind, s, e = span
+    body = text[s:e].lstrip("+") if kind == 3 else text[s:e].replace("@", " [at] ", 1) if kind == 0 else None
+    if body is None:
+        return None
+    lead = text[max(0, s - 60) : s] if (s + e) % 2 else "and "
+    return lead + body + text[e : e + 20], (kind, len(lead), len(lead) + len(body))
+
+
 def training_rows(docs: DataFrame, sample_docs: int, sample_spans: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, label and part (0 fit, 1 calibrate) of proposals in the documents of smallest hash."""
+    """Features, label and part (0 fit, 1 calibrate) of proposals in the documents of smallest hash: those that can be told apart,
+    and plain spans with their marks taken away."""
     chosen = hash_sample(docs.select("doc_id", "text"), sample_docs, "doc_id", "text")
     chosen = chosen.select(F.xxhash64("doc_id", "text").alias("r"), whole_text().alias("t"))
 
     def rows(c):
         out: dict[str, list] = {"r": [], "at": [], "y": [], "x": []}
+
+        def add(r, at, y, x):
+            for name, value in zip(out, (r, at, y, x)):
+                out[name].append(value)
+
         for r, t in zip(c["r"], c["t"]):
             text = t.decode()
             base, spans = plain_spans(text), proposals(text)
             for i, (span, x) in enumerate(zip(spans, features(text, spans).tolist())):
-                out["r"].append(r)
-                out["at"].append(i)
-                out["y"].append(int(any(same_span(span, b) for b in base)))
-                out["x"].append(x)
+                y = told_apart(text, span, base)
+                if y is not None:
+                    add(r, i, y, x)
+            for i, span in enumerate(base):
+                bare = unmarked(text, span)
+                if bare:
+                    add(r, -1 - i, 1, features(bare[0], [bare[1]])[0].tolist())
         return out
 
     got = map_rows(chosen, rows, "r long, at int, y int, x array<double>").orderBy(F.xxhash64("r", "at"), "r", "at").limit(sample_spans).toArrow()
@@ -152,7 +202,8 @@ def training_rows(docs: DataFrame, sample_docs: int, sample_spans: int) -> tuple
 
 
 def fit_redactor(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS, precision: float = PRECISION) -> tuple[Trees | None, list[float]]:
-    """Calibrated trees and a threshold per kind that kept `precision` on held-out proposals. None without both classes."""
+    """Calibrated trees and a threshold per kind that kept `precision` on held-out proposals. None without both classes: then
+    nothing is added to the plain spans. Nulls and repeated rows do no harm; of very long texts all proposals may be drawn."""
     x, y, part = training_rows(docs, sample_docs, sample_spans)
     fit, held = part == 0, part == 1
     if len(set(y[fit])) < 2 or len(set(y[held])) < 2:
