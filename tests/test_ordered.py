@@ -73,7 +73,7 @@ def test_gap_summary_of_a_large_group(skewed):
     assert same(rounded(plain), rounded(cut))
 
 
-def test_metrics_and_splits_in_chunks(spark):
+def test_metrics_in_chunks(spark):
     rng = random.Random(3)
     rows = [(f"g{i}", rng.randrange(2), float(rng.randrange(200))) for i in range(600)]
     scores = spark.createDataFrame(rows, "group_id string, label int, score double")
@@ -81,6 +81,5 @@ def test_metrics_and_splits_in_chunks(spark):
     assert a["roc_auc"] == pytest.approx(b["roc_auc"]) and a["average_precision"] == pytest.approx(b["average_precision"])
     for points in (metrics.roc_points, metrics.pr_points):
         assert same(points(scores), points(scores, hot_rows=20))
-    assert same(splits.protocol_splits(scores.drop("score"), 300), splits.protocol_splits(scores.drop("score"), 300, hot_rows=25))
     offsets = graphs.prefix_offsets(scores.select("group_id", F.lit(3).alias("n_nodes")))
     assert same(offsets, graphs.prefix_offsets(scores.select("group_id", F.lit(3).alias("n_nodes")), hot_rows=25))

@@ -1,6 +1,8 @@
 """Packed graphs: message passing, encoders and training agree with the joined forms, and plans move data as little as stated."""
 
+import hashlib
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -238,3 +240,16 @@ def test_capped_sizes_round_anomalies_first():
                 assert 0 <= got.normal <= n0 and 0 <= got.anomalous <= n1
     five = splits.capped_sizes(10, 10, 5)
     assert (five.normal, five.anomalous) == (3, 2)
+
+
+def test_places_without_sorting_a_class(spark):
+    rows = [(f"g{i}", i % 3 == 0) for i in range(3000)]
+    labels = spark.createDataFrame([(g, int(a)) for g, a in rows], "group_id string, label int")
+    want = {}
+    for label in (0, 1):
+        order = sorted((hashlib.md5(f"5:{g}".encode()).hexdigest(), g) for g, a in rows if a == label)
+        want.update({g: k for k, (_, g) in enumerate(order)})
+    placed = splits.hash_order(labels, 5)
+    assert {r["group_id"]: r["place"] for r in placed.collect()} == want
+    windows = re.findall(r"Window \[row_number\(\).*?\], \[(.*?)\], \[", plan_of(placed))
+    assert windows and all("__bucket" in w for w in windows)

@@ -25,7 +25,7 @@ def test_entry(spark):
 
 def test_only_model_queries_lack_sql():
     assert set(QUERIES) - set(ORACLE) == {
-        "svd_embedding", "one_class_scores", "temporal_fusion_scores", "timed_edge_scores", "timed_edge_fit",
+        "svd_embedding", "one_class_scores", "temporal_fusion_scores", "timed_edge_fit", "warmed_losses", "grid_losses",
     }
     assert set(oracle_sql()) <= set(queries())
 

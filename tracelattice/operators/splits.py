@@ -7,12 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelattice.operators.checks import fail_if_any
 from tracelattice.operators.graphs import GROUP
-from tracelattice.operators.ordered import ordered
 
 SPLITS = ("train", "validation", "test")
 TRAIN_SHARE = 0.70
@@ -23,10 +22,24 @@ def hash_key(seed: int, column: str = GROUP) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")))
 
 
-def hash_order(labels: DataFrame, seed: int, hot_rows: int | None = None) -> DataFrame:
-    """``labels`` with the 0-based place of every group in its class's random order."""
-    hashed = labels.withColumn("__hash", hash_key(seed))
-    return ordered(hashed, ["label"], ["__hash", GROUP], hot_rows).scan(position="place").drop("__hash")
+BUCKET_DIGITS = 3
+"""Leading hex digits of the hash that share a bucket: 4096 buckets a class."""
+
+
+def hash_order(labels: DataFrame, seed: int) -> DataFrame:
+    """``labels`` with the 0-based place of every group in its class's random order.
+
+    No class is sorted: hashes fall evenly into buckets by their first digits, a running count over the buckets tells where each
+    begins, and only inside a bucket are groups ordered.
+    """
+    hashed = labels.withColumns({"__hash": hash_key(seed), "__class": F.coalesce(F.col("label").cast("string"), F.lit("null"))})
+    hashed = hashed.withColumn("__bucket", F.substring("__hash", 1, BUCKET_DIGITS))
+    counts = hashed.groupBy("__class", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__class").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__class", "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__class", "__bucket").orderBy("__hash", GROUP)) - 1
+    placed = hashed.withColumn("__inside", inside).join(starts, ["__class", "__bucket"])
+    return placed.select(*labels.columns, (F.col("__start") + F.col("__inside")).alias("place"))
 
 
 def class_sizes(labels: DataFrame) -> tuple[int, int]:
@@ -35,14 +48,14 @@ def class_sizes(labels: DataFrame) -> tuple[int, int]:
     return counts.get(0, 0), counts.get(1, 0)
 
 
-def class_sample(labels: DataFrame, n: int, share: float, seed: int, hot_rows: int | None = None) -> DataFrame:
+def class_sample(labels: DataFrame, n: int, share: float, seed: int) -> DataFrame:
     """Exactly ``int(n * share)`` anomalous and ``int(n * (1 - share))`` normal groups."""
     anomalies, normals = int(n * share), int(n * (1 - share))
     have_normal, have_anomalous = class_sizes(labels)
     if normals > have_normal or anomalies > have_anomalous:
         raise ValueError("sample larger than a class")
     size = F.when(F.col("label") == 1, anomalies).otherwise(normals)
-    return hash_order(labels, seed, hot_rows).where(F.col("place") < size).drop("place")
+    return hash_order(labels, seed).where(F.col("place") < size).drop("place")
 
 
 def all_groups(labels: DataFrame) -> DataFrame:
@@ -86,7 +99,7 @@ def capped_sizes(n_normal: int, n_anomalous: int, n: int = 10000) -> SplitSizes:
     return SplitSizes(normal, anomalous, round(TRAIN_SHARE * normal), validation, min(validation, anomalous))
 
 
-def _assign(labels: DataFrame, sizes: SplitSizes, seed: int, hot_rows: int | None) -> DataFrame:
+def _assign(labels: DataFrame, sizes: SplitSizes, seed: int) -> DataFrame:
     place, normal = F.col("place"), F.col("label") == 0
     split = (
         F.when(normal & (place < sizes.train), "train")
@@ -95,22 +108,22 @@ def _assign(labels: DataFrame, sizes: SplitSizes, seed: int, hot_rows: int | Non
         .when(~normal & (place < sizes.validation_anomalous), "validation")
         .when(~normal & (place < sizes.anomalous), "test")
     )
-    assigned = hash_order(labels, seed, hot_rows).select(GROUP, "label", split.alias("split"))
+    assigned = hash_order(labels, seed).select(GROUP, "label", split.alias("split"))
     return assigned.where(F.col("split").isNotNull())
 
 
-def protocol_splits(labels: DataFrame, n: int = 10000, seed: int = 42, hot_rows: int | None = None) -> DataFrame:
+def protocol_splits(labels: DataFrame, n: int = 10000, seed: int = 42) -> DataFrame:
     """Down-sample to ``n`` groups and split 70/5/25 of the normal ones; validation gets as many
     anomalies as normals, test the rest, train none."""
     n_normal, n_anomalous = class_sizes(labels)
     sizes = protocol_sizes(n_normal, n_anomalous, n)
     if sizes.normal > n_normal or sizes.anomalous > n_anomalous:
         raise ValueError("sample larger than a class")
-    return _assign(labels, sizes, seed, hot_rows)
+    return _assign(labels, sizes, seed)
 
 
 def protocol_splits_from_log(
-    log: DataFrame, n: int = 10000, seed: int = 42, label: str = "label", hot_rows: int | None = None
+    log: DataFrame, n: int = 10000, seed: int = 42, label: str = "label"
 ) -> DataFrame:
     """The same protocol from labelled log rows; a class that is too small gives all it has."""
     from tracelattice.operators.graphs import group_labels
@@ -118,13 +131,13 @@ def protocol_splits_from_log(
 
     labels = group_labels(clean_labels(log, label), label)
     sizes = capped_sizes(*class_sizes(labels), n)
-    return _assign(labels, sizes, seed, hot_rows)
+    return _assign(labels, sizes, seed)
 
 
-def contaminate(splits: DataFrame, k: int, seed: int, hot_rows: int | None = None) -> DataFrame:
+def contaminate(splits: DataFrame, k: int, seed: int) -> DataFrame:
     """Move k anomalies from test to train, to probe robustness."""
     movable = splits.where("split = 'test' AND label = 1").select(GROUP, "label")
-    moved = hash_order(movable, seed, hot_rows).where(F.col("place") < k).select(GROUP, F.lit(True).alias("__moved"))
+    moved = hash_order(movable, seed).where(F.col("place") < k).select(GROUP, F.lit(True).alias("__moved"))
     return splits.join(moved, GROUP, "left").select(
         GROUP, "label", F.when(F.col("__moved"), "train").otherwise(F.col("split")).alias("split")
     )
