@@ -348,7 +348,7 @@ def alike(texts: DataFrame, lowest: DataFrame, width: int, least: float) -> Data
     group = Window.partitionBy("key", "salt").orderBy("n", "id")
     found = prefixes(texts, width, least).withColumn("before", F.lag("id").over(group)).withColumn("small", F.lag("n").over(group))
     found = found.withColumn("next", F.lead("id").over(group)).where("not id <=> before and (salt > 0 or before is not null or next is not null)")
-    shared = written(found.select("key", "n", "id", "before", "small"))
+    shared = written(found.select("key", "salt", "n", "id", "before", "small"))
 
     def enough(rows: DataFrame) -> DataFrame:
         """Pairs of (a, b, low, high) in as many rows as a similarity of `least` takes, with texts of low <= high shingles."""
@@ -363,9 +363,19 @@ def alike(texts: DataFrame, lowest: DataFrame, width: int, least: float) -> Data
         own = texts.join(asked, (F.col("id") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("low"))).groupBy("id").agg(F.first("text").alias("text"))
         return stored(verified(pairs, written(own), width, least))
 
-    first = shared.where("before is not null")
-    first = enough(first.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b"), F.col("small").alias("low"), F.col("n").alias("high")))
+    def neighbours(rows: DataFrame) -> DataFrame:
+        rows = rows.where("before is not null")
+        return enough(rows.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b"), F.col("small").alias("low"), F.col("n").alias("high")))
+
+    first = neighbours(shared)
     near = checked(first)
+    # Usual shingles were looked at within their salts, so that a large group is in as many parts: their heads meet now.
+    heads = connected(near).where("node = root").select(F.col("node").alias("id"))
+    of_key = Window.partitionBy("key").orderBy("n", "id")
+    rows = shared.where("salt > 0").select("key", "n", "id").join(heads, "id")
+    again = neighbours(rows.withColumn("before", F.lag("id").over(of_key)).withColumn("small", F.lag("n").over(of_key)))
+    again = stored(again.join(first, ["a", "b"], "left_anti"))
+    near, first = stored(near.unionByName(checked(again))), first.unionByName(again)
     rows = shared.select("key", "n", "id").join(connected(near).withColumnRenamed("node", "id"), "id", "left")
     rows = rows.select("key", "n", "id", F.coalesce("root", "id").alias("root"))
     x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("n", "id", "root"))) for side in "xy")
