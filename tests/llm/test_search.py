@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tracelattice.llm import decontam, lines, mixing, simhash, suffix
-from tracelattice.llm.common import connected, whole_text
+from tracelattice.llm.common import connected, hung, whole_text
 from tracelattice.llm.queries import ORACLE, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -135,6 +135,28 @@ def test_near_dedup_finds_cut_and_extended_copies(spark, monkeypatch):
     assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == want
 
 
+def test_near_dedup_searches_fingerprints(spark, copies, monkeypatch):
+    """Its candidates come from the pigeonhole search too, which connects the classes of op7 over five-word shingles."""
+    rows = spark.createDataFrame(copies, "doc_id long, text string")
+    texts = rows.select(F.xxhash64("text").alias("id"), "doc_id", "text")
+    least = {r.id: r.low for r in texts.groupBy("id").agg(F.min("doc_id").alias("low")).collect()}
+    pairs = [(least[r.a], least[r.b]) for r in simhash.probed(texts, 5, 4).collect()]
+    want = {r.doc_id: r.component_id for r in simhash.simhash_components(rows, width=5, radius=4).collect()}
+    assert pairs and classes(set(least.values()), pairs) == {i: want[i] for i in least.values()}
+    asked, search = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: asked.append(a) or search(*a, **k))
+    simhash.near_dedup(rows).collect()
+    assert asked
+
+
+def test_links_become_stars():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-200, 200, 250), rng.integers(-200, 200, 250)
+    want = {i: r for i, r in classes(set(a.tolist()) | set(b.tolist()), list(zip(a.tolist(), b.tolist()))).items() if i != r}
+    nodes, roots = hung(a, b)
+    assert dict(zip(nodes.tolist(), roots.tolist())) == want and len(nodes) == len(want)
+
+
 def test_connected(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)]

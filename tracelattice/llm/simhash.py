@@ -165,7 +165,7 @@ def links(fps: DataFrame, radius: int = 4, other_radius: int = BITS) -> DataFram
     """Pairs (a, b) of ids of `fps` (id, fp, other: long; ids distinct) within `radius` bits by fp and `other_radius` by other.
 
     Linear in size: where a task finds many pairs, a spanning subset of them is returned, so that connected components are
-    those of all pairs; pairs to be checked further must not come from here. A part value with more than HOT_ROWS fingerprints is dealt over several tasks: its probes are split,
+    those of all pairs; pairs that are checked further are then not all there are. A part value with more than HOT_ROWS fingerprints is dealt over several tasks: its probes are split,
     its filed fingerprints are copied to each. `fps` is read three times: pass a stored table.
     """
     n, both = bit_statistics(fps)
@@ -337,11 +337,22 @@ def prefixes(texts: DataFrame, width: int, least: float) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, schema)
 
 
-def alike(texts: DataFrame, lowest: DataFrame, width: int, least: float) -> DataFrame:
+def probed(texts: DataFrame, width: int, radius: int) -> DataFrame:
+    """Pairs (a, b) of ids of texts (id, text; equal texts have equal ids) that connect all those whose SimHash fingerprints of
+    `width`-word shingles differ by at most `radius` bits; the search runs over the distinct fingerprints."""
+    fps = stored(fingerprints(texts, (width,), ("id",)).withColumnRenamed(f"fp{width}", "fp").distinct())
+    least = stored(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    same = fps.join(least, "fp").where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    nodes = least.select(F.col("least").alias("id"), "fp", F.lit(0).cast("long").alias("other"))
+    return same.unionByName(links(nodes, radius))
+
+
+def alike(texts: DataFrame, lowest: DataFrame, width: int, least: float, radius: int) -> DataFrame:
     """Links (a, b) that connect all texts (id, doc_id, text; `lowest`: the smallest doc_id `low` of each id) with a Jaccard similarity of at least `least` over sets of word shingles.
 
-    Exact: what two texts share lies in the shared part of their prefixes or behind the prefix that ends first, hence the least
-    number of shared prefix shingles. First each text is compared with the next smaller one of its shingles, if enough of
+    Candidates come first from the fingerprints: the pigeonhole search of `links` finds those within `radius` bits, of which the
+    shingle sets keep the alike. What that misses is found exactly: what two texts share lies in the shared part of their prefixes or behind the prefix that ends first, hence the least
+    number of shared prefix shingles. With the fingerprints' pairs each text is compared with the next smaller one of its shingles, if enough of
     them agree on it; then all pairs that share enough and are not connected yet. Pairs grow with the square of a group
     only where texts share rare shingles and stay unlike.
     """
@@ -367,7 +378,7 @@ def alike(texts: DataFrame, lowest: DataFrame, width: int, least: float) -> Data
         rows = rows.where("before is not null")
         return enough(rows.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b"), F.col("small").alias("low"), F.col("n").alias("high")))
 
-    first = neighbours(shared)
+    first = stored(probed(texts, width, radius).unionByName(neighbours(shared)).distinct())
     near = checked(first)
     # Usual shingles were looked at within their salts, so that a large group is in as many parts: their heads meet now.
     heads = connected(near).where("node = root").select(F.col("node").alias("id"))
@@ -384,17 +395,17 @@ def alike(texts: DataFrame, lowest: DataFrame, width: int, least: float) -> Data
     return near.unionByName(checked(enough(pairs).join(first, ["a", "b"], "left_anti")))
 
 
-def near_dedup(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
     """The rows of `docs` without near copies: of each group the row with the smallest doc_id stays.
 
     Groups are connected by equal texts and by all pairs with Jaccard similarity of at least `least` over `width`-word
-    shingles. Null and empty texts are equal texts. Columns stay as they are; of repeated rows one stays; null ids come last.
+    shingles; SimHash candidates within `radius` bits come first, an exact search finds the rest. Null and empty texts are equal texts. Columns stay as they are; of repeated rows one stays; null ids come last.
     """
     ident = F.xxhash64(whole_text())
     marked = docs.withColumn("__llm_id", ident)
     of = stored(marked.select("__llm_id", "doc_id").groupBy("__llm_id").agg(F.min("doc_id").alias("low")))
     texts = docs.select(ident.alias("id"), "doc_id", whole_text().alias("text"))
-    roots = connected(stored(alike(texts, of.withColumnRenamed("__llm_id", "id"), width, least)))
+    roots = connected(stored(alike(texts, of.withColumnRenamed("__llm_id", "id"), width, least, radius)))
     of = of.join(roots, of.__llm_id == roots.node, "left").select("__llm_id", "low", F.coalesce("root", "__llm_id").alias("__llm_root"))
     of = of.join(of.groupBy("__llm_root").agg(F.min("low").alias("__llm_least")), "__llm_root").select("__llm_id", "__llm_root", "__llm_least")
     kept = marked.join(of, "__llm_id").where(F.col("doc_id").eqNullSafe(F.col("__llm_least")))
