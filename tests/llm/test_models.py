@@ -135,6 +135,32 @@ def test_ngram_scores_equal_recursion(spark):
         assert np.allclose([w[4:] for w in want], [h[4:] for h in have])
 
 
+def test_every_word_has_contexts(spark):
+    """No vocabulary bounds the higher orders: words seen once have bigrams and trigrams too."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randrange(0, 60)))) for i in range(200)]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[::9])]
+    tokens = [[*t.split(), "\n"] for _, t in rows]
+    learn = [zlib.crc32(str(d).encode()) % 5 != 1 for d, _ in rows]
+    many = Counter(tuple(t[i : i + n]) for t, k in zip(tokens, learn) if k for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    one = {g: c for g, c in many.items() if len(g) == 1}
+    total, kinds, seen = sum(one.values()), len(one), defaultdict(float)
+    for g, c in many.items():
+        seen[g[:-1]] += c - 0.75
+
+    def p(h, w):
+        if not h:
+            return (one.get((w,), 0) + 0.5) / (total + 0.5 * (kinds + 1))
+        if h not in seen:
+            return p(h[1:], w)
+        return max(many.get((*h, w), 0) - 0.75, 0) / many[h] + (1 - seen[h] / many[h]) * p(h[1:], w)
+
+    want = {d: sum(math.log10(p(tuple(t[max(0, i - 2) : i]), w)) for i, w in enumerate(t)) for (d, _), t in zip(rows, tokens)}
+    for block_bytes in (1 << 20, 900):
+        got = {r.doc_id: r.score for r in ngrams.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=block_bytes).collect()}
+        assert got.keys() == want.keys() and np.allclose([got[d] for d in want], list(want.values()))
+
+
 def test_digests(spark):
     rng = random.Random(9)
     text = " ".join(rng.choice(("alpha", "beta", "gamma", "delta", "epsilon", "zeta")) + str(rng.randrange(99)) for _ in range(600))
