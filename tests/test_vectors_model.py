@@ -253,3 +253,14 @@ def test_timed_gradients_and_training(spark, adj, x):
     fitted, history = timed.fit_timed(rows, edges, timed.new_timed_model(5, 6, 2), O.staged(4, 2, 0.05, 0.01))
     assert history[-1][1] < history[0][1]
     assert timed.timed_score(rows, edges, fitted).count() == len(SIZES)
+
+
+def test_term_counts_are_stored_compressed(spark):
+    texts = spark.createDataFrame([(1, "red blue red"), (2, "blue"), (None, "blue green"), (3, None)], "id long, text string")
+    weights = text.tfidf(texts, "id", stop=())
+    assert weights.inputFiles() and all(f.endswith(".parquet") for f in weights.inputFiles())
+    idf = {"red": np.log(5 / 2) + 1, "blue": np.log(5 / 4) + 1}
+    length = np.hypot(2 * idf["red"], idf["blue"])
+    want = {(1, "red"): 2 * idf["red"] / length, (1, "blue"): idf["blue"] / length, (2, "blue"): 1.0}
+    got = {(r.id, r.term): r.weight for r in weights.collect()}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))

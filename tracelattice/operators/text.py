@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracelattice.functions.scalars import WHITE_SPACE, clean_text
 from tracelattice.functions.vectors import l2_normalise, vector_sum
 from tracelattice.operators.propagate import dense
-from tracelattice.session import cut_lineage
+from tracelattice.session import cut_lineage, stored_table
 
 
 def messages(log: DataFrame, column: str = "message") -> DataFrame:
@@ -49,7 +49,7 @@ def tfidf(
     """``key, term, weight`` with rows of unit length over all terms, or over the ``size`` most frequent."""
     n_docs = texts.count()
     # Counted once and stored: tokenising the texts again for the vocabulary would cost more.
-    counts = cut_lineage(term_counts(tokens(texts, key, text, stop), key))
+    counts = stored_table(term_counts(tokens(texts, key, text, stop), key))
     words = vocabulary(counts, n_docs, size)
     weighted = counts.join(words, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

@@ -71,3 +71,11 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder name inside the shared checkpoint folder."""
     _ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def stored_table(df: DataFrame) -> DataFrame:
+    """The same rows as a compressed Parquet table in the shared folder, read again: for tables of many rows."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
