@@ -253,3 +253,81 @@ def test_places_without_sorting_a_class(spark):
     assert {r["group_id"]: r["place"] for r in placed.collect()} == want
     windows = re.findall(r"Window \[row_number\(\).*?\], \[(.*?)\], \[", plan_of(placed))
     assert windows and all("__bucket" in w for w in windows)
+
+
+def naive_timed_gradients(model, g):
+    """Loss and numeric check values of a timed model, graph by graph and edge by edge."""
+    total = 0.0
+    w, c = model.weights, np.asarray(model.centre)
+    for k in range(len(g.sizes)):
+        nodes, edges = range(g.starts[k], g.starts[k + 1]), range(g.cuts[k], g.cuts[k + 1])
+        pre, end = {i: g.x[i] @ w["W1"] for i in nodes}, np.zeros(len(c))
+        for j in edges:
+            for layer in (1, 2):
+                h = g.e[j] @ w[f"tU{layer}"]
+                h = (h - h.mean()) / np.sqrt(h.var() + 1e-5)
+                out = w[f"alpha{layer}"][0] * np.tanh(np.maximum(h * w[f"tgain{layer}"] + w[f"tshift{layer}"], 0) @ w[f"tV{layer}"])
+                if layer == 1:
+                    pre[g.dst[j]] = pre[g.dst[j]] + out
+                else:
+                    end = end + out / g.sizes[k]
+        z = sum(g.s[i] * np.maximum(pre[i], 0) for i in nodes) @ w["W2"] + end
+        total += ((z - c) ** 2).sum()
+    return total
+
+
+def test_edges_without_timing_go_through_the_branch_once(monkeypatch):
+    """The value at zero is shared by all edges that the normalisation added; the gradients are those of all of them."""
+    from dataclasses import replace
+
+    from tracelattice.plans.training import Graphs
+
+    rng = np.random.default_rng(4)
+    sizes, n_edges = np.array([1, 3, 2, 20]), np.array([1, 6, 0, 45])
+    starts, cuts = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(n_edges))
+    dst = np.concatenate([rng.integers(0, n, m) for n, m in zip(sizes, n_edges)]) + np.repeat(starts[:-1], n_edges)
+    e = rng.normal(size=(cuts[-1], 2))
+    e[rng.random(len(e)) < 0.6] = 0
+    g = Graphs(rng.normal(size=(starts[-1], 4)), rng.random(starts[-1]), starts, None, dst, e, cuts)
+    model = timed.new_timed_model(4, 5, 3, alpha=0.4)
+    weights = {k: v + 0.1 * rng.normal(size=v.shape) for k, v in model.weights.items()}
+    model = replace(model, weights=weights, centre=list(rng.normal(size=5)))
+    widths, branch = [], timed.timing_branch
+    monkeypatch.setattr(timed, "timing_branch", lambda t, p: (widths.append(len(t)), branch(t, p))[1])
+    got = timed.TIMED_EDGES.gradients(model, g, True)
+    assert set(widths) == {1 + e.any(axis=1).sum()}
+    assert got["loss"][0] == pytest.approx(naive_timed_gradients(model, g))
+    assert set(got) == {*weights, "loss"}
+    for name, w in weights.items():
+        for at in list(np.ndindex(w.shape))[::3]:
+            up, down = ({**weights, name: w.copy()} for _ in range(2))
+            up[name][at] += 1e-6
+            down[name][at] -= 1e-6
+            slope = (naive_timed_gradients(replace(model, weights=up), g) - naive_timed_gradients(replace(model, weights=down), g)) / 2e-6
+            assert np.reshape(got[name], w.shape)[at] == pytest.approx(slope, abs=1e-5), name
+
+
+def test_frozen_stages_leave_the_encoder_out():
+    from tracelattice.plans.training import Graphs
+
+    rng = np.random.default_rng(5)
+    starts = np.array([0, 2, 5, 30])
+    g = Graphs(rng.normal(size=(30, 4)), rng.random(30), starts, rng.normal(size=(3, 2)))
+    model = O.new_model(4, 5, 3, timing_width=2, alpha=0.3)
+    model.centre.extend(rng.normal(size=5))
+    whole, frozen = (O.ONE_CLASS.gradients(model, g, base) for base in (True, False))
+    assert set(whole) - set(frozen) == {"W1", "W2"}
+    for name, v in frozen.items():
+        np.testing.assert_allclose(v, whole[name])
+
+
+def test_runs_and_segments_are_summed():
+    rng = np.random.default_rng(6)
+    sizes = np.array([1, 40, 2, 16, 17, 3])
+    starts, values = np.append(0, np.cumsum(sizes)), rng.normal(size=(79, 3))
+    want = np.array([values[a:b].sum(axis=0) for a, b in zip(starts, starts[1:])])
+    np.testing.assert_allclose(packed.run_sums(values, starts), want)
+    keys, order = np.repeat([5, 0, 3, 7, 2, 1], sizes), rng.permutation(79)
+    got = packed.segment_sums(keys[order], values[order], 9)
+    np.testing.assert_allclose(got[[5, 0, 3, 7, 2, 1]], want)
+    assert not got[[4, 6, 8]].any()
