@@ -89,8 +89,8 @@ def leading_directions(weights: DataFrame, key: str, k: int, rounds: int = 6, ov
     values = np.zeros(0)
     for _ in range(rounds):
         block = block.select("term", dense(turn)(F.col("q")).alias("q"))
-        rows = weights.join(block, "term").groupBy(key).agg(vector_sum(F.col("q"), F.col("weight")).alias("z"))
-        product = weights.join(rows, key).groupBy("term").agg(vector_sum(F.col("z"), F.col("weight")).alias("y"))
+        rows = weights.join(block, "term").groupBy(key).agg(vector_sum(F.col("q"), F.col("weight"), turn.shape[1]).alias("z"))
+        product = weights.join(rows, key).groupBy("term").agg(vector_sum(F.col("z"), F.col("weight"), turn.shape[1]).alias("y"))
         both = cut_lineage(product.join(block, "term"))
         inner, outer = grams(both, turn.shape[1], ("q", "y"), ("y", "y"))
         spread, axes = np.linalg.eigh((inner + inner.T) / 2)
@@ -108,12 +108,12 @@ def leading_directions(weights: DataFrame, key: str, k: int, rounds: int = 6, ov
 def svd_embedding(weights: DataFrame, texts: DataFrame, key: str, k: int, rounds: int = 6) -> DataFrame:
     """Unit vectors ``vec`` of length k: texts projected on the leading singular directions, without
     centring. A text without terms gets zeros, and so do directions beyond the rank of the matrix."""
-    weights = cut_lineage(weights.select(key, "term", "weight"))
+    weights = stored_table(weights.select(key, "term", "weight"))
     zero = F.array(*[F.lit(0.0)] * k)
     if weights.limit(1).count() == 0:
         return texts.select(key, zero.alias("vec"))
     basis, values = leading_directions(weights, key, k, rounds)
-    projected = weights.join(basis, "term").groupBy(key).agg(vector_sum(F.col("basis"), F.col("weight")).alias("vec"))
+    projected = weights.join(basis, "term").groupBy(key).agg(vector_sum(F.col("basis"), F.col("weight"), len(values)).alias("vec"))
     padded = F.concat("vec", F.array_repeat(F.lit(0.0), k - len(values)))
     return texts.select(key).join(projected, key, "left").select(
         key, l2_normalise(F.coalesce(padded, zero)).alias("vec")
