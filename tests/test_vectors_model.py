@@ -264,3 +264,12 @@ def test_term_counts_are_stored_compressed(spark):
     want = {(1, "red"): 2 * idf["red"] / length, (1, "blue"): idf["blue"] / length, (2, "blue"): 1.0}
     got = {(r.id, r.term): r.weight for r in weights.collect()}
     assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+
+
+def test_weights_of_the_projection_are_stored_compressed(spark):
+    rows = [(1, "a", 0.6), (1, "b", 0.8), (2, "a", 1.0)]
+    weights = spark.createDataFrame(rows, "id long, term string, weight double")
+    texts = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    out = text.svd_embedding(weights, texts, "id", 1, rounds=1)
+    assert out.inputFiles() and all(f.endswith(".parquet") for f in out.inputFiles())
+    assert {r.id: [round(abs(v), 6) for v in r.vec] for r in out.collect()} == {1: [1.0], 2: [1.0], 3: [0.0]}
