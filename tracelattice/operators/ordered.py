@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelattice.session import cut_lineage
+from tracelattice.session import cut_lineage, spread
 
 HOT_ROWS = 2_000_000
 """A group above this many rows is cut into chunks."""
@@ -34,6 +34,7 @@ class Ordered:
     order: tuple[str, ...]
     cuts: DataFrame | None
     hot_rows: int = HOT_ROWS
+    rows: int = 0  # of df, if a group is large
 
     @property
     def is_hot(self) -> bool:
@@ -72,7 +73,7 @@ class Ordered:
         chunked = self.chunked()
         parts = [*self.keys, CHUNK]
         follows = has_next or "__has_next"
-        inside = chunked.select("*", *self._windowed(parts, lead, running, position, follows))
+        inside = spread(chunked, self.rows, parts).select("*", *self._windowed(parts, lead, running, position, follows))
 
         first = F.struct(F.lit(True).alias("__present"), *[F.col(c) for c in dict.fromkeys(lead.values())])
         seams = (
@@ -128,7 +129,12 @@ def ordered(
     """Prepare ordered work. ``order`` must be a total order inside each group."""
     keys, order = tuple(keys), tuple(order)
     hot_rows = hot_rows or HOT_ROWS
-    return Ordered(df, keys, order, _find_cuts(df, keys, order, hot_rows), hot_rows)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    found = sizes.agg(F.sum("__n").alias("rows"), F.max("__n").alias("largest")).first()
+    rows = found["rows"] or 0
+    if not rows or found["largest"] <= hot_rows:
+        return Ordered(spread(df, rows, keys), keys, order, None, hot_rows)
+    return Ordered(df, keys, order, _find_cuts(df, sizes, keys, order, hot_rows), hot_rows, rows)
 
 
 def plain(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Ordered:
@@ -136,12 +142,10 @@ def plain(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Ordered:
     return Ordered(df, tuple(keys), tuple(order), None)
 
 
-def _find_cuts(df: DataFrame, keys, order, hot_rows: int) -> DataFrame | None:
-    """Cut points of every group above ``hot_rows``, as a stored table; None if there is no such group."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    targets = cut_lineage(sizes.select(*keys, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__chunks")))
-    if targets.isEmpty():
-        return None
+def _find_cuts(df: DataFrame, sizes: DataFrame, keys, order, hot_rows: int) -> DataFrame:
+    """Cut points of every group above ``hot_rows``, as a stored table."""
+    chunks = F.ceil(F.col("__n") / hot_rows).cast("int").alias("__chunks")
+    targets = cut_lineage(sizes.where(F.col("__n") > hot_rows).select(*keys, chunks))
     # A hash sample is the same on every retry; its expected size is SAMPLES_PER_CHUNK per chunk.
     buckets = max(1, hot_rows // SAMPLES_PER_CHUNK)
     point = F.struct(*order)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+TASK_ROWS = 1 << 17
+"""Rows that one task of a stage of windows or joins sorts and aggregates; tables of more rows go over more tasks."""
+
 
 def build_session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are designed for."""
@@ -79,3 +84,17 @@ def stored_table(df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_tasks(spark: SparkSession, rows: int) -> int | None:
+    """How many tasks ``rows`` rows need, or None if those that Spark takes by itself are enough."""
+    usual = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = math.ceil(rows / TASK_ROWS)
+    return tasks if tasks > usual else None
+
+
+def spread(df: DataFrame, rows: int, keys: Sequence[str]) -> DataFrame:
+    """``df`` placed by ``keys`` over tasks in proportion to its ``rows``, as it is if these are few: Spark's own number of
+    partitions is fixed, so that a task would grow with the table. Windows and aggregates by the keys stay there."""
+    tasks = spread_tasks(df.sparkSession, rows)
+    return df if tasks is None or not keys else df.repartition(tasks, *keys)
