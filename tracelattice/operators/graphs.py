@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracelattice.functions.scalars import clamped_gap, finite_or
 from tracelattice.operators.ordered import Ordered, ordered, plain
-from tracelattice.session import cut_lineage
+from tracelattice.session import cut_lineage, spread_tasks
 
 GROUP = "group_id"
 
@@ -189,7 +189,8 @@ def graphs_of(step: Steps, singletons: str = "skip", min_edges: int = 0, store:
     if hot or store:
         trans = cut_lineage(trans)
         if not hot:  # placed by group once for nodes, edges and sizes
-            trans = trans.repartition(GROUP)
+            tasks = spread_tasks(trans.sparkSession, trans.count())
+            trans = trans.repartition(GROUP) if tasks is None else trans.repartition(tasks, GROUP)
     graphs = graph_stats(trans, singletons)
     if min_edges > 0:
         graphs = min_edges_only(graphs, min_edges)
