@@ -162,6 +162,19 @@ def test_second_order_of_directed_graphs(spark):
         np.testing.assert_allclose(got[g], want, atol=1e-12)
 
 
+@pytest.mark.parametrize("small", [0, 12, 2048])
+def test_second_order_by_size(tables, small):
+    """Small graphs give their second order in a task, without the joins of large ones."""
+    first = A.norm_ppr(*tables).localCheckpoint()
+    got = A.norm_second_order(first, tables[1], small)
+    want, dense_got = dense(A._second_by_joins(first, tables[1])), dense(got)
+    assert dense_got.keys() == want.keys()
+    for g in want:
+        np.testing.assert_allclose(dense_got[g], want[g], atol=1e-12)
+    if small == 2048:
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_second_order_of_a_large_star(spark):
     """A hub of 100,000 leaves: its square is never written out."""
     leaves = 100_000

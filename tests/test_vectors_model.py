@@ -73,6 +73,28 @@ def test_inception(adj, x):
             np.testing.assert_allclose(got[g, i], h[i])
 
 
+def test_inception_packed_and_joined(spark):
+    """A node reached by edges alone, a node of two rows, a graph without edges, different orders; packed graphs take no join."""
+    edge, node = "group_id string, src int, dst int, w double", "group_id string, node_id int, x array<double>"
+    first = spark.createDataFrame([("p", 0, 1, 0.5), ("p", 1, 2, 2.0), ("p", 0, 0, 0.0), ("q", 0, 0, 1.0)], edge)
+    second = spark.createDataFrame([("p", 2, 0, 1.5), ("p", 1, 1, 1.0), ("r", 0, 0, 1.0)], edge)
+    x = spark.createDataFrame([("p", 0, [1.0, 2.0, 3.0]), ("p", 0, [0.5, 0.0, 1.0]), ("p", 1, [0.0, -1.0, 1.0]), ("q", 0, [1.0, 1.0, 1.0]), ("s", 0, [2.0, 0.0, 0.0])], node)
+    rng = np.random.default_rng(1)
+    blocks = [{n: rng.normal(size=s) for n in ("W0", "W1", "W2")} for s in ((3, 4), (4, 2), (2, 2))]
+    blocks[0]["b0"] = rng.normal(size=4)
+    results = []
+    for limit in (propagate.INCEPTION_LIMIT, 4, 0):
+        out = propagate.encode_inception(first, second, x, blocks, limit)
+        results.append({(r["group_id"], r["node_id"]): r["x"] for r in out.collect()})
+        if limit == propagate.INCEPTION_LIMIT:
+            assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert set(results[0]) == {("p", 0), ("p", 1), ("p", 2), ("q", 0), ("s", 0)}
+    for other in results[1:]:
+        assert set(other) == set(results[0])
+        for key, value in other.items():
+            np.testing.assert_allclose(results[0][key], value)
+
+
 def branch(t, p):
     h = t @ p["U"]
     h = (h - h.mean(axis=-1, keepdims=True)) / np.sqrt(h.var(axis=-1, keepdims=True) + 1e-5)

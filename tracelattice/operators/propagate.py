@@ -6,8 +6,11 @@ numpy arrays whose size depends on the model, not on the data.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from tracelattice.functions.vectors import (
     concat_array_columns, constant, l2, plus, scaled, vector_max, vector_mean, vector_sum,
 )
 from tracelattice.operators.graphs import GROUP
-from tracelattice.session import cut_lineage
+from tracelattice.session import cut_lineage, spread
 
 POOLS = {
     "mean": vector_mean,
@@ -169,8 +172,32 @@ def encode(adj: DataFrame, x: DataFrame, w1: np.ndarray, w2: np.ndarray, layers:
     return encode_rows(encoder_rows(adj, x, layers, w1.shape[0]), w1, w2)
 
 
-def encode_inception(adj1: DataFrame, adj2: DataFrame, x: DataFrame, blocks: list[dict[str, np.ndarray]]) -> DataFrame:
-    """Node vectors after blocks of ``x W0 + b0 + conv1(x) + conv2(x)`` over both adjacency orders."""
+INCEPTION_LIMIT = 4096
+"""Nodes and edges of both orders up to which a graph travels as one row."""
+INCEPTION_VALUES = 1 << 21
+"""Numbers of node vectors that one step of the packed form holds."""
+
+
+def encode_inception(
+    adj1: DataFrame, adj2: DataFrame, x: DataFrame, blocks: list[dict[str, np.ndarray]], limit: int = INCEPTION_LIMIT
+) -> DataFrame:
+    """Node vectors after blocks of ``x W0 + b0 + conv1(x) + conv2(x)`` over both adjacency orders. Nodes are numbered 0 … n-1.
+
+    A graph of at most ``limit`` nodes and edges is one row and takes all blocks in one task; larger graphs take them as joins.
+    """
+    edges = [a.where("w > 0").select(GROUP, F.lit(k).alias("k"), "src", "dst", "w") for k, a in ((1, adj1), (2, adj2))]
+    both = edges[0].unionByName(edges[1])
+    sizes = both.select(GROUP).unionByName(x.select(GROUP)).groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"))
+    most, rows = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if most <= limit:
+        return _inception_in_tasks(both, x, blocks, rows)
+    large = cut_lineage(sizes.where(F.col("n") > limit).select(GROUP))
+    small = _inception_in_tasks(both.join(large, GROUP, "left_anti"), x.join(large, GROUP, "left_anti"), blocks, rows)
+    wide = _inception_by_joins(*(t.join(large, GROUP, "left_semi") for t in (adj1, adj2, x)), blocks)
+    return small.unionByName(wide)
+
+
+def _inception_by_joins(adj1: DataFrame, adj2: DataFrame, x: DataFrame, blocks: list[dict[str, np.ndarray]]) -> DataFrame:
     for block in blocks:
         own = x.select(GROUP, "node_id", dense(block["W0"], bias=block.get("b0"))(F.col("x")).alias("x"))
         parts = [own]
@@ -182,6 +209,65 @@ def encode_inception(adj1: DataFrame, adj2: DataFrame, x: DataFrame, blocks: lis
     return x
 
 
+def _inception_in_tasks(edges: DataFrame, x: DataFrame, blocks: list[dict[str, np.ndarray]], rows: int) -> DataFrame:
+    """All blocks over packed graphs. ``edges`` of order ``k``; ``rows``: how many rows both tables have."""
+    lists = spread(edges, rows, [GROUP]).groupBy(GROUP).agg(F.collect_list(F.struct("k", "src", "dst", "w")).alias("edges"))
+    nodes = spread(x.select(GROUP, "node_id", "x"), rows, [GROUP]).groupBy(GROUP).agg(F.collect_list(F.struct("node_id", "x")).alias("nodes"))
+    empty = F.array().cast(lists.schema["edges"].dataType)
+    packs = nodes.join(lists, GROUP, "left").select(GROUP, "nodes", F.coalesce("edges", empty).alias("edges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = sum(np.diff(batch.column(c).offsets.to_numpy()) for c in ("nodes", "edges"))
+            width = len(batch.column("nodes").flatten().field("x")[0])
+            load = np.cumsum(size.astype(np.int64) * width) // INCEPTION_VALUES
+            cuts = [0, *(np.flatnonzero(np.diff(load)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                yield _inception_batch(batch.slice(a, b - a), blocks)
+
+    return packs.mapInArrow(run, f"{GROUP} string, node_id int, x array<double>")
+
+
+def _inception_batch(batch: pa.RecordBatch, blocks: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+    """The blocks over some packed graphs at once. A node that only edges name has no vector until a message reaches it."""
+    graph = [np.repeat(np.arange(batch.num_rows), np.diff(batch.column(c).offsets.to_numpy())) for c in ("nodes", "edges")]
+    inside, ends = batch.column("nodes").flatten(), batch.column("edges").flatten()
+    node, src, dst = (a.to_numpy().astype(np.int64) for a in (inside.field("node_id"), ends.field("src"), ends.field("dst")))
+    span = 1 + max(int(a.max(initial=0)) for a in (node, src, dst))
+    keys, place = np.unique(np.concatenate([graph[0] * span + node, graph[1] * span + src, graph[1] * span + dst]), return_inverse=True)
+    at, src, dst = np.split(place, [len(node), len(node) + len(src)])
+    kind, w = ends.field("k").to_numpy(), ends.field("w").to_numpy()
+    vectors = inside.field("x").flatten().to_numpy().reshape(len(node), -1)
+    held = np.bincount(at, minlength=len(keys)).astype(float)  # rows of a node that hold its vector
+    if len(node) and held.max() > 1:
+        x = _sums_by(at, vectors, len(keys))
+    else:
+        x = np.zeros((len(keys), vectors.shape[1]))
+        x[at] = vectors
+    for block in blocks:
+        out = x @ block["W0"]
+        if block.get("b0") is not None:
+            out += held[:, None] * block["b0"]
+        reached = held > 0
+        for k, name in ((1, "W1"), (2, "W2")):
+            sent = (kind == k) & (held[src] > 0)
+            moved = x @ block[name]
+            out += _sums_by(dst[sent], w[sent, None] * moved[src[sent]], len(keys))
+            reached[dst[sent]] = True
+        x, held = out, reached.astype(float)
+    kept = np.flatnonzero(held > 0)
+    starts = pa.array(np.arange(len(kept) + 1, dtype=np.int32) * x.shape[1])
+    columns = [batch.column(GROUP).take(pa.array(keys[kept] // span)), pa.array((keys[kept] % span).astype(np.int32))]
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(starts, pa.array(x[kept].ravel()))], [GROUP, "node_id", "x"])
+
+
+def _sums_by(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` summed by key (0 … n-1)."""
+    return np.stack([np.bincount(keys, column, minlength=n) for column in values.T], axis=1)
+
+
 def encode_timed(
     adj: DataFrame, x: DataFrame, timing: DataFrame, layers: list[dict], alpha: float = 0.05
 ) -> DataFrame:
