@@ -83,3 +83,24 @@ def test_order_of_times_counts(spark):
     edges = spark.createDataFrame([("g", "a", "b", 2.0), ("g", "b", "a", 2.0), ("g", "a", "c", -1.0)], EDGE)
     got = {(r["src"], r["dst"]): r["confidence"] for r in X.causal_edges(nodes, edges).collect()}
     assert got == pytest.approx({("a", "b"): 0.55 + 0.0125 + 0.2, ("b", "a"): 1.0, ("a", "c"): 0.45})
+
+
+def test_queries_of_paths_start_from_stored_subgraphs(spark, tmp_path):
+    """Graphs are cut out and explained in stages of their own: no window but the rank stands in the plans of the explanations."""
+    from tracelattice.plans import queries as Q
+
+    log = [(i, f"2024-01-0{1 + i % 3} 00:0{i % 10}:{i % 60:02d}", i % 4, ("view", "error", "click")[i * i % 3]) for i in range(60)]
+    rows = spark.createDataFrame(log, "event_id long, ts string, user_id long, event_type string")
+    rows = rows.selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type", "0d value", "'{}' props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    nodes, edges = X.influential_subgraph(*Q.anomalous_graphs(spark, str(tmp_path)), Q.TOP_K)
+    want = X.causal_edges(nodes, edges)
+    paths = Q.simple_paths(spark, str(tmp_path))
+    ranked = Q.causal_edges(spark, str(tmp_path))
+    assert paths._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 0
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
+    expected = {(r["group_id"], r["src"], r["dst"]): r["confidence"] for r in want.collect()}
+    got = {(r["group_id"], r["src"], r["dst"]): r["confidence"] for r in ranked.collect()}
+    assert got == pytest.approx(expected, abs=1e-6) and len(got) > 3
+    wanted = {(r["group_id"], ">".join(r["path"])): r["confidence"] for r in X.simple_paths(want, Q.MAX_HOPS).collect()}
+    assert {(r["group_id"], r["path"]): r["confidence"] for r in paths.collect()} == pytest.approx(wanted, abs=1e-6)

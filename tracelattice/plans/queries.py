@@ -876,6 +876,13 @@ def explained(spark, folder) -> explain.RootCauses:
     return explain.root_causes(*anomalous_graphs(spark, folder), TOP_K, MAX_HOPS, CHAIN_LIMIT)
 
 
+def stored_subgraph(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """The influential sub-graphs of the anomalous user-day graphs, stored: what follows them is a stage of its own, so that no
+    task holds the sorts and aggregates of both."""
+    nodes, edges = explain.influential_subgraph(*anomalous_graphs(spark, folder), TOP_K)
+    return adjacency.cut_lineage(nodes), adjacency.cut_lineage(edges)
+
+
 @query
 def influential_subgraph(spark, folder):
     """Kept nodes (``dst`` null, with their importance) and the edges among them (with their weight)."""
@@ -886,7 +893,7 @@ def influential_subgraph(spark, folder):
 
 @query
 def causal_edges(spark, folder):
-    nodes, edges = explain.influential_subgraph(*anomalous_graphs(spark, folder), TOP_K)
+    nodes, edges = stored_subgraph(spark, folder)
     ranked = explain.rank_edges(
         explain.causal_edges(nodes, edges).withColumn("confidence", F.round("confidence", 9))
     )
@@ -895,8 +902,8 @@ def causal_edges(spark, folder):
 
 @query
 def simple_paths(spark, folder):
-    nodes, edges = explain.influential_subgraph(*anomalous_graphs(spark, folder), TOP_K)
-    paths = explain.simple_paths(explain.causal_edges(nodes, edges), MAX_HOPS)
+    cedges = adjacency.cut_lineage(explain.causal_edges(*stored_subgraph(spark, folder)))
+    paths = explain.simple_paths(cedges, MAX_HOPS)
     return paths.select("group_id", F.array_join("path", ">").alias("path"), r6("confidence"))
 
 
