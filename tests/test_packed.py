@@ -331,3 +331,20 @@ def test_runs_and_segments_are_summed():
     got = packed.segment_sums(keys[order], values[order], 9)
     np.testing.assert_allclose(got[[5, 0, 3, 7, 2, 1]], want)
     assert not got[[4, 6, 8]].any()
+
+
+def test_labels_and_timing_that_come_with_the_packs(spark, tables, summary):
+    """Scores and sums are those of tables joined later; the wide rows are not joined any more."""
+    sizes, edges, x = tables
+    model = O.new_model(4, 5, 3, timing_width=2, alpha=0.3)
+    labels = spark.createDataFrame([(g, k % 2) for k, g in enumerate(SIZES)], "group_id string, label int")
+    for limit in (4, packed.LIMIT):
+        plain = O.encoder_tables(sizes, edges, x, limit=limit)
+        whole = O.encoder_tables(sizes, edges, x, limit=limit, inner=summary, left=labels)
+        some = labels.where("label = 0")
+        (a,) = centred(O.train_tables(plain.where(some), summary), O.ONE_CLASS, [model])
+        (b,) = centred(O.train_tables(whole.where(some, "label = 0"), summary), O.ONE_CLASS, [model])
+        np.testing.assert_allclose(b.centre, a.centre)
+        scores = [O.score_tables(d, a, labels, summary).drop("score_sq", "label") for d in (plain, whole)]
+        same(values(scores[1], "group_id"), values(scores[0], "group_id"))
+    assert scores[1]._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the labels
