@@ -295,3 +295,28 @@ def test_weights_of_the_projection_are_stored_compressed(spark):
     out = text.svd_embedding(weights, texts, "id", 1, rounds=1)
     assert out.inputFiles() and all(f.endswith(".parquet") for f in out.inputFiles())
     assert {r.id: [round(abs(v), 6) for v in r.vec] for r in out.collect()} == {1: [1.0], 2: [1.0], 3: [0.0]}
+
+
+def test_projection_by_blocks_keeps_one_round_on_disk(spark, monkeypatch):
+    """Blocks of one or two texts, terms in one and in many of them; a text without key takes no part."""
+    import os
+
+    monkeypatch.setattr(text, "BLOCK_WEIGHTS", 4)
+    rng = np.random.default_rng(4)
+    m = np.where(rng.random((9, 12)) < 0.4, rng.random((9, 12)), 0.0)
+    rows = [(int(i), f"t{j:02}", float(m[i, j])) for i, j in zip(*np.nonzero(m))] + [(None, "t00", 5.0), (None, "other", 7.0)]
+    weights = spark.createDataFrame(rows, "id long, term string, weight double")
+    texts = spark.createDataFrame([(i,) for i in [*range(9), 3, None]], "id long")
+    adjacency.cut_lineage(texts)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = text.svd_embedding(weights, texts, "id", 3, rounds=4).collect()
+    assert len(set(os.listdir(folder)) - before) == 2  # the blocks and the last round
+    values = np.linalg.svd(m)
+    basis = values[2][:3].T
+    basis = basis * np.sign(basis[np.abs(basis).argmax(axis=0), range(3)])
+    want = m @ basis
+    want = want / np.linalg.norm(want, axis=1, keepdims=True)
+    assert len(out) == 11 and all(r.vec == [0.0] * 3 for r in out if r.id is None)
+    got = np.array([r.vec for r in sorted((r for r in out if r.id is not None), key=lambda r: r.id)])
+    np.testing.assert_allclose(got, want[sorted([*range(9), 3])], atol=1e-6)

@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelattice.functions.scalars import WHITE_SPACE, clean_text
 from tracelattice.functions.vectors import l2_normalise, vector_sum
+from tracelattice.operators.packed import matrix, nested, offsets
 from tracelattice.operators.propagate import dense
-from tracelattice.session import cut_lineage, stored_table
+from tracelattice.session import brief_shuffles, remove_table, stored_table
+
+OVERSAMPLE, SEED = 10, 42
 
 
 def messages(log: DataFrame, column: str = "message") -> DataFrame:
@@ -52,8 +58,8 @@ def tfidf(
     counts = stored_table(term_counts(tokens(texts, key, text, stop), key))
     words = vocabulary(counts, n_docs, size)
     weighted = counts.join(words, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weighted.where(F.col(key).isNotNull()).select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def grams(rows: DataFrame, width: int, *pairs: tuple[str, str]) -> list[np.ndarray]:
@@ -72,49 +78,170 @@ def whitening(g: np.ndarray) -> np.ndarray:
     return axes[:, kept] / np.sqrt(spread[kept])
 
 
-def leading_directions(weights: DataFrame, key: str, k: int, rounds: int = 6, oversample: int = 10, seed: int = 42):
-    """Leading right singular vectors of the (key, term, weight) matrix by randomised subspace iteration, as
-    ``term, basis``, and the singular values.
-
-    A round multiplies the matrix and its transpose with a block of k + ``oversample`` columns as two joins with
-    weighted vector sums. The block is a table with a row per term; the driver sees its gram matrices only. The
-    entry of a direction that is largest in size (first term on ties) is positive.
+BLOCK_WEIGHTS = 1 << 21
+"""Weights in a block of texts, from which on the next text opens another block."""
+LETTER = "block long, text int, id long, v array<double>"
+"""What a block of texts keeps, a row per ``text``, and what it adds to the row of a term, by the term's hash ``id``."""
+
+
+def text_blocks(weights: DataFrame, key: str) -> DataFrame:
+    """Blocks of whole texts, stored: the ``keys`` of the texts; where each ``starts`` in ``at`` and ``w``, which have the place of
+    every weight's term in the block and the weight; the ``terms`` of the block and their hashes ``ids``. Texts without key are left out."""
+    texts = weights.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("e"))
+    schema = f"block long, keys array<{texts.schema[key].dataType.simpleString()}>, starts binary, at binary, w binary, terms array<string>"
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        number, size = TaskContext.get().partitionId() << 32, 0
+        for whole in batches:
+            load = np.cumsum(np.diff(offsets(whole.column("e")))) // BLOCK_WEIGHTS
+            cuts = [0, *(np.flatnonzero(np.diff(load)) + 1).tolist(), whole.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                held.append(whole.slice(start, end - start))
+                size += int(offsets(held[-1].column("e"))[-1])
+                if size >= BLOCK_WEIGHTS:
+                    yield block(number, held)
+                    held, number, size = [], number + 1, 0
+        if size:
+            yield block(number, held)
+
+    def block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        entries = [b.column("e").flatten() for b in held]
+        coded = pa.concat_arrays([e.field("term") for e in entries]).dictionary_encode()
+        sizes = np.concatenate([np.diff(offsets(b.column("e"))) for b in held])
+        arrays = np.append(0, np.cumsum(sizes)), coded.indices.to_numpy().astype(np.int32), np.concatenate([e.field("weight").to_numpy() for e in entries])
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.concat_arrays([b.column(key) for b in held]), coded.dictionary)]
+        packed = [pa.array([v.tobytes()], pa.binary()) for v in arrays]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists[0], *packed, lists[1]], ["block", "keys", "starts", "at", "w", "terms"])
+
+    return stored_table(texts.mapInArrow(run, schema).withColumn("ids", F.transform("terms", lambda t: F.xxhash64(t))))
+
+
+class Block:
+    """The weights of a block: a matrix of texts and terms."""
+
+    def __init__(self, row: pa.Table | pa.RecordBatch):
+        self.number = row.column("block")[0].as_py()
+        starts, self.at, self.w = (np.frombuffer(row.column(c)[0].as_py(), t) for c, t in (("starts", np.int64), ("at", np.int32), ("w", np.float64)))
+        self.text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        self.ids, self.n_texts = row.column("ids")[0].values.to_numpy(), len(starts) - 1
+
+    def of_texts(self, q: np.ndarray) -> np.ndarray:
+        """The matrix times rows of terms."""
+        return np.stack([np.bincount(self.text, self.w * c[self.at], minlength=self.n_texts) for c in np.ascontiguousarray(q.T)], axis=1)
+
+    def of_terms(self, z: np.ndarray) -> np.ndarray:
+        """The transposed matrix times rows of texts."""
+        return np.stack([np.bincount(self.at, self.w * c[self.text], minlength=len(self.ids)) for c in np.ascontiguousarray(z.T)], axis=1)
+
+    def letters(self, texts: np.ndarray, ids: np.ndarray, terms: np.ndarray) -> pa.Table:
+        """Rows of all texts and of some terms."""
+        n, m = len(texts), len(ids)
+        number = pa.chunked_array([pa.array(np.arange(n, dtype=np.int32)), pa.nulls(m, pa.int32())])
+        known = pa.chunked_array([pa.nulls(n, pa.int64()), pa.array(ids)])
+        return pa.table({"block": np.full(n + m, self.number), "text": number, "id": known, "v": pa.chunked_array([nested(texts), nested(terms)])})
+
+    def read(self, mail: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the texts as they were sent, of the terms summed over all blocks, and hashes and places of those terms that
+        other blocks have too."""
+        own = mail.column("text").is_valid()
+        rows, sums = mail.filter(own).combine_chunks(), mail.filter(pc.invert(own)).combine_chunks()
+        z = matrix(rows.column("v").combine_chunks())[np.argsort(rows.column("text").to_numpy())]
+        z = z[:, : z.shape[1] // 2]
+        y, ids = self.of_terms(z), sums.column("id").to_numpy()
+        order = np.argsort(self.ids)
+        at = order[np.searchsorted(self.ids[order], ids)]
+        if len(ids):
+            y[at] = matrix(sums.column("v").combine_chunks())
+        return z, y, ids, at
+
+
+def leading_texts(blocks: DataFrame, k: int, rounds: int = 6) -> tuple[DataFrame, np.ndarray]:
+    """Texts times the leading right singular vectors of stored blocks, by randomised subspace iteration: block, text, v, and the map
+    from the first numbers of ``v`` to the projection.
+
+    A round multiplies the transposed matrix and the matrix with a block of columns. A block of texts does this by itself for the
+    terms that only it has; of the others it sends its sums and gets back those of all blocks. What blocks send is stored for one round;
+    the driver sees gram matrices only. The entry of a direction that is largest in size (first term on ties) is positive.
     """
-    width = k + oversample
-    start = F.transform(
-        F.sequence(F.lit(1), F.lit(width)), lambda i: F.xxhash64("term", i, F.lit(seed)) / F.lit(2.0**63)
-    )
-    block = cut_lineage(weights.select("term").distinct().select("term", start.alias("q")))
-    turn = whitening(*grams(block, width, ("q", "q")))
-    values = np.zeros(0)
-    for _ in range(rounds):
-        block = block.select("term", dense(turn)(F.col("q")).alias("q"))
-        rows = weights.join(block, "term").groupBy(key).agg(vector_sum(F.col("q"), F.col("weight"), turn.shape[1]).alias("z"))
-        product = weights.join(rows, key).groupBy("term").agg(vector_sum(F.col("z"), F.col("weight"), turn.shape[1]).alias("y"))
-        both = cut_lineage(product.join(block, "term"))
-        inner, outer = grams(both, turn.shape[1], ("q", "y"), ("y", "y"))
-        spread, axes = np.linalg.eigh((inner + inner.T) / 2)
-        leading, values = both.select("term", dense(axes[:, ::-1][:, :k])(F.col("q")).alias("basis")), spread[::-1][:k]
-        block, turn = both.select("term", F.col("y").alias("q")), whitening(outer)
-    top = [
-        F.min_by(F.signum(F.get("basis", F.lit(i))), F.struct(-F.round(F.abs(F.get("basis", F.lit(i))), 9), "term"))
-        for i in range(len(values))
-    ]
-    signs = np.array(leading.agg(F.array(*top).alias("s")).first()["s"])
-    leading = leading.select("term", F.zip_with("basis", F.array(*[F.lit(float(s)) for s in signs]), lambda v, s: v * s).alias("basis"))
-    return leading, np.sqrt(np.maximum(values, 0.0))
+    spark = blocks.sparkSession
+
+    def first(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block(row := batch.slice(i, 1))
+                z = block.of_texts(row.column("q")[0].values.to_numpy().reshape(len(block.ids), -1))
+                yield from block.letters(np.concatenate([z, np.zeros_like(z)], axis=1), block.ids, block.of_terms(z)).to_batches()
+
+    def answered(letters: DataFrame, width: int, columns: Sequence[str], fn, schema: str) -> DataFrame:
+        sent = letters.where("id is not null")
+        sums = sent.groupBy("id").agg(vector_sum(F.col("v"), dims=width).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        reply = sent.select("block", "id").join(sums, "id").select("block", F.lit(None).cast("int").alias("text"), "id", "v")
+        mail = letters.where("text is not null").unionByName(reply)
+        return blocks.select("block", "starts", "at", "w", "ids", *columns).groupBy("block").cogroup(mail.groupBy("block")).applyInArrow(fn, schema)
+
+    def next_round(turn: np.ndarray, last: bool):
+        def run(row: pa.Table, mail: pa.Table) -> pa.Table:
+            block = Block(row)
+            z, y, ids, at = block.read(mail)
+            new = block.of_texts(y @ turn)
+            terms = np.zeros((0, new.shape[1])) if last else block.of_terms(new)[at]
+            return block.letters(np.concatenate([new, z @ turn], axis=1), ids[: len(terms)], terms)
+
+        return run
+
+    def largest(change: np.ndarray):
+        """Of every direction the entry of a block that is largest in size."""
+
+        def run(row: pa.Table, mail: pa.Table) -> pa.Table:
+            basis, terms = Block(row).read(mail)[1] @ change, row.column("terms")[0].values
+            size, found = np.round(np.abs(basis), 9), []
+            for i in range(change.shape[1]):
+                term, at = min((terms[j].as_py(), j) for j in np.flatnonzero(size[:, i] == size[:, i].max()).tolist())
+                found.append((i, size[at, i], term, np.sign(basis[at, i])))
+            return pa.table(list(zip(*found)), names=["i", "size", "term", "s"])
+
+        return run
+
+    def products(letters: DataFrame, width: int) -> list[np.ndarray]:
+        """Gram matrix of the texts' rows, and products of the rows before and these."""
+        new, old = F.slice("v", 1, width), F.slice("v", width + 1, width)
+        return grams(letters.where("text is not null").select(new.alias("new"), old.alias("old")), width, ("new", "new"), ("old", "new"))
+
+    def formula(term):
+        return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.xxhash64(term, i, F.lit(SEED)) / F.lit(2.0**63))
+
+    width = k + OVERSAMPLE
+    start = F.flatten(F.transform("terms", formula)).alias("q")
+    with brief_shuffles(spark):
+        letters = stored_table(blocks.select("block", "starts", "at", "w", "ids", start).mapInArrow(first, LETTER))
+        for left in reversed(range(max(1, rounds - 1))):
+            turn, before = whitening(products(letters, width)[0]), letters
+            letters = stored_table(answered(before, width, (), next_round(turn, not left), LETTER))
+            width, sent = turn.shape[1], width
+            if left:
+                remove_table(before)
+        inner, outer = products(letters, width)
+        whiten = whitening(outer)
+        axes = whiten @ np.linalg.eigh(whiten.T @ inner @ whiten)[1][:, ::-1][:, :k]
+        entries = answered(before, sent, ("terms",), largest(turn @ axes), "i long, size double, term string, s double")
+        signs = entries.groupBy("i").agg(F.min_by("s", F.struct(-F.col("size"), "term")).alias("s")).collect()
+        remove_table(before)
+    return letters.where("text is not null"), axes * np.array([r["s"] for r in sorted(signs)])
 
 
 def svd_embedding(weights: DataFrame, texts: DataFrame, key: str, k: int, rounds: int = 6) -> DataFrame:
     """Unit vectors ``vec`` of length k: texts projected on the leading singular directions, without
     centring. A text without terms gets zeros, and so do directions beyond the rank of the matrix."""
-    weights = stored_table(weights.select(key, "term", "weight"))
     zero = F.array(*[F.lit(0.0)] * k)
-    if weights.limit(1).count() == 0:
+    with brief_shuffles(texts.sparkSession):
+        blocks = text_blocks(weights, key)
+    if blocks.isEmpty():
         return texts.select(key, zero.alias("vec"))
-    basis, values = leading_directions(weights, key, k, rounds)
-    projected = weights.join(basis, "term").groupBy(key).agg(vector_sum(F.col("basis"), F.col("weight"), len(values)).alias("vec"))
-    padded = F.concat("vec", F.array_repeat(F.lit(0.0), k - len(values)))
+    rows, change = leading_texts(blocks, k, rounds)
+    rows = rows.select("block", "text", dense(change)(F.slice("v", 1, len(change))).alias("vec"))
+    projected = blocks.select("block", F.posexplode("keys").alias("text", key)).join(rows, ["block", "text"]).select(key, "vec")
+    padded = F.concat("vec", F.array_repeat(F.lit(0.0), k - change.shape[1]))
     return texts.select(key).join(projected, key, "left").select(
         key, l2_normalise(F.coalesce(padded, zero)).alias("vec")
     )
