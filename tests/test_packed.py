@@ -348,3 +348,60 @@ def test_labels_and_timing_that_come_with_the_packs(spark, tables, summary):
         scores = [O.score_tables(d, a, labels, summary).drop("score_sq", "label") for d in (plain, whole)]
         same(values(scores[1], "group_id"), values(scores[0], "group_id"))
     assert scores[1]._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # the labels
+
+
+@pytest.mark.parametrize("width, ordered", [(2, True), (2, False), (3, False)])
+def test_branch_of_runs_equals_the_dense_one(width, ordered):
+    rng = np.random.default_rng(3)
+    t = rng.normal(size=(4000, width)) * rng.choice([0.2, 1.0, 30.0], size=(4000, 1))
+    t[:9] *= 1e-5
+    if ordered:
+        t = t[np.argsort(np.arctan2(t[:, 1], t[:, 0]))]
+    t[0] = 0.0
+    params = propagate.init_timing(width, 60, rng)
+    params = {n: w + 0.1 * rng.normal(size=np.shape(w)) for n, w in params.items()}
+    branch, dense = timed.Branch(t, params), propagate.timing_branch(t, params)
+    np.testing.assert_allclose(branch.out, dense[-1], atol=1e-12)
+    d_out = rng.normal(size=branch.out.shape)
+    want = O.timing_gradients(params, dense, d_out)
+    got = branch.gradients(d_out)
+    assert set(got) == set(want)
+    for name in want:
+        np.testing.assert_allclose(got[name], want[name], rtol=1e-9, atol=1e-9, err_msg=name)
+    if ordered:  # most units are on or off throughout a run
+        assert np.mean([len(units) for units in branch.changing[1:]]) < 60 / 2
+
+
+def test_loss_and_second_map_follow_from_the_gram_matrix():
+    """As of single graphs, from sums of several pieces."""
+    from dataclasses import replace
+
+    from tracelattice.plans.training import Graphs, add_up, gradient_sums
+
+    rng = np.random.default_rng(8)
+    model = replace(O.new_model(5, 7, 1), centre=list(rng.normal(size=7)))
+    pieces = []
+    for sizes in ((1, 3, 2), (4, 1)):
+        n = sum(sizes)
+        pieces.append(Graphs(rng.normal(size=(n, 5)), rng.random(n), np.append(0, np.cumsum(sizes))))
+    local, done = gradient_sums(O.ONE_CLASS, [model], [True])
+    total = {}
+    for g in pieces:
+        part = local(g)
+        assert set(part) == {"n", "0/count", "0/r", "0/rr", "0/W1"}  # no product of graphs and the second map
+        add_up(total, part)
+    got, want = done(total), {}
+    for g in pieces:
+        pre = g.x @ model.weights["W1"]
+        r = np.add.reduceat(np.maximum(pre, 0) * g.s[:, None], g.starts[:-1])
+        sums = O.graph_gradients(r, None, model)
+        grad_r = np.repeat(sums.pop("r"), g.sizes, axis=0)
+        add_up(want, {**sums, "W1": g.x.T @ (g.s[:, None] * (pre > 0) * grad_r), "n": np.array([float(len(g.sizes))])})
+    assert {k.split("/")[-1] for k in got} == set(want)
+    for k, v in got.items():
+        np.testing.assert_allclose(v, want[k.split("/")[-1]], rtol=1e-10, atol=1e-10)
+
+
+def test_tanh_by_the_exponential():
+    x = np.concatenate([np.linspace(-40, 40, 4001), [0.0, 1e-9, -1e-9, 800.0, -800.0]])
+    np.testing.assert_allclose(propagate.tanh(x), np.tanh(x), atol=1e-15, rtol=0)
