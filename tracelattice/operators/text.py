@@ -55,7 +55,8 @@ def tfidf(
     """``key, term, weight`` with rows of unit length over all terms, or over the ``size`` most frequent."""
     n_docs = texts.count()
     # Counted once and stored: tokenising the texts again for the vocabulary would cost more.
-    counts = stored_table(term_counts(tokens(texts, key, text, stop), key))
+    with brief_shuffles(texts.sparkSession):
+        counts = stored_table(term_counts(tokens(texts, key, text, stop), key))
     words = vocabulary(counts, n_docs, size)
     weighted = counts.join(words, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
@@ -134,6 +135,10 @@ class Block:
         """The transposed matrix times rows of texts."""
         return np.stack([np.bincount(self.at, self.w * c[self.text], minlength=len(self.ids)) for c in np.ascontiguousarray(z.T)], axis=1)
 
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        order = np.argsort(self.ids)
+        return order[np.searchsorted(self.ids[order], ids)]
+
     def letters(self, texts: np.ndarray, ids: np.ndarray, terms: np.ndarray) -> pa.Table:
         """Rows of all texts and of some terms."""
         n, m = len(texts), len(ids)
@@ -149,8 +154,7 @@ class Block:
         z = matrix(rows.column("v").combine_chunks())[np.argsort(rows.column("text").to_numpy())]
         z = z[:, : z.shape[1] // 2]
         y, ids = self.of_terms(z), sums.column("id").to_numpy()
-        order = np.argsort(self.ids)
-        at = order[np.searchsorted(self.ids[order], ids)]
+        at = self.places(ids)
         if len(ids):
             y[at] = matrix(sums.column("v").combine_chunks())
         return z, y, ids, at
@@ -171,7 +175,8 @@ def leading_texts(blocks: DataFrame, k: int, rounds: int = 6) -> tuple[DataFrame
             for i in range(batch.num_rows):
                 block = Block(row := batch.slice(i, 1))
                 z = block.of_texts(row.column("q")[0].values.to_numpy().reshape(len(block.ids), -1))
-                yield from block.letters(np.concatenate([z, np.zeros_like(z)], axis=1), block.ids, block.of_terms(z)).to_batches()
+                ids = row.column("common")[0].values.to_numpy()
+                yield from block.letters(np.concatenate([z, np.zeros_like(z)], axis=1), ids, block.of_terms(z)[block.places(ids)]).to_batches()
 
     def answered(letters: DataFrame, width: int, columns: Sequence[str], fn, schema: str) -> DataFrame:
         sent = letters.where("id is not null")
@@ -213,8 +218,13 @@ def leading_texts(blocks: DataFrame, k: int, rounds: int = 6) -> tuple[DataFrame
 
     width = k + OVERSAMPLE
     start = F.flatten(F.transform("terms", formula)).alias("q")
+    known = blocks.select("block", F.explode("ids").alias("id"))
+    common = known.join(known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "id")
+    common = common.groupBy("block").agg(F.collect_list("id").alias("common"))
+    none = F.array().cast("array<bigint>")
     with brief_shuffles(spark):
-        letters = stored_table(blocks.select("block", "starts", "at", "w", "ids", start).mapInArrow(first, LETTER))
+        opened = blocks.join(common, "block", "left").select("block", "starts", "at", "w", "ids", F.coalesce("common", none).alias("common"), start)
+        letters = stored_table(opened.mapInArrow(first, LETTER))
         for left in reversed(range(max(1, rounds - 1))):
             turn, before = whitening(products(letters, width)[0]), letters
             letters = stored_table(answered(before, width, (), next_round(turn, not left), LETTER))
